@@ -146,8 +146,8 @@ def _oracle() -> str:
     for rank, r in enumerate(RULES):
         p = r.pattern.replace("'", "''")
         parts.append(f"""
-  SELECT rid, {rank} AS rank, '{r.kind}' AS kind, unnest(list_transform(range(1, len(m) + 1), i -> coalesce(list_sum(list_transform(g[1:i], x -> length(x))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], x -> length(x))), 0)))::BIGINT AS start_,
-    unnest(list_transform(m, x -> length(x))) AS size, unnest(list_transform(v, x -> length(x))) AS test, {r.least} AS least
+  SELECT rid, {rank} AS rank, '{r.kind}' AS kind, unnest(list_transform(range(1, len(m) + 1), lambda i: coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)))::BIGINT AS start_,
+    unnest(list_transform(m, lambda x: length(x))) AS size, unnest(list_transform(v, lambda x: length(x))) AS test, {r.least} AS least
   FROM (SELECT rid, regexp_extract_all(t, '{p}', 0) AS m, regexp_extract_all(t, '{p}', {r.group}) AS v, string_split_regex(t, '{p}') AS g FROM d)""")
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
