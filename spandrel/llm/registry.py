@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("url_rules", "secret_scan")
+MODULES = ("sos_packing", "url_rules", "decontaminate", "secret_scan", "quality_mcd")
 
 
 def _collect(name: str) -> dict:
