@@ -79,6 +79,16 @@ def slices(batches, column: str, most_bytes: int = 2_000_000):
             at = to
 
 
+#: Keys that are sent to every executor at most, some 20 bytes each, to drop their rows; more are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
+
+
+def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose key is not in ``gone``, a table of distinct keys."""
+    gone = cut(gone)
+    return rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone, key, "left_anti")
+
+
 def replicated(df: DataFrame, times: str) -> DataFrame:
     """Each row as often as ``times`` says; undoes a grouping of equal rows."""
     return df.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).drop("_copy", times)

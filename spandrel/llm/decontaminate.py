@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import lower_ascii, read, replicated
+from .base import lower_ascii, read, replicated, without
 
 WIDTH = 10
 #: Benchmark windows that are sent to every executor at most (some 200 bytes each); more are joined by a shuffle.
@@ -93,7 +93,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, key: str, width: int =
     """``docs`` without those of which more than ``most_share`` of the words are hit."""
     found = document_hits(docs, items, key, width, text, item, item_text)
     bad = found.filter(hit_words(F.col("hits")) > F.col("n_words") * F.lit(most_share)).select(key).distinct()
-    return docs.join(bad, key, "left_anti")
+    return without(docs, bad, key)
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import base, textbytes
-from .base import cut, read, ship, slices, text_buffer
+from .base import cut, read, ship, slices, text_buffer, without
 from .components import components
 
 CHUNKS, CHUNK, ERRORS = 10, 6, 1
@@ -228,10 +228,13 @@ def near_duplicates(docs: DataFrame, key: str, text: str = "text", k: int = 3, s
 
 
 def drop_near_duplicates(docs: DataFrame, key: str, text: str = "text", k: int = 5, share: int = 80) -> DataFrame:
-    """``docs`` with one document of each group, the one with the smallest key; of rows that repeat its key, one."""
-    found = near_duplicates(docs, key, text, k, share)
-    gone = found.filter(F.col("component_id") != F.col(key)).select(key).distinct()
-    return docs.join(gone, key, "left_anti")
+    """``docs`` with one document of each group, the one with the smallest key; of rows that share its key, one.  Rows with a null key stay."""
+    found = cut(near_duplicates(docs, key, text, k, share))
+    kept = without(docs, found.filter(F.col("component_id") != F.col(key)).select(key).distinct(), key)
+    several = cut(found.filter(F.col("component_id") == F.col(key)).groupBy(key).count().filter("count > 1").select(key))
+    if several.isEmpty():
+        return kept
+    return without(kept, several, key).union(kept.join(several, key, "left_semi").dropDuplicates([key]))
 
 
 def op6_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:

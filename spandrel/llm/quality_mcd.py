@@ -77,7 +77,7 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
       ELSE sort_array(array_distinct(flatten(filter(zip_with(_pairs, slice(_pairs, 2, size(_pairs)), (a, b) -> CASE WHEN a.h = b.h THEN array(a.i, b.i) END), x -> x IS NOT NULL)))) END"""))
     out = out.withColumn("_lines", F.expr(f"filter(split(_t, '\\n'), x -> btrim(x, '{_SPACES}') <> '')"))
     left = lambda chars: (F.length("_t") - F.length(F.translate("_t", chars, ""))).cast("long")
-    return out.withColumns({
+    counts = {
         "n_words": F.size("_words").cast("long"),
         "word_chars": F.length(F.translate("_t", SPACE_CHARS, "")).cast("long"),
         "n_symbols": left(SYMBOLS),
@@ -86,7 +86,9 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_lines": F.size("_lines").cast("long"),
         "n_upper": left(UPPER),
         "n_punct": left(PUNCTUATION),
-    }).drop("_t", "_trimmed", "_words", "_hashes", "_sorted", "_dups", "_pairs", "_places", "_lines")
+    }
+    # As a generator's only row, the counts are computed once: a later filter on them is not moved below, which would repeat their whole expressions.
+    return out.select(*docs.columns, F.inline(F.array(F.struct(*(c.alias(k) for k, c in counts.items())))))
 
 
 def _rounded(formula: str) -> str:
