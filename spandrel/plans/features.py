@@ -20,12 +20,18 @@ FEATURES = {
 }
 
 c = F.col
-_TYPE = c("node_type")
-_EQUAL = (_TYPE == "BinaryOperation") & c("op").isin("==", "!=")
 _LOOPS = ("ForStatement", "WhileStatement", "InlineAssembly")
 _CALLS_OUT = ("call", "delegatecall", "transfer", "send")
 
 
+def _type() -> Column:
+    return c("node_type")
+
+
+def _equal() -> Column:
+    return (_type() == "BinaryOperation") & c("op").isin("==", "!=")
+
+
 def _has(*parts: str) -> Column:
     return reduce(lambda a, b: a & b, (F.contains("probe", F.lit(p)) for p in parts))
 
@@ -39,7 +45,7 @@ def _count(x: Column) -> Column:
 
 
 def _member_of(base: str, member: str) -> Column:
-    return (_TYPE == "MemberAccess") & (c("member") == member) & (c("base") == base)
+    return (_type() == "MemberAccess") & (c("member") == member) & (c("base") == base)
 
 
 def _functions(nodes: DataFrame, **columns: Column) -> DataFrame:
@@ -53,10 +59,10 @@ def _files(nodes: DataFrame, table: DataFrame, **columns: Column) -> DataFrame:
 
 
 def txo(nodes: DataFrame) -> DataFrame:
-    guard = _EQUAL & _has('"memberName": "origin"', '"name": "tx"')
+    guard = _equal() & _has('"memberName": "origin"', '"name": "tx"')
     f = _functions(
         nodes, origin=_any(_member_of("tx", "origin")), guards=_count(guard), sender=_any(_member_of("msg", "sender")), calls=_any(c("callee").isin(*_CALLS_OUT)),
-        writes=_any(_TYPE == "Assignment"), branches=_count(_TYPE.isin("IfStatement", "Conditional")), odd=_any(_TYPE.isin(*_LOOPS, "DoWhileStatement")),
+        writes=_any(_type() == "Assignment"), branches=_count(_type().isin("IfStatement", "Conditional")), odd=_any(_type().isin(*_LOOPS, "DoWhileStatement")),
     )
     return _files(
         nodes, f, has_origin_comparison=F.max((c("guards") > 0).cast("long")), origin_guard_count=F.sum("guards"), origin_guards_state_change=F.max(c("origin") * F.greatest("writes", "calls")),
@@ -65,7 +71,7 @@ def txo(nodes: DataFrame) -> DataFrame:
 
 
 def _state_names(nodes: DataFrame) -> DataFrame:
-    return nodes.filter(c("state") & (_TYPE == "VariableDeclaration")).select("file", "name").distinct()
+    return nodes.filter(c("state") & (_type() == "VariableDeclaration")).select("file", "name").distinct()
 
 
 def ren(nodes: DataFrame) -> DataFrame:
@@ -73,11 +79,11 @@ def ren(nodes: DataFrame) -> DataFrame:
     named = inside.join(_state_names(nodes).withColumn("is_state", F.lit(True)), ["file", "name"], "left")
     first = named.groupBy("file", "func").agg(F.min(F.when(c("callee").isin(*_CALLS_OUT), c("stmt"))).alias("call_at"))
     marked = named.join(first, ["file", "func"])
-    read = (_TYPE == "Identifier") & c("is_state")
+    read = (_type() == "Identifier") & c("is_state")
     early = read & (c("call_at").isNull() | (c("stmt") <= c("call_at")))
     late = read & c("assigned") & (c("stmt") > c("call_at"))
     f = _functions(
-        marked, reads=_count(early), calls=_count(c("callee").isin(*_CALLS_OUT)), writes=_count(_TYPE == "Assignment"), late=_any(late), static=_any(c("callee") == "staticcall"), odd=_any(_TYPE.isin(*_LOOPS)),
+        marked, reads=_count(early), calls=_count(c("callee").isin(*_CALLS_OUT)), writes=_count(_type() == "Assignment"), late=_any(late), static=_any(c("callee") == "staticcall"), odd=_any(_type().isin(*_LOOPS)),
     )
     out = _files(
         nodes, f, storage_read_count=F.sum("reads"), external_call_count=F.sum("calls"), storage_write_count=F.sum("writes"),
@@ -91,13 +97,13 @@ def acc(nodes: DataFrame) -> DataFrame:
     names = _state_names(nodes).withColumn("low", F.lower("name"))
     authority = c("low").contains("owner") | c("low").contains("admin")
     declared = names.groupBy("file").agg(_any(authority).alias("authority_declared"), _any(c("low").contains("pending")).alias("two_step_handover_pattern"), F.collect_set("name").alias("names"))
-    builds = nodes.filter((_TYPE == "FunctionDefinition") & (c("kind") == "constructor")).select("file", c("id").alias("func"))
+    builds = nodes.filter((_type() == "FunctionDefinition") & (c("kind") == "constructor")).select("file", c("id").alias("func"))
     marked = nodes.filter(c("func").isNotNull()).join(builds, ["file", "func"], "left_anti").join(names.filter(authority).select("file", "name", F.lit(True).alias("is_authority")), ["file", "name"], "left").join(declared.select("file", "names"), "file", "left")
-    caller = _EQUAL & _has('"memberName": "sender"', '"name": "msg"')
+    caller = _equal() & _has('"memberName": "sender"', '"name": "msg"')
     by_state = caller & F.exists("names", lambda v: F.contains(c("probe"), F.concat(F.lit('"name": "'), v, F.lit('"'))))
-    entry = (_TYPE == "FunctionDefinition") & (c("id") == c("func")) & c("visibility").isin("public", "external")
+    entry = (_type() == "FunctionDefinition") & (c("id") == c("func")) & c("visibility").isin("public", "external")
     f = _functions(
-        marked, restricted=_any(caller), by_state=_any(by_state), literal=_any(caller & (_has("0x") | _has("address("))), replaces=_any((_TYPE == "Identifier") & c("is_authority") & c("assigned")), entry=_any(entry), odd=_any(_TYPE.isin(*_LOOPS)),
+        marked, restricted=_any(caller), by_state=_any(by_state), literal=_any(caller & (_has("0x") | _has("address("))), replaces=_any((_type() == "Identifier") & c("is_authority") & c("assigned")), entry=_any(entry), odd=_any(_type().isin(*_LOOPS)),
     )
     out = _files(
         nodes, f, authority_write_present=F.max("replaces"), caller_restriction_present=F.max("restricted"), literal_address_guard=F.max("literal"), unrestricted_authority_write=F.max(c("replaces") * (1 - c("by_state"))),
@@ -109,10 +115,10 @@ def acc(nodes: DataFrame) -> DataFrame:
 def uec(nodes: DataFrame) -> DataFrame:
     inside = nodes.filter(c("func").isNotNull() & c("stmt").isNotNull())
     low = c("callee").isin("call", "delegatecall", "staticcall")
-    checked = (_TYPE == "FunctionCall") & c("base").isin("require", "assert") & (_has("ok") | _has("success") | _has("status"))
+    checked = (_type() == "FunctionCall") & c("base").isin("require", "assert") & (_has("ok") | _has("success") | _has("status"))
     top = inside.groupBy("file", "func", "stmt").agg(F.min_by(F.struct("node_type", "probe"), "id").alias("t"))
     dropped = top.filter((c("t.node_type") == "ExpressionStatement") & (F.contains("t.probe", F.lit(".call")) | F.contains("t.probe", F.lit("delegatecall")) | F.contains("t.probe", F.lit("staticcall")))).groupBy("file").agg(F.count("*").alias("result_discarded_count"))
-    f = _functions(inside, low=_count(low), delegate=_count(c("callee") == "delegatecall"), checks=_count(checked), odd=_any(_TYPE.isin(*_LOOPS)))
+    f = _functions(inside, low=_count(low), delegate=_count(c("callee") == "delegatecall"), checks=_count(checked), odd=_any(_type().isin(*_LOOPS)))
     out = _files(
         nodes, f, low_level_call_count=F.sum("low"), delegatecall_count=F.sum("delegate"), result_checked_count=F.sum("checks"), unhandled_call_reaches_exit=F.max(((c("low") > 0) & (c("checks") == 0)).cast("long")), unsupported_feature=F.max("odd"),
     )
@@ -122,10 +128,10 @@ def uec(nodes: DataFrame) -> DataFrame:
 
 def tmp(nodes: DataFrame) -> DataFrame:
     # The words are searched in the whole operation, its own operator and types included.
-    timed = (_TYPE == "BinaryOperation") & (_has("timestamp") | _has('"name": "now"'))
+    timed = (_type() == "BinaryOperation") & (_has("timestamp") | _has('"name": "now"'))
     f = _functions(
-        nodes, seen=_any(_member_of("block", "timestamp") | ((_TYPE == "Identifier") & (c("name") == "now"))), equal=_any(timed & c("op").isin("==", "!=")), modulo=_any(timed & (c("op") == "%")), interval=_any(timed & c("op").isin(">=", "<=", ">", "<")),
-        calls=_any((_TYPE == "MemberAccess") & c("member").isin("call", "transfer", "send")), writes=_any((_TYPE == "Assignment") | ((_TYPE == "UnaryOperation") & c("op").isin("++", "--"))), odd=_any(_TYPE.isin(*_LOOPS, "DoWhileStatement")),
+        nodes, seen=_any(_member_of("block", "timestamp") | ((_type() == "Identifier") & (c("name") == "now"))), equal=_any(timed & c("op").isin("==", "!=")), modulo=_any(timed & (c("op") == "%")), interval=_any(timed & c("op").isin(">=", "<=", ">", "<")),
+        calls=_any((_type() == "MemberAccess") & c("member").isin("call", "transfer", "send")), writes=_any((_type() == "Assignment") | ((_type() == "UnaryOperation") & c("op").isin("++", "--"))), odd=_any(_type().isin(*_LOOPS, "DoWhileStatement")),
     )
     return _files(
         nodes, f, has_timestamp_reference=F.max("seen"), timestamp_equality_guard=F.max("equal"), timestamp_modulo_arithmetic=F.max("modulo"), timestamp_guards_state_change=F.max(c("equal") * F.greatest("writes", "calls")),

@@ -1,8 +1,80 @@
-"""Queries over the analysis pipeline itself."""
+"""The analysis pipeline over the bundled samples, and flattening of nested values."""
 
 from __future__ import annotations
 
-from .common import Registry
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.report import RULES
+from ..plans import ast, features, ml, patch, rules
+from ..sources.inputs import compile_sources
+from ..sources.minisol import compile_source
+from ..sources.samples import SAMPLES
+from .common import Registry, table
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
+
+
+def sample_files(spark: SparkSession, copies: int = 1) -> DataFrame:
+    """``(file, source, output)`` of every sample, ``copies`` times under different names."""
+    rows = spark.createDataFrame([(name, source) for name, (source, _, _) in SAMPLES.items()], "name string, source string")
+    many = rows.crossJoin(spark.range(copies)).select(F.concat_ws("_", "name", F.col("id").cast("string")).alias("file"), "source").repartition(spark.sparkContext.defaultParallelism)
+    return compile_sources(many.withColumn("file", F.concat("file", F.lit(".sol"))), compile_source)
+
+
+def _reports(spark: SparkSession) -> DataFrame:
+    return rules.analyze(sample_files(spark))
+
+
+@query()
+def rule_scan(spark, d):
+    return rules.findings(_reports(spark)).select("file", "id", "rule_id", "severity", "confidence", "function", "line", "end_line")
+
+
+@query()
+def rule_results(spark, d):
+    return rules.results(_reports(spark)).select("file", "rule_id", "status", F.array_join("reasons", "; ").alias("reasons"))
+
+
+@query()
+def report_summary(spark, d):
+    return rules.summary(_reports(spark)).groupBy("rule_id", "severity").agg(F.sum("n").alias("n"))
+
+
+@query()
+def ast_nodes(spark, d):
+    return ast.flatten(sample_files(spark)).groupBy("node_type").agg(F.count("*").alias("n"), F.max("depth").alias("deepest"))
+
+
+@query()
+def feature_rows(spark, d):
+    rows = features.long(ast.flatten(sample_files(spark)))
+    return rows.select("file", "rule_id", F.explode("features").alias("feature", "value")).filter("value <> 0")
+
+
+@query()
+def unified_diff(spark, d):
+    files = sample_files(spark)
+    return patch.propose(patch.candidates(files, rules.analyze(files))).select("file", "id", "rule_id", "diff")
+
+
+@query()
+def patch_verification(spark, d):
+    files = sample_files(spark)
+    return patch.verify(patch.propose(patch.candidates(files, rules.analyze(files))), compile_source).select("file", "id", "rule_id", "status", "before", "remaining", "regressed")
+
+
+@query()
+def ml_scores(spark, d):
+    files = sample_files(spark)
+    labels = spark.createDataFrame([(f"{name}_0.sol", rule, int(rule[:3] in found)) for name, (_, found, _) in SAMPLES.items() for rule in RULES], "file string, rule_id string, label int")
+    parts = labels.select("file").distinct().withColumn("part", F.when(F.pmod(F.xxhash64("file"), F.lit(3)) == 0, "validation").otherwise("train"))
+    rows = features.long(ast.flatten(files)).persist()
+    models = ml.train(rows, labels, parts, trees=0)
+    return ml.score(rows, models, rules.findings(rules.analyze(files))).select("file", "rule_id", "probability", "prediction", "confidence", "deterministic", "concordant", "advisory", "hybrid")
+
+
+@query("SELECT event_id, key, CAST(json_extract_string(props, '$.' || key) AS VARCHAR) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events)")
+def json_flatten(spark, d):
+    return table(spark, d, "events").select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("key", "value"))
