@@ -224,7 +224,7 @@ def near_duplicates(docs: DataFrame, key: str, text: str = "text", k: int = 3, s
     links = components(confirmed_links(docs, regions, key, text, k, share))
     grouped = reps.select("f1", "f2", F.col("n_shingles").alias("_n"), "id").join(links, "id", "left").select("f1", "f2", "_n", F.coalesce("component", "id").alias("component_id"))
     joined = drawn.select(key, "n_shingles", "f1", "f2").join(grouped, (drawn["f1"] == grouped["f1"]) & (drawn["f2"] == grouped["f2"]) & (drawn["n_shingles"] == grouped["_n"]), "left")
-    return joined.select(key, "n_shingles", F.coalesce("component_id", F.col(key)).alias("component_id"))
+    return joined.select(key, "n_shingles", F.when(F.col(key).isNotNull(), F.coalesce("component_id", F.col(key))).alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, key: str, text: str = "text", k: int = 5, share: int = 80) -> DataFrame:

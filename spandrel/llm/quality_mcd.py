@@ -58,7 +58,8 @@ BASE_FAILED = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
 
 #: Words covered by 3-word windows at the sorted places of repeated windows.
 _COVERED = "aggregate(zip_with(_places, slice(_places, 2, size(_places)), (a, b) -> least(3, coalesce(b - a, 3))), 0L, (s, x) -> s + x)"
-_SPACES = SPACE_CHARS.encode("unicode_escape").decode()
+#: SPACE_CHARS as the text of a SQL literal, which knows few escapes.
+_SPACES = "".join(f"\\u{ord(c):04X}" for c in SPACE_CHARS)
 
 
 def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -186,8 +187,9 @@ def judge(rows: DataFrame, model: DataFrame, most: float = MOST) -> DataFrame:
 def keep_inliers(docs: DataFrame) -> DataFrame:
     """``docs`` (with text, lang and source) without the rows that the rules reject.  The counts are computed twice, which moves no text."""
     rows = cut(with_statistics(with_counts(docs.select("text", "lang", "source"))).select("lang", "source", "base_failed", *NAMES))
-    judged = judge(with_statistics(with_counts(docs)), estimate(rows))
-    return judged.filter("kept").select(*docs.columns)
+    # The row goes along as one column, so that its own columns may have any names.
+    carried = docs.select(F.struct("*").alias("_row"), "text", "lang", "source")
+    return judge(with_statistics(with_counts(carried)), estimate(rows)).filter("kept").select("_row.*")
 
 
 def op10_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -121,12 +121,12 @@ def redact(rows: DataFrame, text: str = "text", mark: str = "[SECRET]", rules: t
     )
     whole = F.col(text)
     masked = F.aggregate(
-        F.col("_spans"),
+        F.col("__secret_spans"),
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda acc, x: F.struct(x["end"].alias("at"), F.concat(acc["out"], whole.substr(acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark)).alias("out")),
         lambda acc: F.concat(acc["out"], whole.substr(acc["at"] + 1, F.length(whole))),
     )
-    return rows.withColumn("_spans", merged).withColumn(text, F.when(F.size("_spans") > 0, masked).otherwise(whole)).drop("_spans")
+    return rows.withColumn("__secret_spans", merged).withColumn(text, F.when(F.size("__secret_spans") > 0, masked).otherwise(whole)).drop("__secret_spans")
 
 
 def _joined(spans: Column) -> Column:

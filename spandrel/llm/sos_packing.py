@@ -184,16 +184,16 @@ def pack(cut_pieces: DataFrame, key: str, n_docs: int, capacity: int = CAPACITY,
 
     def pack_group(table: pa.Table) -> pa.Table:
         group = table.column("_group")[0].as_py()
-        table = table.drop_columns(["_group"]).combine_chunks()
-        length, crc, piece = (table.column(c).to_numpy() for c in ("length", "ids_crc32", "piece"))
+        length, crc, piece, mark = (table.column(c).to_numpy() for c in ("length", "ids_crc32", "piece", "_mark"))
+        table = table.drop_columns(["_group", "_mark"]).combine_chunks()
         # The order depends on the rows alone, not on how they arrived.
-        order = np.lexsort((piece, crc, table.column(key).to_numpy(zero_copy_only=False), -length))
+        order = np.lexsort((piece, crc, mark, -length))
         where, offset = place(length[order], capacity)
         out = table.take(pa.array(order))
         return out.append_column("sequence_id", pa.array((group << 40) + where)).append_column("offset", pa.array(offset))
 
     ship(__name__, base.__name__)
-    dealt = cut_pieces.withColumn("_group", F.pmod(F.xxhash64(F.lit(17), F.col(key)), F.lit(n_groups)).cast("long"))
+    dealt = cut_pieces.withColumns({"_group": F.pmod(F.xxhash64(F.lit(17), F.col(key)), F.lit(n_groups)).cast("long"), "_mark": F.xxhash64(key)})
     return dealt.groupBy("_group").applyInArrow(pack_group, f"{schema}, sequence_id bigint, offset bigint")
 
 
