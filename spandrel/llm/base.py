@@ -35,9 +35,9 @@ def cut(df: DataFrame) -> DataFrame:
     Lineage ends there, so a lost executor costs a read of the file and nothing
     else.  A folder of our own is set only where the session names none.
     """
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
 
 
