@@ -51,3 +51,35 @@ def orphans(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 def conjunction(rows: DataFrame, **wanted: str | None) -> DataFrame:
     """Rows that match all filters; an empty one matches everything."""
     return reduce(lambda df, kv: df.filter(F.col(kv[0]) == kv[1]) if kv[1] else df, wanted.items(), rows)
+
+
+def validate_splits(splits: DataFrame, files: DataFrame) -> DataFrame:
+    """``(file, problem)``: files in more than one part or in none, unknown parts, and split files that don't exist."""
+    named = splits.withColumn("_bad", ~F.col("part").isin(*PARTITIONS))
+    per_file = named.groupBy("file").agg(F.countDistinct("part").alias("parts"), F.bool_or("_bad").alias("bad"))
+    both = per_file.join(files.select("file").distinct().withColumn("_here", F.lit(True)), "file", "full_outer")
+    return violations(both, "file", {
+        "several parts": F.coalesce("parts", F.lit(0)) > 1,
+        "unknown part": F.coalesce("bad", F.lit(False)),
+        "no part": F.col("parts").isNull(),
+        "no file": F.col("_here").isNull(),
+    })
+
+
+def validate_manifest(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """``(id, problem)`` of manifest rows ``(id, file, category, line, text, evidence ARRAY<INT>, expected ARRAY<INT>)``.
+
+    A row's line must still read as it says, and its evidence must hold all expected lines.
+    """
+    lines = F.split(F.regexp_replace("source", "\r\n", "\n"), "\n")
+    both = rows.join(sources.select("file", "source"), "file", "left")
+    at = F.try_element_at(lines, F.greatest(F.col("line"), F.lit(1)))
+    own = violations(both, "id", {
+        "id": ~F.coalesce(F.col("id").rlike("^[A-Z]{2,4}-[0-9]{3}$"), F.lit(False)),
+        "category": F.coalesce(F.trim("category"), F.lit("")) == "",
+        "no file": F.col("source").isNull(),
+        "line": F.col("source").isNotNull() & (~F.coalesce(F.col("line").between(1, F.size(lines)), F.lit(False))),
+        "stale text": F.col("source").isNotNull() & (F.trim(F.coalesce(at, F.lit(""))) != F.trim("text")),
+        "evidence": F.size(F.array_except("expected", "evidence")) > 0,
+    })
+    return own.unionByName(duplicates(rows, "id").withColumn("problem", F.lit("duplicate id")))

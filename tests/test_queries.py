@@ -113,3 +113,18 @@ def test_report_invariants_hold(spark):
     reports = rules.analyze(sample_files(spark))
     heads = reports.select("file", "status", F.size("findings").alias("total"), "byte_length")
     assert report.invariants(heads, rules.findings(reports), rules.results(reports)).count() == 0
+
+
+def test_split_and_manifest_problems(spark):
+    from spandrel.operators import quality
+
+    splits = spark.createDataFrame([("a", "train"), ("a", "validation"), ("b", "odd"), ("c", "train")], "file string, part string")
+    files = spark.createDataFrame([("a",), ("b",), ("d",)], "file string")
+    assert {tuple(r) for r in quality.validate_splits(splits, files).collect()} == {("a", "several parts"), ("b", "unknown part"), ("c", "no file"), ("d", "no part")}
+    sources = spark.createDataFrame([("f", "one\r\ntwo\n")], "file string, source string")
+    rows = spark.createDataFrame(
+        [("TX-001", "f", "direct", 2, "two", [1, 2], [2]), ("TX-002", "f", "", 9, "x", [1], [2]), ("bad", "g", "safe", 1, "y", [], []), ("TX-003", "f", "safe", 1, "two", [], []), ("TX-003", "f", "safe", 1, "one", [], [])],
+        "id string, file string, category string, line int, text string, evidence array<int>, expected array<int>",
+    )
+    got = {tuple(r) for r in quality.validate_manifest(rows, sources).collect()}
+    assert got == {("TX-002", "category"), ("TX-002", "line"), ("TX-002", "stale text"), ("TX-002", "evidence"), ("bad", "id"), ("bad", "no file"), ("TX-003", "stale text"), ("TX-003", "duplicate id")}
