@@ -22,6 +22,7 @@ table gives an empty result; extra columns are never touched.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -36,7 +37,7 @@ from .base import read, remembered, ship, slices
 CAPACITY = 2048
 GROUP_DOCS = 8192
 #: Words and parts of words in a generation of a worker's cache.  A full generation becomes the old one, whose entries come back when asked for; the one before is forgotten.
-MOST_WORDS, MOST_PARTS = 300_000, 200_000
+MOST_WORDS, MOST_PARTS = 500_000, 300_000
 _STRETCH = 1 << 20
 _WORD = re.compile(r"[^ \t-\r]+")
 #: Words for which the tokenizer's own steps reduce to lower case and this split: printable ASCII and composed Latin-1 letters.
@@ -72,7 +73,8 @@ class WordIds(dict):
             found = self.old_parts.get(part)
             if found is None:
                 written = "".join(map(self.letters.__getitem__, part))
-                found = np.array([t.id for t in self.model.tokenize(written)], "<u4").tobytes()
+                ids = [t.id for t in self.model.tokenize(written)]
+                found = struct.pack(f"<{len(ids)}I", *ids)
             self.parts[part] = found
         return found
 
@@ -83,8 +85,14 @@ class WordIds(dict):
         ids = self.old.get(word)
         if ids is not None:
             pass
-        elif _PLAIN.fullmatch(word) and "<|" not in word and len(word) < 200:
-            ids = b"".join(map(self._part, _PART.findall(word.lower())))
+        elif _PLAIN.fullmatch(word) and len(word) < 200 and "<|" not in word:
+            # Most words are letters alone, or with a mark at the end; they need no split.
+            if word.isalpha():
+                ids = self._part(word.lower())
+            elif word[-1] in ",.!" and word[:-1].isalpha():
+                ids = self._part(word[:-1].lower()) + self._part(word[-1])
+            else:
+                ids = b"".join(map(self._part, _PART.findall(word.lower())))
         else:
             ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         self[word] = ids
