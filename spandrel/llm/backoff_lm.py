@@ -8,12 +8,16 @@ The root gives each word its smoothed relative frequency over all training token
 A text is read once from left to right; the state is carried from word to word and
 log-probabilities add up.
 
-What has to be complete is distributed: the count of every word of the corpus is
-an aggregated table, and words of a text outside the automaton are joined with it.
-What goes to every worker is bounded whatever the corpus: a share e of all tokens
-is reached by 1 / e different n-grams at most, and only those that reach it become
-states.  Longer n-grams are counted only if their parts reached it, which loses
-none.  The join has no hot keys, as words that could be hot are in the automaton.
+Every n-gram that occurs at least LEAST_COUNT times is in the model, whatever the
+size of the corpus, so none of it has to fit a worker.  What a read adds up is a sum
+over the n-grams of the text, each giving a fixed weight: what its arc adds to the
+arc of its suffix, less the failure arc that it saves, and its own failure arc.  The
+weights are a distributed table made by aggregations and joins, and a text's n-grams
+are joined with it.  N-grams with a share of all tokens are sent to every worker (a
+share e is reached by 1 / e n-grams of a length at most), so the join has no hot keys.
+Bit maps of bounded size tell of most n-grams that they are too rare before they
+are shuffled; a full bit map tells less and loses none.  ``train`` makes the same
+model as states and arcs in memory, for a corpus small enough; tests compare the two.
 
 Tokens: maximal runs of other than ASCII white space with A-Z in lower case, then
 one end.  Words are told apart by 64-bit fingerprints.
@@ -35,14 +39,17 @@ from pyspark.sql import functions as F
 from . import base, textbytes
 from .base import cut, read, ship, slices, text_buffer
 
-#: Shares of all training tokens that a word, and a longer n-gram, must reach to be in the automaton.
+#: Shares of all training tokens from which the weights of a word, and of a longer n-gram, are sent to every worker.
 WORD_SHARE, GRAM_SHARE = 2e-6, 5e-6
-#: However small the corpus, an n-gram in the automaton occurs at least so often.
+#: An n-gram of the model occurs at least so often.
 LEAST_COUNT = 2
 ORDER = 3
 DISCOUNT = 0.75
 SMOOTHING = 0.1
 END = 0  # a fingerprint that no word has
+BEGIN = 0x2545F4914F6CDD1D  # of the mark before a text, a context only
+#: Bits of a bit map of fingerprints, as a power of two.
+_MAP_BITS = 27
 _SHIFT = np.int64(20)
 _TALLY = 600_000
 #: Bytes of text that are worked on at once.
@@ -88,6 +95,125 @@ def _token_prints(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return out, at + np.arange(len(at))
 
 
+def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Fingerprints of n-grams from those of their prefixes and suffixes, one word shorter."""
+    return textbytes.mix(a.view(np.uint64) * np.uint64(0xA0761D6478BD642F) + textbytes.mix(b.view(np.uint64) + np.uint64(1))).view(np.int64)
+
+
+def bit_map(known: DataFrame) -> np.ndarray:
+    """Words of 64 bits: which values the first bits of the fingerprints ``h`` take."""
+    word, bit = F.shiftrightunsigned("h", 64 - _MAP_BITS + 6).cast("int"), F.shiftrightunsigned("h", 64 - _MAP_BITS).bitwiseAND(F.lit(63)).cast("int")
+    table = known.groupBy(word.alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits")).toArrow()
+    out = np.zeros(1 << (_MAP_BITS - 6), np.uint64)
+    out[table.column("w").to_numpy()] = table.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def in_map(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """False where a fingerprint is surely not among those of the bit map."""
+    at = keys.view(np.uint64) >> np.uint64(64 - _MAP_BITS)
+    return (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+
+
+def _ngrams(batch: pa.RecordBatch, maps: list[np.ndarray], longest: int):
+    """Per length up to ``longest``: fingerprints, prefixes, suffixes and text numbers of the n-grams whose parts the maps may hold; then the offsets.
+
+    The first are all words, the end and the begin mark among them.
+    """
+    prints, at = _token_prints(batch)
+    keys = np.insert(prints, at[:-1], np.int64(BEGIN))
+    rows = np.repeat(np.arange(len(at) - 1), np.diff(at) + 1)
+    out = [(keys, keys, keys, rows)]
+    place = np.arange(len(keys))
+    for k in range(1, longest):
+        held = in_map(maps[k - 1], keys)
+        if k == 1:
+            held |= keys == BEGIN
+        # Neighbours in place whose parts are held, within one text.
+        first = np.flatnonzero(held[:-1] & held[1:] & (np.diff(place) == 1) & (rows[1:] == rows[:-1]))
+        a, b = keys[first], keys[first + 1]
+        keys, rows, place = combine(a, b), rows[first], place[first]
+        out.append((keys, a, b, rows))
+    return out, at
+
+
+def count_pairs(training: DataFrame, maps) -> DataFrame:
+    """``(h, a, b, c)``: every n-gram that occurs at least LEAST_COUNT times, its prefix, suffix and count.  ``maps``: a broadcast bit map for each shorter length."""
+
+    def count(batches):
+        tally = PairTally()
+        for batch in slices(batches, "text", _SLICE):
+            tally.add(*_ngrams(batch, maps.value, len(maps.value) + 1)[0][-1][:3])
+            yield from tally.batches(False)
+        yield from tally.batches(True)
+
+    def name(batches):
+        for batch in batches:
+            a, b = (np.array(batch.column(c), np.int64) for c in ("a", "b"))
+            yield pa.RecordBatch.from_arrays([pa.array(combine(a, b)), *batch.columns], ["h", *batch.schema.names])
+
+    ship(__name__, base.__name__, textbytes.__name__)
+    counted = training.select("text").mapInArrow(count, "a bigint, b bigint, c bigint").groupBy("a", "b").agg(F.sum("c").alias("c"))
+    return counted.filter(F.col("c") >= LEAST_COUNT).mapInArrow(name, "h bigint, a bigint, b bigint, c bigint")
+
+
+class PairTally:
+    """Like Tally, of n-grams by fingerprint with their prefixes and suffixes."""
+
+    def __init__(self):
+        self.parts: list[list[np.ndarray]] = []
+        self.size = 0
+
+    def add(self, keys: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+        keys, first, counts = np.unique(keys, return_index=True, return_counts=True)
+        self.parts.append([keys, a[first], b[first], counts])
+        self.size += len(keys)
+
+    def merged(self) -> list[np.ndarray]:
+        keys, a, b, c = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        keys, first, at = np.unique(keys, return_index=True, return_inverse=True)
+        self.parts = [[keys, a[first], b[first], np.bincount(at, c, len(keys)).astype(np.int64)]]
+        self.size = len(keys)
+        return self.parts[0]
+
+    def batches(self, last: bool):
+        if self.size >= 2 * _TALLY or (last and self.parts):
+            _, *columns = self.merged()
+            if last or self.size >= _TALLY:
+                for i in range(0, self.size, 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in columns], ["a", "b", "c"])
+                self.parts, self.size = [], 0
+
+
+def weights(training: DataFrame, word_counts: DataFrame, order: int = ORDER) -> tuple[DataFrame, list[np.ndarray], int, int]:
+    """The model as ``(h, word, c, gain)`` per n-gram, bit maps of its n-grams by length, and the number of training tokens and of distinct ones.
+
+    ``gain`` is what an n-gram in a text adds to the root's log-probability, beside what its parts add.
+    """
+    spark = training.sparkSession
+    size = word_counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("h") == END, F.col("c"))).alias("ends")).first()
+    n, v, ends = size["n"] or 0, size["v"], size["ends"] or 0
+    marks = spark.range(1).select(F.lit(BEGIN).cast("long").alias("h"), F.lit(ends).cast("long").alias("c"))
+    nodes = word_counts.unionByName(marks).select("h", "c", ((F.col("c") + SMOOTHING) / (n + SMOOTHING * (v + 1))).alias("p"))
+    own = nodes.select("h", (F.col("h") != BEGIN).alias("word"), "c", F.lit(0.0).alias("gain"))
+    maps, parts = [bit_map(word_counts.filter(F.col("c") >= LEAST_COUNT))], []
+    for _ in range(order - 1):
+        sent = spark.sparkContext.broadcast(maps)
+        prefix, suffix = nodes.select(F.col("h").alias("a"), F.col("c").alias("of")), nodes.select(F.col("h").alias("b"), F.col("p").alias("low"))
+        p = F.greatest(F.col("c") - DISCOUNT, F.lit(0.1)) / F.greatest("of", "c")
+        arcs = cut(count_pairs(training, sent).join(prefix, "a").join(suffix, "b").select("h", "a", "c", p.alias("p"), "low"))
+        left, other = (F.greatest(1 - F.sum(x), F.lit(1e-12)) for x in ("p", "low"))
+        fail = arcs.groupBy("a").agg(F.log10(left / other).alias("back"))
+        parts.append(own.join(fail.withColumnRenamed("a", "h"), "h", "left").select("h", "word", "c", (F.col("gain") + F.coalesce("back", F.lit(0.0))).alias("gain")))
+        own = arcs.join(fail, "a").select("h", F.lit(False).alias("word"), "c", (F.log10(F.col("p") / F.col("low")) - F.col("back")).alias("gain"))
+        nodes = arcs.select("h", "c", "p")
+        maps = [*maps, bit_map(nodes)]
+    table = own
+    for part in parts:
+        table = table.unionByName(part)
+    return table, maps, n, v
+
+
 def count_words(training: DataFrame) -> DataFrame:
     """``(h, c)``: every distinct token of the training texts and its count."""
 
@@ -219,15 +345,15 @@ class Automaton:
 
 
 def train(training: DataFrame, word_counts: DataFrame, order: int = ORDER) -> tuple[Grams, Automaton, int, int]:
-    """The automaton, and the number of training tokens and of distinct ones, from texts and their word counts."""
+    """The automaton in memory, and the number of training tokens and of distinct ones, from texts and their word counts; for up to a million words and n-grams of a length."""
     size = word_counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("h") == END, F.col("c"))).alias("ends")).first()
     n, v, ends = size["n"] or 0, size["v"], size["ends"] or 0
 
-    def frequent(counts: DataFrame, share: float) -> tuple[np.ndarray, np.ndarray]:
-        table = counts.filter(F.col("c") >= max(LEAST_COUNT, share * n)).toArrow()
+    def frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        table = counts.filter(F.col("c") >= LEAST_COUNT).toArrow()
         return table.column("h").to_numpy().astype(np.int64), table.column("c").to_numpy().astype(np.int64)
 
-    grams = Grams(*frequent(word_counts, WORD_SHARE), ends)
+    grams = Grams(*frequent(word_counts), ends)
     ship(__name__, base.__name__, textbytes.__name__)
     sc = training.sparkSession.sparkContext
     for _ in range(order - 1):
@@ -241,7 +367,7 @@ def train(training: DataFrame, word_counts: DataFrame, order: int = ORDER) -> tu
             yield from tally.batches(True)
 
         counted = training.select("text").mapInArrow(count, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
-        grams.extend(*frequent(counted, GRAM_SHARE))
+        grams.extend(*frequent(counted))
         sent.destroy()
     return grams, Automaton(grams, n + SMOOTHING * (v + 1)), n, v
 
@@ -251,37 +377,58 @@ def score(docs: DataFrame, key: str, is_training: Column, text: str = "text", or
     plain = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text"), is_training.alias("_training"))
     training = plain.filter("_training")
     word_counts = cut(count_words(training))
-    grams, automaton, n, v = train(training, word_counts, order)
+    table, maps, n, v = weights(training, word_counts, order)
+    table = cut(table)
     key_type = docs.schema[key].dataType.simpleString()
-    sent = docs.sparkSession.sparkContext.broadcast((grams, automaton))
+    hot = table.filter(F.col("c") >= F.when(F.col("word"), F.lit(max(LEAST_COUNT, WORD_SHARE * n))).otherwise(F.lit(max(LEAST_COUNT, GRAM_SHARE * n)))).toArrow()
+    h, word, c, gain = (hot.column(x).to_numpy() for x in ("h", "word", "c", "gain"))
+    by_h = np.argsort(h)
+    # What a word adds is counted from that of an unknown one; place 0 is for what is not found.
+    logs = np.where(word, np.log10(c + SMOOTHING) - math.log10(SMOOTHING), 0.0)
+    kept = [h[by_h], *(np.concatenate(([0], x[by_h])) for x in (word.astype(np.int64), logs, gain))]
+    sent = docs.sparkSession.sparkContext.broadcast((maps, kept))
 
     def read_texts(batches):
-        grams, automaton = sent.value
+        from pyspark import TaskContext
+
+        maps, (hot, known, logs, gain) = sent.value
+        row = TaskContext.get().partitionId() << 40
         for batch in slices(batches, "text", _SLICE):
-            found, prints, at = grams.numbers(batch)
-            words = found[0]
-            begin = at[:-1] + np.arange(len(at) - 1)
-            end = np.append(begin[1:], len(words))
-            known = np.delete(words, begin)
-            logs = np.add.reduceat(np.where(known > 0, automaton.word_log[known], 0.0), at[:-1])
-            rare = known == 0
-            n_rare = np.add.reduceat(rare, at[:-1], dtype=np.int64)
-            flat = words.tolist()
-            context = [automaton.read(flat[a:z]) for a, z in zip(begin.tolist(), end.tolist(), strict=True)]
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n_rare))).astype(np.int32)), pa.array(prints[rare]))
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(np.diff(at)), pa.array(np.diff(at) - n_rare), pa.array(logs), pa.array(context), lists], [key, "n_tokens", "frequent", "logs", "context", "rare"])
+            found, at = _ngrams(batch, maps, order)
+            size = len(at) - 1
+            sums, rest = np.zeros((3, size)), []
+            for k, (keys, _, _, rows) in enumerate(found):
+                if k:
+                    held = in_map(maps[k], keys)
+                    keys, rows = keys[held], rows[held]
+                place = _find(hot, keys)
+                for x, of in zip(sums, (known, logs, gain), strict=True):
+                    x += np.bincount(rows, of[place], size)
+                rest.append((keys[place == 0], rows[place == 0]))
+            keys, rows = (np.concatenate(x) for x in zip(*rest, strict=True))
+            # A row of its own for each text, spread by its number, and one for each n-gram to be joined.
+            own = row + np.arange(size)
+            head = np.arange(size + len(keys)) < size
+            columns = [np.concatenate((x, np.zeros(len(keys), x.dtype))) for x in (np.diff(at), sums[0].astype(np.int64), sums[1], sums[2])]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate((own, row + rows))), pa.array(np.concatenate((textbytes.mix(own.view(np.uint64)).view(np.int64), keys))), pa.array(head), pa.concat_arrays([batch.column(key), pa.nulls(len(keys), batch.column(key).type)]), *map(pa.array, columns)],
+                ["_row", "h", "head", key, "n_tokens", "frequent", "logs", "context"],
+            )
+            row += size
 
     ship(__name__, base.__name__, textbytes.__name__)
-    schema = f"`{key}` {key_type}, n_tokens bigint, frequent bigint, logs double, context double, rare array<bigint>"
-    # Written once, so that the row numbers given next are the same whenever a part is read again.
-    rows = cut(plain.select(key, "text").mapInArrow(read_texts, schema)).withColumn("_row", F.monotonically_increasing_id())
-    rare = rows.select("_row", F.explode("rare").alias("h")).join(word_counts, "h", "left")
-    sums = rare.groupBy("_row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + F.lit(SMOOTHING))).alias("_logs"), F.count("c").alias("_known"))
-    base_score = F.col("logs") + F.coalesce("_logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(math.log10(n + SMOOTHING * (v + 1)))
-    return rows.drop("rare").join(sums, "_row", "left").select(
-        key, "n_tokens", (F.col("frequent") + F.coalesce("_known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        base_score.alias("base_score"), (base_score + F.col("context")).alias("score"),
+    schema = f"_row bigint, h bigint, head boolean, `{key}` {key_type}, n_tokens bigint, frequent bigint, logs double, context double"
+    # One pass that gives a text's own row and those of its n-grams, so that their numbers always agree.
+    rows = plain.select(key, "text").mapInArrow(read_texts, schema)
+    added = table.select("h", F.when(F.col("word"), F.log10(F.col("c") + SMOOTHING) - math.log10(SMOOTHING)).alias("log"), "gain")
+    item = rows.join(added, "h", "left")
+    found = lambda x: F.coalesce(F.when(~F.col("head"), F.col(x)), F.lit(0.0))
+    sums = item.groupBy("_row").agg(
+        F.max(key).alias(key), F.sum("n_tokens").alias("n_tokens"), F.sum(F.col("frequent") + F.when(~F.col("head") & F.col("log").isNotNull(), 1).otherwise(0)).alias("n_known"),
+        F.sum(F.col("logs") + found("log")).alias("logs"), F.sum(F.col("context") + found("gain")).alias("context"),
     )
+    base_score = F.col("logs") + F.col("n_tokens") * F.lit(math.log10(SMOOTHING) - math.log10(n + SMOOTHING * (v + 1)))
+    return sums.select(key, "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base_score.alias("base_score"), (base_score + F.col("context")).alias("score"))
 
 
 def op2_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -151,6 +151,29 @@ def test_states_sum_to_one(spark):
         assert abs(sum(automaton.probability(state, w, chance, root) for w in range(1, size + 1)) + left - 1) < 1e-6
 
 
+def test_model_is_whole_at_every_share(spark, monkeypatch):
+    """However few n-grams are frequent enough to be sent to all workers, scores are those of the automaton of all that occur twice."""
+    import numpy as np
+    from pyspark.sql import functions as F
+    from spandrel.llm import backoff_lm as lm
+
+    r = random.Random(4)
+    words = ["".join(r.choice("abcdefgh") for _ in range(3)) for _ in range(60)]
+    texts = [" ".join(words[min(int(r.expovariate(0.1)), 59)] for _ in range(r.randint(0, 40))) for _ in range(80)]
+    df = spark.createDataFrame([(i, t, i % 5 > 0) for i, t in enumerate(texts)], "k int, text string, t boolean")
+    training = df.filter("t")
+    grams, automaton, _, _ = lm.train(training, lm.count_words(training))
+    assert all(len(x) > 20 for x in grams.keys)
+    numbers = grams.numbers(pa.RecordBatch.from_arrays([pa.array(texts)], ["text"]))[0][0]
+    begin = np.append(np.flatnonzero(numbers == grams.begin), len(numbers))
+    want = {i: round(automaton.read(numbers[begin[i] : begin[i + 1]].tolist()), 6) for i in range(len(texts))}
+    for share in (0.0, 0.01, 1.0):
+        monkeypatch.setattr(lm, "WORD_SHARE", share)
+        monkeypatch.setattr(lm, "GRAM_SHARE", share)
+        got = lm.score(df, "k", F.col("t")).collect()
+        assert {x["k"]: round(x["score"] - x["base_score"], 6) for x in got} == want
+
+
 def test_packing(results, data):
     import numpy as np
     import public_tokenizers
