@@ -5,15 +5,18 @@ paths (tag, class, id).  A node has its presentations (sequences of child elemen
 and contents (text blocks), each with the number of pages that show it.  A node whose
 presentation never varies and whose contents recur on many pages tells a reader
 nothing: its importance, from the entropies of both and of what lies below, is near
-0, and the branch is removed from each page.  What an element says of itself goes
-before: an article counts as content, navigation, footers, forms and the like don't.
+0, and its text is removed from each page.  A branch goes where all of its nodes do;
+every other block stays.  What an element says of itself is a prior on the importance
+of it and all below it, up to the next that says something: an article gains, navigation,
+footers, forms and the like lose.  Only what is never rendered as text goes unasked.
+Where a site shows a node too seldom to judge it, the prior is all there is.
 
 Importance of a node on m of the host's pages, with base-m logarithms: contents give
 one less the mean entropy of a block over the pages that show it; presentation gives
 the entropy of the child sequences; a node with children takes
 ``(1 - DECAY) * presentation + DECAY * mean of children (and contents)``.
 
-Statistics per host are sums that combine before the shuffle; a host's pages never
+Equal pages of a host are one page.  Statistics per host are sums that combine before the shuffle; a host's pages never
 meet in one task, only the rows of its merged tree do.
 
 Edge cases: a null or empty html has no text; pages without a host make one site;
@@ -37,10 +40,15 @@ from .base import cut, lower_ascii, read, ship, slices
 
 #: A node of which fewer pages are known than this is not judged by its site.
 LEAST_PAGES = 8
-#: Branches below this importance are removed.
+#: Text of nodes below this importance is removed.
 LEAST_IMPORTANCE = 0.3
 DECAY = 0.9
-#: Nodes to remove that are sent to every executor at most; more are joined by host.
+#: Hints of an element and what they make of an importance: a factor and a summand.
+PLAIN, CONTENT, WEAK, NOISY = range(4)
+PRIOR = {PLAIN: (1.0, 0.0), CONTENT: (1.0, 0.2), WEAK: (0.6, 0.0), NOISY: (0.32, 0.0)}
+#: Importance of a node that no site has judged: that of a text of its own without structure.
+UNJUDGED = DECAY
+#: Nodes judged against their hint that are sent to every executor at most; more are joined by host.
 BROADCAST_NODES = 200_000
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>", re.S)
@@ -49,12 +57,14 @@ _NAME = re.compile(r"[a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title template noscript iframe svg math xmp".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
-NOISE = frozenset("nav footer aside form script style noscript template button select textarea menu dialog iframe svg math head title object embed canvas audio video xmp".split())
+#: What is not rendered as text.
+UNSEEN = frozenset("script style noscript template iframe svg math head title object embed canvas audio video".split())
+NOISE = frozenset("nav footer aside menu button select textarea dialog".split())
+#: A header may hold the title, and a form the whole page.
+WEAK_NOISE = frozenset("header form".split())
 NOISE_NAMES = frozenset("ad ads advert adverts advertisement sponsor sponsored promo banner menu nav navbar navigation sidebar footer masthead cookie cookies consent notice notices popup modal newsletter subscribe subscription share sharing social related recommended breadcrumb breadcrumbs comment comments disqus respond replies pagination pager login signup search toolbar copyright".split())
 CONTENT_NAMES = frozenset("article content entry post story maincontent articlebody".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert".split())
-#: Elements that hold an article's own text; within one they stay, however often a site repeats them.
-PROSE = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote li ul ol dl dt dd table tbody thead tr td th figure figcaption b i em strong a span code br".split())
 #: What an opening tag closes if it is open: each of these ends the nearest of the second within the third.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
@@ -63,17 +73,40 @@ def _hash(*parts: object) -> int:
     return int.from_bytes(blake2b("\x1f".join(map(str, parts)).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
+def _hint(name: str, found: dict[str, str]) -> int:
+    """What an element says of itself; PLAIN if nothing, or if it contradicts itself."""
+    if name in ("html", "body"):
+        return PLAIN
+    whole = f"{found.get('class', '')} {found.get('id', '')}".split()
+    role = found.get("role")
+    noisy = name in NOISE or role in NOISE_ROLES or not NOISE_NAMES.isdisjoint(whole)
+    content = name in ("article", "main") or role == "main" or not CONTENT_NAMES.isdisjoint(whole)
+    parts = {x for w in whole for x in _NAME.findall(w)}
+    weak = name in WEAK_NOISE or bool(parts & NOISE_NAMES)
+    if content:
+        return PLAIN if noisy else CONTENT
+    if parts & CONTENT_NAMES:
+        return PLAIN
+    return NOISY if noisy else WEAK if weak else PLAIN
+
+
+def judged(importance: float, hint: int, least: float = LEAST_IMPORTANCE) -> bool:
+    """Whether a node of this importance and hint is removed."""
+    factor, more = PRIOR[hint]
+    return factor * importance + more < least
+
+
 class Page:
-    """One page: its element nodes and text blocks.  ``low``: paths whose branches are removed; ``whole``: remove nothing."""
+    """One page: its element nodes and text blocks.  ``turned``: paths that their site judges otherwise than their hint alone; ``whole``: remove nothing."""
 
-    def __init__(self, html: str, low: frozenset[int] = frozenset(), memo: dict | None = None, whole: bool = False):
+    def __init__(self, html: str, turned: frozenset[int] = frozenset(), memo: dict | None = None, whole: bool = False):
         self.whole = whole
         self.memo = {} if memo is None else memo
-        self.low = low
-        #: Per node: parent, tag, path, whether it is removed, and the kind of content region it lies in (0 none, 1 named, 2 main, 3 article).
-        self.parent, self.tag, self.path, self.gone, self.region = [-1], ["#root"], [0], [False], [0]
+        self.turned = turned
+        #: Per node: parent, tag, path, hint (an ancestor's if it has none), whether it is never seen, whether its text is removed, and the node that its text belongs to.
+        self.parent, self.tag, self.path, self.hint, self.unseen, self.gone, self.owner = [-1], ["#root"], [0], [PLAIN], [False], [False], [0]
         self.children: dict[int, list[str]] = {}
-        self.blocks: list[tuple[int, int, str]] = []
+        self.blocks: list[tuple[int, str]] = []
         self._stack, self._open = [0], {}
         self._parts: list[str] = []
         self._all: list[str] = []
@@ -107,8 +140,10 @@ class Page:
         if "&" in text:
             text = unescape(text)
         node = self._stack[-1]
+        if self.unseen[node]:
+            return
         if not self._all:
-            self._node = node
+            self._node = self.owner[node]
         self._all.append(text)
         if self.whole or not self.gone[node]:
             self._parts.append(text)
@@ -117,7 +152,7 @@ class Page:
         if self._all:
             text = " ".join("".join(self._parts).split())
             if text:
-                self.blocks.append((self._node, self.region[self._node], text))
+                self.blocks.append((self._node, text))
             self._parts, self._all = [], []
 
     def _pop(self) -> None:
@@ -154,20 +189,27 @@ class Page:
             found = {k.lower(): (v or "").strip("\"'").lower() for k, v in _ATTRIBUTE.findall(attributes)}
             names = frozenset(_NAME.findall(f"{found.get('class', '')} {found.get('id', '')}"))
             style = found.get("style", "").replace(" ", "")
-            noise = name in NOISE or bool(names & NOISE_NAMES) or found.get("role") in NOISE_ROLES or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in style
-            region = 3 if name == "article" else 2 if name == "main" or found.get("role") == "main" else 1 if names & CONTENT_NAMES else 0
-            known = self.memo[key] = (_hash(self.path[over], name, *sorted(names)), noise, region, bool(names))
-        path, noise, region, named = known
-        inside = self.region[over]
-        # An article's own header may hold its title; another is the site's.
-        noise = noise or (name == "header" and inside < 2)
-        kept_prose = inside >= 2 and name in PROSE and not named
+            unseen = name in UNSEEN or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in style
+            own = _hint(name, found)
+            # A header within content may hold its title.
+            if name == "header" and own == WEAK and self.hint[over] == CONTENT:
+                own = PLAIN
+            hint = own or self.hint[over]
+            path = _hash(self.path[over], name, hint, *sorted(names))
+            known = self.memo[key] = (path, hint, unseen, judged(UNJUDGED, hint), name in BLOCK or own != PLAIN)
+        path, hint, unseen, gone, owns = known
+        gone = gone != (path in self.turned)
+        # Unnamed inline text goes with the block that it is part of.
+        owner = len(self.tag) if owns else self.owner[over]
+        unseen = self.unseen[over] or (unseen and name not in ("html", "body"))
         self.children.setdefault(over, []).append(name)
         self.parent.append(over)
         self.tag.append(name)
         self.path.append(path)
-        self.gone.append(self.gone[over] or (noise and name not in ("html", "body", "article", "main")) or (path in self.low and region < 2 and not kept_prose and name not in ("html", "body")))
-        self.region.append(max(region, inside))
+        self.hint.append(hint)
+        self.unseen.append(unseen)
+        self.owner.append(owner)
+        self.gone.append(unseen or (self.gone[over] if not owns else gone and name not in ("html", "body")))
         self._stack.append(len(self.tag) - 1)
         self._open[name] = self._open.get(name, 0) + 1
 
@@ -181,22 +223,27 @@ class Page:
                 return
 
     def text(self) -> str:
-        """The blocks of the surest kind of content region that the page has, one a line."""
-        best = max((r for _, r, _ in self.blocks), default=0)
-        return "\n".join(t for _, r, t in self.blocks if r == best)
+        """All blocks that are left, one a line."""
+        return "\n".join(t for _, t in self.blocks)
 
-    def features(self) -> set[tuple[int, int, int, int]]:
-        """``(path, parent path, 0, presentation)`` and ``(path, parent path, 1, content)`` of the page."""
+    def features(self) -> set[tuple[int, int, int, int, int]]:
+        """``(path, parent path, hint, 0, presentation)`` and ``(path, parent path, hint, 1, content)`` of the page."""
         out = set()
+        above = [0, *(self.path[self.owner[p]] for p in self.parent[1:])]
         for node in range(1, len(self.tag)):
-            out.add((self.path[node], self.path[self.parent[node]], 0, _hash(*self.children.get(node, ()))))
-        for node, _, text in self.blocks:
-            out.add((self.path[node], self.path[self.parent[node]] if node else 0, 1, _hash(text)))
+            if self.owner[node] != node or self.unseen[node]:
+                continue
+            out.add((self.path[node], above[node], self.hint[node], 0, _hash(*self.children.get(node, ()))))
+        for node, text in self.blocks:
+            out.add((self.path[node], above[node], self.hint[node], 1, _hash(text)))
         return out
 
 
+FEATURE = ("path", "parent", "hint", "kind", "feature")
+
+
 def site_trees(pages: DataFrame, host: str, html: str) -> DataFrame:
-    """``(host, path, parent, pages, presentation, repetition, contents)``: the merged tree of each host.
+    """``(host, path, parent, hint, pages, presentation, repetition, contents)``: the merged tree of each host's different pages.
 
     ``presentation``: entropy of the child sequences; ``repetition``: mean log of the pages that show a content.
     """
@@ -204,17 +251,20 @@ def site_trees(pages: DataFrame, host: str, html: str) -> DataFrame:
     def run(batches):
         for batch in slices(batches, html, 1_000_000):
             memo: dict = {}
-            rows: list[tuple] = []
+            names, prints, lists = [], [], []
             for name, text in zip(batch.column(host).to_pylist(), batch.column(html).to_pylist(), strict=True):
-                rows.extend((name, *f) for f in Page(text or "", memo=memo, whole=True).features())
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int32()), pa.array(columns[4], pa.int64())], ["host", "path", "parent", "kind", "feature"])
+                names.append(name)
+                prints.append(_hash(text or ""))
+                lists.append([dict(zip(FEATURE, f, strict=True)) for f in Page(text or "", memo=memo, whole=True).features()])
+            kind = pa.list_(pa.struct([("path", pa.int64()), ("parent", pa.int64()), ("hint", pa.int32()), ("kind", pa.int32()), ("feature", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(prints, pa.int64()), pa.array(lists, kind)], ["host", "page", "features"])
 
     ship(__name__, base.__name__)
-    seen = pages.select(host, html).mapInArrow(run, "host string, path bigint, parent bigint, kind int, feature bigint")
-    counted = seen.groupBy("host", "path", "parent", "kind", "feature").agg(F.count("*").alias("n"))
+    seen = pages.select(host, html).mapInArrow(run, "host string, page bigint, features array<struct<path:bigint,parent:bigint,hint:int,kind:int,feature:bigint>>")
+    seen = seen.dropDuplicates(["host", "page"]).select("host", F.inline("features"))
+    counted = seen.groupBy("host", *FEATURE).agg(F.count("*").alias("n"))
     shown = F.when(F.col("kind") == 0, F.col("n"))
-    return counted.groupBy("host", "path", "parent").agg(
+    return counted.groupBy("host", "path", "parent", "hint").agg(
         F.coalesce(F.sum(shown), F.lit(0)).alias("pages"),
         (F.log(F.sum(shown)) - F.sum(shown * F.log(shown)) / F.sum(shown)).alias("presentation"),
         F.avg(F.when(F.col("kind") == 1, F.log("n"))).alias("repetition"),
@@ -222,8 +272,8 @@ def site_trees(pages: DataFrame, host: str, html: str) -> DataFrame:
     )
 
 
-def low_nodes(trees: DataFrame, least_pages: int = LEAST_PAGES, least_importance: float = LEAST_IMPORTANCE) -> DataFrame:
-    """``(host, path)`` of the branches to remove."""
+def turned_nodes(trees: DataFrame, least_pages: int = LEAST_PAGES, least_importance: float = LEAST_IMPORTANCE) -> DataFrame:
+    """``(host, path)`` of the nodes that are judged otherwise than their hint alone would be."""
     from math import log
 
     def judge(table: pa.Table) -> pa.Table:
@@ -236,16 +286,20 @@ def low_nodes(trees: DataFrame, least_pages: int = LEAST_PAGES, least_importance
             order.extend(below.get(order[i], ()))
             i += 1
         importance: dict[int, float] = {}
+        own: dict[int, float] = {}
         for path in reversed(order):
             r = rows[path]
             base_log = log(max(r["pages"] or 0, 2))
             parts = [importance[c] for c in below.get(path, ())]
             if r["contents"]:
-                parts.append(max(0.0, 1 - (r["repetition"] or 0.0) / base_log) if (r["pages"] or 0) > 1 else 1.0)
+                own[path] = max(0.0, 1 - (r["repetition"] or 0.0) / base_log) if (r["pages"] or 0) > 1 else 1.0
+                parts.append(own[path])
             shape = min(1.0, (r["presentation"] or 0.0) / base_log) if (r["pages"] or 0) > 1 else 1.0
             importance[path] = (1 - DECAY) * shape + DECAY * (sum(parts) / len(parts) if parts else 0.0)
-        low = [p for p in order if (rows[p]["pages"] or 0) >= least_pages and importance[p] < least_importance]
-        return pa.table({"host": pa.array([table.column("host")[0].as_py()] * len(low), pa.string()), "path": pa.array(low, pa.int64())})
+        # Text is not removed for what stands beside it in the same node.
+        importance |= {p: max(importance[p], DECAY * x) for p, x in own.items()}
+        turned = [p for p in order if (rows[p]["pages"] or 0) >= least_pages and judged(importance[p], rows[p]["hint"], least_importance) != judged(UNJUDGED, rows[p]["hint"])]
+        return pa.table({"host": pa.array([table.column("host")[0].as_py()] * len(turned), pa.string()), "path": pa.array(turned, pa.int64())})
 
     ship(__name__, base.__name__)
     return trees.groupBy("host").applyInArrow(judge, "host string, path bigint")
@@ -255,16 +309,18 @@ def extract_text(pages: DataFrame, key: str, url: str = "url", html: str = "html
     """``(key, url, text, n_chars)`` of every row of ``pages``."""
     name = lower_ascii(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), "://([^/?#]*)", 1))
     rows = pages.select(F.col(key), F.col(url), F.col(html).alias("_html"), name.alias("_host"))
-    low = cut(low_nodes(site_trees(rows, "_host", "_html")))
-    small = low.count() <= BROADCAST_NODES
-    lists = low.groupBy(F.col("host").alias("_host")).agg(F.collect_list("path").alias("_low"))
-    joined = rows.join(F.broadcast(lists) if small else lists, "_host", "left").select(key, url, "_html", "_low")
+    turned = cut(turned_nodes(site_trees(rows, "_host", "_html")))
+    small = turned.count() <= BROADCAST_NODES
+    lists = turned.groupBy(F.col("host").alias("_host")).agg(F.collect_list("path").alias("_turned"))
+    joined = rows.join(F.broadcast(lists) if small else lists, "_host", "left").select(key, url, "_html", "_turned")
     types = dict(pages.dtypes)
 
     def run(batches):
         for batch in slices(batches, "_html", 1_000_000):
+            texts = []
             memo: dict = {}
-            texts = [Page(h or "", frozenset(paths or ()), memo).text() for h, paths in zip(batch.column("_html").to_pylist(), batch.column("_low").to_pylist(), strict=True)]
+            for h, paths in zip(batch.column("_html").to_pylist(), batch.column("_turned").to_pylist(), strict=True):
+                texts.append(Page(h or "", frozenset(paths or ()), memo).text())
             yield pa.RecordBatch.from_arrays([batch.column(key), batch.column(url), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [key, url, "text", "n_chars"])
 
     return joined.mapInArrow(run, f"`{key}` {types[key]}, `{url}` {types[url]}, text string, n_chars bigint")

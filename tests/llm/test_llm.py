@@ -116,6 +116,26 @@ def test_site_removes_what_it_repeats(spark):
     assert {r["text"] for r in site_tree.extract_text(df, "k").collect()} == {f"Story {i} {i * i} of words {i} {i * i}" for i in range(30)}
 
 
+def test_names_do_not_decide_ahead_of_the_site(spark):
+    from spandrel.llm import site_tree
+
+    cases = {
+        "<div class='text'><p>whole body</p></div><div class='post-date'>12 May</div>": "whole body\n12 May",
+        "<article>teaser</article><div><p>long body</p></div>": "teaser\nlong body",
+        "<body class='no-sidebar'><div class='content-sidebar-wrap'><div id='no-sidebar'><p>all of it</p></div></div></body>": "all of it",
+        "<div class='sidebar'><a>links</a><article><p>inside</p></article></div><nav><a>gone</a></nav><form><p>typed</p></form>": "inside\ntyped",
+    }
+    rows = [(f"{i}", f"http://h{i}.com/", html) for i, html in enumerate(cases)]
+    # Prose that each of a site's articles repeats goes, equal pages are one page, and a varied branch stays whatever it is named.
+    story = "<article><p>Story {i} of {i}</p><div><p>All rights reserved</p></div></article><div class='related'>{a} Words {i} more</div><div>Text {i} <p>Again</p><p>Again</p><p class='x'>Again</p></div>"
+    rows += [(f"s{i}", "http://s.com/", story.replace("{i}", str(i)).replace("{a}", "<b>x</b>" * i)) for i in range(20)]
+    rows += [(f"e{i}", "http://e.com/", "<div><p>the only page</p></div>") for i in range(20)]
+    got = {r["k"]: r["text"] for r in site_tree.extract_text(spark.createDataFrame(rows, "k string, url string, html string"), "k").collect()}
+    assert [got[f"{i}"] for i in range(len(cases))] == list(cases.values())
+    assert all(got[f"e{i}"] == "the only page" for i in range(20))
+    assert all(f"Story {i} of {i}" in got[f"s{i}"] and f"Words {i} more" in got[f"s{i}"] and f"Text {i}" in got[f"s{i}"] and "All rights" not in got[f"s{i}"] and "Again" not in got[f"s{i}"] for i in range(20))
+
+
 def test_language_model(results, data):
     docs = data[1]["documents"]
     fold = lambda d: d["doc_id"] is not None and zlib.crc32(str(d["doc_id"]).encode()) % 10 == 0
