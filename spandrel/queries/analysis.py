@@ -71,7 +71,7 @@ def ml_scores(spark, d):
     labels = spark.createDataFrame([(f"{name}_0.sol", rule, int(rule[:3] in found)) for name, (_, found, _) in SAMPLES.items() for rule in RULES], "file string, rule_id string, label int")
     parts = labels.select("file").distinct().withColumn("part", F.when(F.pmod(F.xxhash64("file"), F.lit(3)) == 0, "validation").otherwise("train"))
     rows = features.long(ast.flatten(files)).persist()
-    models = ml.train(rows, labels, parts, trees=0)
+    models = ml.train(rows, labels, parts)
     return ml.score(rows, models, rules.findings(rules.analyze(files))).select("file", "rule_id", "probability", "prediction", "confidence", "deterministic", "concordant", "advisory", "hybrid")
 
 

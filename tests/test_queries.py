@@ -128,3 +128,37 @@ def test_split_and_manifest_problems(spark):
     )
     got = {tuple(r) for r in quality.validate_manifest(rows, sources).collect()}
     assert got == {("TX-002", "category"), ("TX-002", "line"), ("TX-002", "stale text"), ("TX-002", "evidence"), ("bad", "id"), ("bad", "no file"), ("TX-003", "stale text"), ("TX-003", "duplicate id")}
+
+
+def test_scores_compare_boosted_trees(monkeypatch):
+    """The registered query fits every candidate of training; what it asks for is looked at, as fitting takes minutes."""
+    import inspect
+
+    from spandrel.plans import ml
+    from spandrel.queries import analysis
+
+    class Seen(Exception):
+        pass
+
+    signature = inspect.signature(ml.train)
+
+    def train(*args, **kwargs):
+        bound = signature.bind(*args, **kwargs)
+        bound.apply_defaults()
+        raise Seen(bound.arguments["trees"])
+
+    class Any:
+        def __getattr__(self, name):
+            return self
+
+        def __call__(self, *args, **kwargs):
+            return self
+
+    monkeypatch.setattr(analysis, "F", Any())
+    monkeypatch.setattr(analysis, "sample_files", Any())
+    monkeypatch.setattr(analysis.ast, "flatten", Any())
+    monkeypatch.setattr(analysis.features, "long", Any())
+    monkeypatch.setattr(ml, "train", train)
+    with pytest.raises(Seen) as seen:
+        analysis.ml_scores(Any(), "")
+    assert seen.value.args == (ml.TREES,) and ml.TREES > 0
