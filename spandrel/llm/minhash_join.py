@@ -195,15 +195,19 @@ def confirmed_links(docs: DataFrame, regions: DataFrame, key: str, text: str, k:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "region", "blocks", "block")), values], ["id", "region", "blocks", "block", "shingles"])
 
     def link(table: pa.Table) -> pa.Table:
-        table = table.sort_by("id")
-        ids = table.column("id").to_pylist()
-        first = [i for i, x in enumerate(ids) if i == 0 or x != ids[i - 1]]  # rows that share an id are one document
+        table = table.sort_by([("id", "ascending"), ("shingles", "ascending")])
+        ids, values = table.column("id").to_pylist(), table.column("shingles").to_pylist()
+        first = [i for i in range(len(ids)) if i == 0 or ids[i] != ids[i - 1] or values[i] != values[i - 1]]
         ids = [ids[i] for i in first]
-        values = table.column("shingles").to_pylist()
+        # Rows that share an id are one document, joined from the start, with all of its different sets.
+        root = [*range(len(ids))]
+        for i in range(1, len(ids)):
+            if ids[i] == ids[i - 1]:
+                root[i] = root[i - 1]
         sets = [np.frombuffer(values[i], np.uint64) for i in first]
         block = table.column("block").to_numpy()[first]
         p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
-        links = block_links(sets, block == q, p != q, share, list(range(len(ids)))) if len(ids) > 1 else []
+        links = block_links(sets, block == q, p != q, share, root) if len(ids) > 1 else []
         return pa.table({"u": pa.array([ids[a] for a, _ in links], table.schema.field("id").type), "v": pa.array([ids[b] for _, b in links], table.schema.field("id").type)})
 
     ship(__name__, base.__name__, textbytes.__name__)

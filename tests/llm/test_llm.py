@@ -287,6 +287,16 @@ def test_near_duplicates(results, data):
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in results(6)), key=repr) == sorted(want, key=repr)
 
 
+def test_all_texts_of_a_key_are_compared(spark):
+    from spandrel.llm import minhash_join as m
+
+    r = random.Random(6)
+    one, two = ([f"w{r.randint(0, 9999)}" for _ in range(200)] for _ in range(2))
+    rows = [(1, one), (1, two), (2, [*one[:-1], "end"]), (3, [*two[:-1], "end"])]
+    got = m.near_duplicates(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "k long, text string"), "k").collect()
+    assert sorted((x["k"], x["component_id"]) for x in got) == [(1, 1), (1, 1), (2, 1), (3, 1)]
+
+
 def test_pigeonhole():
     import numpy as np
     from spandrel.llm import minhash_join as m
