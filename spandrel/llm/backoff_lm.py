@@ -12,9 +12,11 @@ Every n-gram that occurs at least LEAST_COUNT times is in the model, whatever th
 size of the corpus, so none of it has to fit a worker.  What a read adds up is a sum
 over the n-grams of the text, each giving a fixed weight: what its arc adds to the
 arc of its suffix, less the failure arc that it saves, and its own failure arc.  The
-weights are a distributed table made by aggregations and joins, and a text's n-grams
-are joined with it.  N-grams with a share of all tokens are sent to every worker (a
-share e is reached by 1 / e n-grams of a length at most), so the join has no hot keys.
+weights are a distributed table made by aggregations and joins; it is dealt into shards
+by fingerprint, a text's n-grams go to the shards that know them, and what each shard
+adds to a text comes back as one row.  N-grams with a share of all tokens are sent to
+every worker instead (a share e is reached by 1 / e n-grams of a length at most), so
+that no shard has a hot key.  Shards grow in number with the corpus, not in size.
 Bit maps of bounded size tell of most n-grams that they are too rare before they
 are shuffled; a full bit map tells less and loses none.  ``train`` makes the same
 model as states and arcs in memory, for a corpus small enough; tests compare the two.
@@ -33,14 +35,18 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import base, textbytes
-from .base import cut, read, ship, slices, text_buffer
+from .base import cut, discard, read, ship, slices, stored, text_buffer
 
-#: Shares of all training tokens from which the weights of a word, and of a longer n-gram, are sent to every worker.
-WORD_SHARE, GRAM_SHARE = 2e-6, 5e-6
+#: Share of all training tokens from which an n-gram's weights are sent to every worker.
+HOT_SHARE = 5e-7
+#: Training tokens for each shard of the model.
+SHARD_TOKENS = 2_000_000
 #: An n-gram of the model occurs at least so often.
 LEAST_COUNT = 2
 ORDER = 3
@@ -90,8 +96,8 @@ class Tally:
 def _token_prints(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprints of all tokens, each text's end after its words, and the offsets of the texts."""
     raw, offsets = text_buffer(batch.column("text"))
-    starts, _, at = textbytes.spans(raw, offsets)
-    out = np.insert(textbytes.fingerprints(raw, starts).view(np.int64), at[1:], np.int64(END))
+    prints, at = textbytes.prints(raw, offsets)
+    out = np.insert(prints.view(np.int64), at[1:], np.int64(END))
     return out, at + np.arange(len(at))
 
 
@@ -185,33 +191,37 @@ class PairTally:
                 self.parts, self.size = [], 0
 
 
-def weights(training: DataFrame, word_counts: DataFrame, order: int = ORDER) -> tuple[DataFrame, list[np.ndarray], int, int]:
-    """The model as ``(h, word, c, gain)`` per n-gram, bit maps of its n-grams by length, and the number of training tokens and of distinct ones.
+def weights(training: DataFrame, word_counts: DataFrame, order: int = ORDER) -> tuple[list[DataFrame], list[np.ndarray], int, int]:
+    """The model as tables ``(h, c, word, gain)``, bit maps of its n-grams by length, and the number of training tokens and of distinct ones.
 
-    ``gain`` is what an n-gram in a text adds to the root's log-probability, beside what its parts add.
+    The gains of all rows of an n-gram, in whichever table, are what it adds to the
+    root's log-probability of a text, beside what its parts add; ``c`` is its count.
     """
     spark = training.sparkSession
     size = word_counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("h") == END, F.col("c"))).alias("ends")).first()
     n, v, ends = size["n"] or 0, size["v"], size["ends"] or 0
     marks = spark.range(1).select(F.lit(BEGIN).cast("long").alias("h"), F.lit(ends).cast("long").alias("c"))
     nodes = word_counts.unionByName(marks).select("h", "c", ((F.col("c") + SMOOTHING) / (n + SMOOTHING * (v + 1))).alias("p"))
-    own = nodes.select("h", (F.col("h") != BEGIN).alias("word"), "c", F.lit(0.0).alias("gain"))
-    maps, parts = [bit_map(word_counts.filter(F.col("c") >= LEAST_COUNT))], []
+    tables = [word_counts.select("h", "c", F.lit(True).alias("word"), F.lit(0.0).alias("gain"))]
+    maps = [bit_map(word_counts.filter(F.col("c") >= LEAST_COUNT))]
+    before = None
     for _ in range(order - 1):
         sent = spark.sparkContext.broadcast(maps)
+        counted = stored(count_pairs(training, sent))
+        sent.unpersist()
         prefix, suffix = nodes.select(F.col("h").alias("a"), F.col("c").alias("of")), nodes.select(F.col("h").alias("b"), F.col("p").alias("low"))
         p = F.greatest(F.col("c") - DISCOUNT, F.lit(0.1)) / F.greatest("of", "c")
-        arcs = cut(count_pairs(training, sent).join(prefix, "a").join(suffix, "b").select("h", "a", "c", p.alias("p"), "low"))
+        arcs = stored(counted.join(prefix, "a").join(suffix, "b").select("h", "a", "c", "of", p.alias("p"), "low"))
+        discard(*filter(None, (counted, before)))
         left, other = (F.greatest(1 - F.sum(x), F.lit(1e-12)) for x in ("p", "low"))
-        fail = arcs.groupBy("a").agg(F.log10(left / other).alias("back"))
-        parts.append(own.join(fail.withColumnRenamed("a", "h"), "h", "left").select("h", "word", "c", (F.col("gain") + F.coalesce("back", F.lit(0.0))).alias("gain")))
-        own = arcs.join(fail, "a").select("h", F.lit(False).alias("word"), "c", (F.log10(F.col("p") / F.col("low")) - F.col("back")).alias("gain"))
-        nodes = arcs.select("h", "c", "p")
+        fail = arcs.groupBy("a").agg(F.first("of").alias("of"), F.log10(left / other).alias("back"))
+        own = stored(arcs.join(fail.select("a", "back"), "a").select("h", "c", F.lit(False).alias("word"), (F.log10(F.col("p") / F.col("low")) - F.col("back")).alias("gain")))
+        tables += [stored(fail.select(F.col("a").alias("h"), F.col("of").alias("c"), F.lit(False).alias("word"), F.col("back").alias("gain"))), own]
+        nodes, before = arcs.select("h", "c", "p"), arcs
         maps = [*maps, bit_map(nodes)]
-    table = own
-    for part in parts:
-        table = table.unionByName(part)
-    return table, maps, n, v
+    if before is not None:
+        discard(before)
+    return tables, maps, n, v
 
 
 def count_words(training: DataFrame) -> DataFrame:
@@ -357,12 +367,13 @@ def train(training: DataFrame, word_counts: DataFrame, order: int = ORDER) -> tu
     ship(__name__, base.__name__, textbytes.__name__)
     sc = training.sparkSession.sparkContext
     for _ in range(order - 1):
-        sent = sc.broadcast(grams)
+        # As bytes, which carry the class along; executors need no copy of the package.
+        sent = sc.broadcast(cloudpickle.dumps(grams))
 
         def count(batches, sent=sent):
-            tally = Tally()
+            known, tally = cloudpickle.loads(sent.value), Tally()
             for batch in slices(batches, "text", _SLICE):
-                tally.add(sent.value.candidates(batch))
+                tally.add(known.candidates(batch))
                 yield from tally.batches(False)
             yield from tally.batches(True)
 
@@ -372,63 +383,189 @@ def train(training: DataFrame, word_counts: DataFrame, order: int = ORDER) -> tu
     return grams, Automaton(grams, n + SMOOTHING * (v + 1)), n, v
 
 
+def _shard(keys: np.ndarray, n: int) -> np.ndarray:
+    return ((keys.view(np.uint64) >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+
+
+def planes(x: np.ndarray) -> bytes:
+    """The bytes of numbers, all first ones, all second ones and so on: those that repeat shrink when files are compressed."""
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def from_planes(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(data, np.uint8).reshape(size, -1).T.copy().view(kind).ravel()
+
+
+def packed_keys(sorted_keys: np.ndarray) -> bytes:
+    """Ascending unsigned fingerprints by their differences."""
+    return planes(np.diff(sorted_keys.view(np.uint64), prepend=np.uint64(0)))
+
+
+def unpacked_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(from_planes(data, np.uint64), dtype=np.uint64).view(np.int64)
+
+
+#: Unit of a gain on its way to a shard; in 32 bits it reaches 42 powers of ten.
+UNIT = 2e-8
+_SHARDED = pa.schema([("shard", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("gains", pa.binary())])
+
+
+def dealt_weights(table: DataFrame, shards: int) -> DataFrame:
+    """``(shard, keys, counts, gains)``: rows ``(h, c, word, gain)`` of the model by the shard of their fingerprints; counts of words only, else 0."""
+
+    def deal(batches):
+        waiting: list[list[np.ndarray]] = []
+
+        def full():
+            h, c, gain = (np.concatenate(x) for x in zip(*waiting, strict=True))
+            order = np.argsort(h.view(np.uint64))
+            h, c, gain = h[order], c[order], gain[order]
+            edges = np.searchsorted(_shard(h, shards), np.arange(shards + 1))
+            rows = [(i, packed_keys(h[a:z]), planes(c[a:z]), planes(np.rint(gain[a:z] / UNIT).astype(np.int32))) for i, (a, z) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if a < z]
+            waiting.clear()
+            return pa.RecordBatch.from_pylist([dict(zip(_SHARDED.names, r, strict=True)) for r in rows], schema=_SHARDED)
+
+        for batch in batches:
+            h, c, gain = (np.array(batch.column(x), t) for x, t in (("h", np.int64), ("c", np.int64), ("gain", np.float64)))
+            waiting.append([h, np.where(np.array(batch.column("word")), c, 0), gain])
+            if sum(len(w[0]) for w in waiting) >= 2 * _TALLY:
+                yield full()
+        if waiting and sum(len(w[0]) for w in waiting):
+            yield full()
+
+    ship(__name__, base.__name__, textbytes.__name__)
+    return table.select("h", "c", "word", "gain").mapInArrow(deal, "shard int, keys binary, counts binary, gains binary")
+
+
+class Known:
+    """Fingerprints of n-grams and what each adds: whether it is a word of the training texts, to the root's log, to that of contexts."""
+
+    def __init__(self, h: np.ndarray, counts: np.ndarray, gains: np.ndarray):
+        self.h, at = np.unique(h, return_inverse=True)
+        of = np.bincount(at, counts, len(self.h))
+        # What a word adds is counted from that of an unknown one; place 0 is for what is not found.
+        logs = np.where(of > 0, np.log10(of + SMOOTHING) - math.log10(SMOOTHING), 0.0)
+        self.adds = [np.concatenate(([0.0], x)) for x in (of > 0, logs, np.bincount(at, gains, len(self.h)))]
+
+
+def sums(known: Known, keys: np.ndarray, texts: np.ndarray, n: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """What the n-grams found add to each of ``n`` texts, and which were not found."""
+    place = _find(known.h, keys)
+    return [np.bincount(texts, x[place], n) for x in known.adds], place == 0
+
+
 def score(docs: DataFrame, key: str, is_training: Column, text: str = "text", order: int = ORDER) -> DataFrame:
     """Per row: ``key``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` (the root's) and ``score`` (the automaton's), both log10."""
     plain = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text"), is_training.alias("_training"))
     training = plain.filter("_training")
-    word_counts = cut(count_words(training))
-    table, maps, n, v = weights(training, word_counts, order)
-    table = cut(table)
-    key_type = docs.schema[key].dataType.simpleString()
-    hot = table.filter(F.col("c") >= F.when(F.col("word"), F.lit(max(LEAST_COUNT, WORD_SHARE * n))).otherwise(F.lit(max(LEAST_COUNT, GRAM_SHARE * n)))).toArrow()
-    h, word, c, gain = (hot.column(x).to_numpy() for x in ("h", "word", "c", "gain"))
-    by_h = np.argsort(h)
-    # What a word adds is counted from that of an unknown one; place 0 is for what is not found.
-    logs = np.where(word, np.log10(c + SMOOTHING) - math.log10(SMOOTHING), 0.0)
-    kept = [h[by_h], *(np.concatenate(([0], x[by_h])) for x in (word.astype(np.int64), logs, gain))]
-    sent = docs.sparkSession.sparkContext.broadcast((maps, kept))
-
-    def read_texts(batches):
+    word_counts = stored(count_words(training))
+    tables, maps, n, v = weights(training, word_counts, order)
+    table = tables[0]
+    for other in tables[1:]:
+        table = table.unionByName(other)
+    hot = F.col("c") >= max(LEAST_COUNT, HOT_SHARE * n)
+    # A share of the tokens bounds what comes to the driver and goes to the workers.
+    found = table.filter(hot).toArrow()
+    h, c, word, gain = (found.column(x).to_numpy() for x in ("h", "c", "word", "gain"))
+    everywhere = Known(h.astype(np.int64), np.where(word.astype(bool), c, 0), gain.astype(np.float64))
+    sent = docs.sparkSession.sparkContext.broadcast((maps, everywhere.h, everywhere.adds))
+    shards = max(1, -(-n // SHARD_TOKENS))
+    dealt = dealt_weights(table.filter(~hot), shards)
+
+    key_type = docs.schema[key].dataType
+    arrow_key = to_arrow_type(key_type)
+    asked_schema = pa.schema([("shard", pa.int32()), ("first", pa.int64()), ("keys", pa.binary()), ("texts", pa.binary()), ("own", pa.list_(pa.int64())), ("key", pa.list_(arrow_key)), *((x, pa.list_(t)) for x, t in (("n_tokens", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("context", pa.float64())))])
+
+    def ask(batches):
         from pyspark import TaskContext
 
-        maps, (hot, known, logs, gain) = sent.value
-        row = TaskContext.get().partitionId() << 40
+        maps, *parts = sent.value
+        hot = Known.__new__(Known)
+        hot.h, hot.adds = parts
+        first = TaskContext.get().partitionId() << 40
+        waiting: list[tuple] = []
+
+        def full():
+            """One row for each shard that is asked; a text's own sums go to one of them."""
+            keys, texts, key_parts, tokens, *own = zip(*waiting, strict=True)
+            size = np.cumsum([0, *map(len, tokens)])
+            keys, texts = np.concatenate(keys), np.concatenate([t + at for t, at in zip(texts, size, strict=False)])
+            order = np.argsort(keys.view(np.uint64))
+            keys, texts = keys[order], texts[order].astype(np.uint32)
+            edges = np.searchsorted(_shard(keys, shards), np.arange(shards + 1)).tolist()
+            holder = textbytes.mix((first + np.arange(size[-1])).view(np.uint64)) % np.uint64(shards)
+            key_column, tokens = pa.concat_arrays(key_parts), np.concatenate(tokens)
+            own = [np.concatenate(x) for x in own]
+            rows = []
+            for i in range(shards):
+                a, z = edges[i : i + 2]
+                mine = np.flatnonzero(holder == i)
+                if a < z or len(mine):
+                    rows.append([i, first, packed_keys(keys[a:z]), planes(texts[a:z]), mine, key_column.take(pa.array(mine)), tokens[mine], own[0][mine].astype(np.int64), own[1][mine], own[2][mine]])
+            waiting.clear()
+            columns = [pa.array([r[k] for r in rows], asked_schema.field(k).type) for k in range(4)]
+            ends = pa.array(np.cumsum([0, *(len(r[4]) for r in rows)]), pa.int32())
+            for k in range(4, len(asked_schema)):
+                flat = pa.concat_arrays([r[k] if isinstance(r[k], pa.Array) else pa.array(r[k]) for r in rows])
+                columns.append(pa.ListArray.from_arrays(ends, flat))
+            return pa.RecordBatch.from_arrays(columns, names=asked_schema.names), int(size[-1])
+
         for batch in slices(batches, "text", _SLICE):
             found, at = _ngrams(batch, maps, order)
             size = len(at) - 1
-            sums, rest = np.zeros((3, size)), []
+            own, rest = np.zeros((3, size)), []
             for k, (keys, _, _, rows) in enumerate(found):
                 if k:
                     held = in_map(maps[k], keys)
                     keys, rows = keys[held], rows[held]
-                place = _find(hot, keys)
-                for x, of in zip(sums, (known, logs, gain), strict=True):
-                    x += np.bincount(rows, of[place], size)
-                rest.append((keys[place == 0], rows[place == 0]))
+                more, missing = sums(hot, keys, rows, size)
+                own += more
+                rest.append((keys[missing], rows[missing]))
             keys, rows = (np.concatenate(x) for x in zip(*rest, strict=True))
-            # A row of its own for each text, spread by its number, and one for each n-gram to be joined.
-            own = row + np.arange(size)
-            head = np.arange(size + len(keys)) < size
-            columns = [np.concatenate((x, np.zeros(len(keys), x.dtype))) for x in (np.diff(at), sums[0].astype(np.int64), sums[1], sums[2])]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate((own, row + rows))), pa.array(np.concatenate((textbytes.mix(own.view(np.uint64)).view(np.int64), keys))), pa.array(head), pa.concat_arrays([batch.column(key), pa.nulls(len(keys), batch.column(key).type)]), *map(pa.array, columns)],
-                ["_row", "h", "head", key, "n_tokens", "frequent", "logs", "context"],
-            )
-            row += size
-
+            column = batch.column(key)
+            waiting.append((keys, rows, column.cast(arrow_key) if column.type != arrow_key else column, np.diff(at), *own))
+            if sum(len(w[0]) for w in waiting) >= _TALLY:
+                out, done = full()
+                first += done
+                yield out
+        if waiting:
+            yield full()[0]
+
+    def answer(asked: pa.Table, weights: pa.Table) -> pa.Table:
+        known = Known(
+            np.concatenate([np.zeros(0, np.int64), *map(unpacked_keys, weights.column("keys").to_pylist())]),
+            np.concatenate([np.zeros(0), *(from_planes(x, np.int64) for x in weights.column("counts").to_pylist())]),
+            np.concatenate([np.zeros(0), *(from_planes(x, np.int32) * UNIT for x in weights.column("gains").to_pylist())]),
+        )
+        parts = []
+        for batch in asked.to_batches(max_chunksize=1):
+            first = batch.column("first")[0].as_py()
+            texts = from_planes(batch.column("texts")[0].as_py(), np.uint32).astype(np.int64)
+            own = np.asarray(batch.column("own").flatten(), np.int64)
+            numbers = np.unique(np.concatenate((texts, own)))
+            # The text's own row, where this shard holds it, and what its n-grams here add.
+            more, _ = sums(known, unpacked_keys(batch.column("keys")[0].as_py()), np.searchsorted(numbers, texts), len(numbers))
+            at = np.searchsorted(numbers, own)
+            tokens = np.zeros(len(numbers), np.int64)
+            tokens[at] = np.asarray(batch.column("n_tokens").flatten(), np.int64)
+            for x, name in zip(more, ("known", "logs", "context"), strict=True):
+                x[at] += np.asarray(batch.column(name).flatten(), np.float64)
+            held = np.full(len(numbers), -1, np.int64)
+            held[at] = np.arange(len(own))
+            keys = batch.column("key").flatten().take(pa.array(held, pa.int64(), mask=held < 0))
+            parts.append(pa.table([pa.array(first + numbers), keys, pa.array(tokens), pa.array(more[0].astype(np.int64)), pa.array(more[1]), pa.array(more[2])], names=answered.names))
+        return pa.concat_tables([answered.empty_table(), *parts])
+
+    answered = pa.schema([("_row", pa.int64()), (key, arrow_key), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("logs", pa.float64()), ("context", pa.float64())])
     ship(__name__, base.__name__, textbytes.__name__)
-    schema = f"_row bigint, h bigint, head boolean, `{key}` {key_type}, n_tokens bigint, frequent bigint, logs double, context double"
-    # One pass that gives a text's own row and those of its n-grams, so that their numbers always agree.
-    rows = plain.select(key, "text").mapInArrow(read_texts, schema)
-    added = table.select("h", F.when(F.col("word"), F.log10(F.col("c") + SMOOTHING) - math.log10(SMOOTHING)).alias("log"), "gain")
-    item = rows.join(added, "h", "left")
-    found = lambda x: F.coalesce(F.when(~F.col("head"), F.col(x)), F.lit(0.0))
-    sums = item.groupBy("_row").agg(
-        F.max(key).alias(key), F.sum("n_tokens").alias("n_tokens"), F.sum(F.col("frequent") + F.when(~F.col("head") & F.col("log").isNotNull(), 1).otherwise(0)).alias("n_known"),
-        F.sum(F.col("logs") + found("log")).alias("logs"), F.sum(F.col("context") + found("gain")).alias("context"),
-    )
+    name = key_type.simpleString()
+    # One pass that gives a text's own sums and asks for the rest, so that its numbers always agree.
+    asked = plain.select(key, "text").mapInArrow(ask, f"shard int, first bigint, keys binary, texts binary, own array<bigint>, key array<{name}>, n_tokens array<bigint>, known array<bigint>, logs array<double>, context array<double>")
+    parts = asked.groupBy("shard").cogroup(dealt.groupBy("shard")).applyInArrow(answer, f"_row bigint, `{key}` {name}, n_tokens bigint, n_known bigint, logs double, context double")
+    whole = parts.groupBy("_row").agg(F.max(key).alias(key), *(F.sum(x).alias(x) for x in ("n_tokens", "n_known", "logs", "context")))
     base_score = F.col("logs") + F.col("n_tokens") * F.lit(math.log10(SMOOTHING) - math.log10(n + SMOOTHING * (v + 1)))
-    return sums.select(key, "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base_score.alias("base_score"), (base_score + F.col("context")).alias("score"))
+    return whole.select(key, "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base_score.alias("base_score"), (base_score + F.col("context")).alias("score"))
 
 
 def op2_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,6 +20,8 @@ _SPACES[[9, 10, 11, 12, 13, 32]] = True
 _ALNUM = np.zeros(256, bool)
 _ALNUM[48:58] = _ALNUM[65:91] = _ALNUM[97:123] = _ALNUM[128:] = True
 _INVERSE = pow(_BASE, -1, 1 << 64)
+#: Bytes of text that are worked on at once.
+STRETCH = 1 << 20
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -73,18 +75,55 @@ def fingerprints(raw: np.ndarray, starts: np.ndarray, alnum: bool = False) -> np
     global _up, _down
     if not len(starts):
         return np.zeros(0, np.uint64)
-    if len(raw) > len(_up):
+    up, down = _up, _down
+    if len(raw) > len(up):
         size = 1 << int(len(raw) - 1).bit_length()
-        _up, _down = _powers(_BASE, size), _powers(_INVERSE, size)
+        up, down = _powers(_BASE, size), _powers(_INVERSE, size)
+        if size <= 4 * STRETCH:
+            _up, _down = up, down
     value = (_BY_ALNUM if alnum else _BY_SPACE)[raw]
-    value *= _up[: len(raw)]
+    value *= up[: len(raw)]
     out = np.add.reduceat(value, starts)
-    out *= _down[starts]
+    out *= down[starts]
     out = mix(out)
     out[out == 0] = 1
     return out
 
 
+def prints(raw: np.ndarray, offsets: np.ndarray, alnum: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of all words, and the number of words before each row (one more than rows).
+
+    Works through stretches that end between words, so that memory beside the result
+    is bounded by STRETCH bytes of text, or by the longest word.
+    """
+    outside = ~_ALNUM if alnum else _SPACES
+    parts, counts = [], [np.zeros(1, np.int64)]
+    total, at, row = 0, 0, 0
+    while row < len(offsets) - 1:
+        # Whole rows as long as they fit, else a part of the next one.
+        last = max(row, int(np.searchsorted(offsets, at + STRETCH, side="right")) - 1)
+        to = int(offsets[last])
+        if last == row:
+            to = min(at + STRETCH, int(offsets[row + 1]))
+            while to < offsets[row + 1]:
+                found = np.flatnonzero(outside[raw[to : to + 4096]])
+                if len(found):
+                    to = min(to + int(found[0]), int(offsets[row + 1]))
+                    break
+                to += 4096
+            to = min(to, int(offsets[row + 1]))
+        inner = np.concatenate(([at], offsets[row + 1 : last], [to])) if last > row + 1 else np.array([at, to])
+        starts, _, before = spans(raw[at:to], inner - at, alnum)
+        parts.append(fingerprints(raw[at:to], starts, alnum))
+        done = max(last, row + 1) if to == offsets[max(last, row + 1)] else row
+        if done > row:
+            counts.append(total + before[1:])
+            row = done
+        total += len(starts)
+        at = to
+    return np.concatenate([*parts, np.zeros(0, np.uint64)]), np.concatenate(counts)
+
+
 def grams(prints: np.ndarray, k: int) -> np.ndarray:
     """Fingerprints of the k consecutive words that start at each word; the last k - 1 wrap and are not meaningful."""
     out = prints.copy()

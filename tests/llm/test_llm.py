@@ -187,9 +187,9 @@ def test_model_is_whole_at_every_share(spark, monkeypatch):
     numbers = grams.numbers(pa.RecordBatch.from_arrays([pa.array(texts)], ["text"]))[0][0]
     begin = np.append(np.flatnonzero(numbers == grams.begin), len(numbers))
     want = {i: round(automaton.read(numbers[begin[i] : begin[i + 1]].tolist()), 6) for i in range(len(texts))}
-    for share in (0.0, 0.01, 1.0):
-        monkeypatch.setattr(lm, "WORD_SHARE", share)
-        monkeypatch.setattr(lm, "GRAM_SHARE", share)
+    for share, shard in ((0.0, 2_000_000), (0.01, 300), (1.0, 100)):
+        monkeypatch.setattr(lm, "HOT_SHARE", share)
+        monkeypatch.setattr(lm, "SHARD_TOKENS", shard)
         got = lm.score(df, "k", F.col("t")).collect()
         assert {x["k"]: round(x["score"] - x["base_score"], 6) for x in got} == want
 
