@@ -46,7 +46,7 @@ from .base import cut, discard, read, ship, slices, stored, text_buffer
 #: Share of all training tokens from which an n-gram's weights are sent to every worker.
 HOT_SHARE = 5e-7
 #: Training tokens for each shard of the model.
-SHARD_TOKENS = 2_000_000
+SHARD_TOKENS = 4_000_000
 #: An n-gram of the model occurs at least so often.
 LEAST_COUNT = 2
 ORDER = 3
@@ -56,6 +56,8 @@ END = 0  # a fingerprint that no word has
 BEGIN = 0x2545F4914F6CDD1D  # of the mark before a text, a context only
 #: Bits of a bit map of fingerprints, as a power of two.
 _MAP_BITS = 27
+#: Units in which gains, and sums of logarithms on their way back from a shard, are whole numbers.
+GAIN_UNIT, LOG_UNIT = 2e-8, 1e-10
 _SHIFT = np.int64(20)
 _TALLY = 600_000
 #: Bytes of text that are worked on at once.
@@ -106,6 +108,31 @@ def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return textbytes.mix(a.view(np.uint64) * np.uint64(0xA0761D6478BD642F) + textbytes.mix(b.view(np.uint64) + np.uint64(1))).view(np.int64)
 
 
+def _shard(keys: np.ndarray, n: int) -> np.ndarray:
+    return ((keys.view(np.uint64) >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+
+
+def packed(x: np.ndarray) -> bytes:
+    """64-bit integers as bytes: all first bytes, all second ones and so on, which repeat, compressed."""
+    data = x.astype("<i8").view(np.uint8).reshape(len(x), 8).T.tobytes()
+    return len(x).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    raw = pa.decompress(data[8:], 8 * n, "zstd", asbytes=True)
+    return np.frombuffer(raw, np.uint8).reshape(8, n).T.copy().view("<i8").ravel().astype(np.int64)
+
+
+def packed_keys(sorted_keys: np.ndarray) -> bytes:
+    """Ascending unsigned fingerprints by their differences."""
+    return packed(np.diff(sorted_keys.view(np.uint64), prepend=np.uint64(0)).view(np.int64))
+
+
+def unpacked_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data).view(np.uint64), dtype=np.uint64).view(np.int64)
+
+
 def bit_map(known: DataFrame) -> np.ndarray:
     """Words of 64 bits: which values the first bits of the fingerprints ``h`` take."""
     word, bit = F.shiftrightunsigned("h", 64 - _MAP_BITS + 6).cast("int"), F.shiftrightunsigned("h", 64 - _MAP_BITS).bitwiseAND(F.lit(63)).cast("int")
@@ -143,24 +170,30 @@ def _ngrams(batch: pa.RecordBatch, maps: list[np.ndarray], longest: int):
     return out, at
 
 
-def count_pairs(training: DataFrame, maps) -> DataFrame:
+def count_pairs(training: DataFrame, maps, shards: int = 1) -> DataFrame:
     """``(h, a, b, c)``: every n-gram that occurs at least LEAST_COUNT times, its prefix, suffix and count.  ``maps``: a broadcast bit map for each shorter length."""
 
     def count(batches):
         tally = PairTally()
         for batch in slices(batches, "text", _SLICE):
             tally.add(*_ngrams(batch, maps.value, len(maps.value) + 1)[0][-1][:3])
-            yield from tally.batches(False)
-        yield from tally.batches(True)
-
-    def name(batches):
-        for batch in batches:
-            a, b = (np.array(batch.column(c), np.int64) for c in ("a", "b"))
-            yield pa.RecordBatch.from_arrays([pa.array(combine(a, b)), *batch.columns], ["h", *batch.schema.names])
+            if tally.size >= 2 * _TALLY and len(tally.merged()[0]) >= _TALLY:
+                yield tally.packed(shards)
+        if tally.size:
+            yield tally.packed(shards)
+
+    def total(table: pa.Table) -> pa.Table:
+        a = np.concatenate([np.cumsum(unpacked(x)) for x in table.column("a").to_pylist()])
+        b, c = (np.concatenate([unpacked(x) for x in table.column(name).to_pylist()]) for name in "bc")
+        h, first, at = np.unique(combine(a, b), return_index=True, return_inverse=True)
+        c = np.bincount(at, c, len(h)).astype(np.int64)
+        kept = c >= LEAST_COUNT
+        first = first[kept]
+        return pa.table([pa.array(x) for x in (h[kept], a[first], b[first], c[kept])], names=["h", "a", "b", "c"])
 
     ship(__name__, base.__name__, textbytes.__name__)
-    counted = training.select("text").mapInArrow(count, "a bigint, b bigint, c bigint").groupBy("a", "b").agg(F.sum("c").alias("c"))
-    return counted.filter(F.col("c") >= LEAST_COUNT).mapInArrow(name, "h bigint, a bigint, b bigint, c bigint")
+    counted = training.select("text").mapInArrow(count, "shard int, a binary, b binary, c binary")
+    return counted.groupBy("shard").applyInArrow(total, "h bigint, a bigint, b bigint, c bigint")
 
 
 class PairTally:
@@ -182,42 +215,57 @@ class PairTally:
         self.size = len(keys)
         return self.parts[0]
 
-    def batches(self, last: bool):
-        if self.size >= 2 * _TALLY or (last and self.parts):
-            _, *columns = self.merged()
-            if last or self.size >= _TALLY:
-                for i in range(0, self.size, 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in columns], ["a", "b", "c"])
-                self.parts, self.size = [], 0
+    def packed(self, shards: int) -> pa.RecordBatch:
+        """All counts, by shard and ascending prefix; the tally is empty then."""
+        keys, a, b, c = self.merged()
+        at = _shard(keys, shards)
+        order = np.lexsort((a, at))
+        edges = np.searchsorted(at[order], np.arange(shards + 1)).tolist()
+        rows = []
+        for i in range(shards):
+            part = order[edges[i] : edges[i + 1]]
+            if len(part):
+                rows.append([i, packed(np.diff(a[part], prepend=np.int64(0))), packed(b[part]), packed(c[part])])
+        self.parts, self.size = [], 0
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2, 3))], ["shard", "a", "b", "c"])
+
+
+def shards_for(n_tokens: int) -> int:
+    return max(1, -(-n_tokens // SHARD_TOKENS))
 
 
 def weights(training: DataFrame, word_counts: DataFrame, order: int = ORDER) -> tuple[list[DataFrame], list[np.ndarray], int, int]:
     """The model as tables ``(h, c, word, gain)``, bit maps of its n-grams by length, and the number of training tokens and of distinct ones.
 
     The gains of all rows of an n-gram, in whichever table, are what it adds to the
-    root's log-probability of a text, beside what its parts add; ``c`` is its count.
+    root's log-probability of a text, beside what its parts add, in GAIN_UNIT; ``c`` is its count.
     """
     spark = training.sparkSession
     size = word_counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("h") == END, F.col("c"))).alias("ends")).first()
     n, v, ends = size["n"] or 0, size["v"], size["ends"] or 0
     marks = spark.range(1).select(F.lit(BEGIN).cast("long").alias("h"), F.lit(ends).cast("long").alias("c"))
     nodes = word_counts.unionByName(marks).select("h", "c", ((F.col("c") + SMOOTHING) / (n + SMOOTHING * (v + 1))).alias("p"))
-    tables = [word_counts.select("h", "c", F.lit(True).alias("word"), F.lit(0.0).alias("gain"))]
+    tables = [word_counts.select("h", "c", F.lit(True).alias("word"), F.lit(0).alias("gain"))]
     maps = [bit_map(word_counts.filter(F.col("c") >= LEAST_COUNT))]
-    before = None
+    before, shards = None, shards_for(n)
+    units = lambda x: F.round(x / GAIN_UNIT).cast("int").alias("gain")
     for _ in range(order - 1):
         sent = spark.sparkContext.broadcast(maps)
-        counted = stored(count_pairs(training, sent))
+        counted = stored(count_pairs(training, sent, shards))
         sent.unpersist()
+        # One join at a time, so that the files of only one are there at once.
         prefix, suffix = nodes.select(F.col("h").alias("a"), F.col("c").alias("of")), nodes.select(F.col("h").alias("b"), F.col("p").alias("low"))
+        followed = stored(counted.join(prefix, "a"))
+        discard(counted)
         p = F.greatest(F.col("c") - DISCOUNT, F.lit(0.1)) / F.greatest("of", "c")
-        arcs = stored(counted.join(prefix, "a").join(suffix, "b").select("h", "a", "c", "of", p.alias("p"), "low"))
-        discard(*filter(None, (counted, before)))
+        arcs = stored(followed.join(suffix, "b").select("h", "a", "c", "of", "low"))
+        discard(*filter(None, (followed, before)))
+        before, arcs = arcs, arcs.withColumn("p", p)
         left, other = (F.greatest(1 - F.sum(x), F.lit(1e-12)) for x in ("p", "low"))
         fail = arcs.groupBy("a").agg(F.first("of").alias("of"), F.log10(left / other).alias("back"))
-        own = stored(arcs.join(fail.select("a", "back"), "a").select("h", "c", F.lit(False).alias("word"), (F.log10(F.col("p") / F.col("low")) - F.col("back")).alias("gain")))
-        tables += [stored(fail.select(F.col("a").alias("h"), F.col("of").alias("c"), F.lit(False).alias("word"), F.col("back").alias("gain"))), own]
-        nodes, before = arcs.select("h", "c", "p"), arcs
+        own = stored(arcs.join(fail.select("a", "back"), "a").select("h", "c", F.lit(False).alias("word"), units(F.log10(F.col("p") / F.col("low")) - F.col("back"))))
+        tables += [stored(fail.select(F.col("a").alias("h"), F.col("of").alias("c"), F.lit(False).alias("word"), units(F.col("back")))), own]
+        nodes = arcs.select("h", "c", "p")
         maps = [*maps, bit_map(nodes)]
     if before is not None:
         discard(before)
@@ -383,31 +431,6 @@ def train(training: DataFrame, word_counts: DataFrame, order: int = ORDER) -> tu
     return grams, Automaton(grams, n + SMOOTHING * (v + 1)), n, v
 
 
-def _shard(keys: np.ndarray, n: int) -> np.ndarray:
-    return ((keys.view(np.uint64) >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
-
-
-def planes(x: np.ndarray) -> bytes:
-    """The bytes of numbers, all first ones, all second ones and so on: those that repeat shrink when files are compressed."""
-    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
-
-
-def from_planes(data: bytes, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.frombuffer(data, np.uint8).reshape(size, -1).T.copy().view(kind).ravel()
-
-
-def packed_keys(sorted_keys: np.ndarray) -> bytes:
-    """Ascending unsigned fingerprints by their differences."""
-    return planes(np.diff(sorted_keys.view(np.uint64), prepend=np.uint64(0)))
-
-
-def unpacked_keys(data: bytes) -> np.ndarray:
-    return np.cumsum(from_planes(data, np.uint64), dtype=np.uint64).view(np.int64)
-
-
-#: Unit of a gain on its way to a shard; in 32 bits it reaches 42 powers of ten.
-UNIT = 2e-8
 _SHARDED = pa.schema([("shard", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("gains", pa.binary())])
 
 
@@ -422,12 +445,12 @@ def dealt_weights(table: DataFrame, shards: int) -> DataFrame:
             order = np.argsort(h.view(np.uint64))
             h, c, gain = h[order], c[order], gain[order]
             edges = np.searchsorted(_shard(h, shards), np.arange(shards + 1))
-            rows = [(i, packed_keys(h[a:z]), planes(c[a:z]), planes(np.rint(gain[a:z] / UNIT).astype(np.int32))) for i, (a, z) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if a < z]
+            rows = [(i, packed_keys(h[a:z]), packed(c[a:z]), packed(gain[a:z])) for i, (a, z) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if a < z]
             waiting.clear()
             return pa.RecordBatch.from_pylist([dict(zip(_SHARDED.names, r, strict=True)) for r in rows], schema=_SHARDED)
 
         for batch in batches:
-            h, c, gain = (np.array(batch.column(x), t) for x, t in (("h", np.int64), ("c", np.int64), ("gain", np.float64)))
+            h, c, gain = (np.array(batch.column(x), t) for x, t in (("h", np.int64), ("c", np.int64), ("gain", np.int64)))
             waiting.append([h, np.where(np.array(batch.column("word")), c, 0), gain])
             if sum(len(w[0]) for w in waiting) >= 2 * _TALLY:
                 yield full()
@@ -446,7 +469,7 @@ class Known:
         of = np.bincount(at, counts, len(self.h))
         # What a word adds is counted from that of an unknown one; place 0 is for what is not found.
         logs = np.where(of > 0, np.log10(of + SMOOTHING) - math.log10(SMOOTHING), 0.0)
-        self.adds = [np.concatenate(([0.0], x)) for x in (of > 0, logs, np.bincount(at, gains, len(self.h)))]
+        self.adds = [np.concatenate(([0.0], x)) for x in (of > 0, logs, np.bincount(at, gains, len(self.h)) * GAIN_UNIT)]
 
 
 def sums(known: Known, keys: np.ndarray, texts: np.ndarray, n: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -470,7 +493,7 @@ def score(docs: DataFrame, key: str, is_training: Column, text: str = "text", or
     h, c, word, gain = (found.column(x).to_numpy() for x in ("h", "c", "word", "gain"))
     everywhere = Known(h.astype(np.int64), np.where(word.astype(bool), c, 0), gain.astype(np.float64))
     sent = docs.sparkSession.sparkContext.broadcast((maps, everywhere.h, everywhere.adds))
-    shards = max(1, -(-n // SHARD_TOKENS))
+    shards = shards_for(n)
     dealt = dealt_weights(table.filter(~hot), shards)
 
     key_type = docs.schema[key].dataType
@@ -492,7 +515,7 @@ def score(docs: DataFrame, key: str, is_training: Column, text: str = "text", or
             size = np.cumsum([0, *map(len, tokens)])
             keys, texts = np.concatenate(keys), np.concatenate([t + at for t, at in zip(texts, size, strict=False)])
             order = np.argsort(keys.view(np.uint64))
-            keys, texts = keys[order], texts[order].astype(np.uint32)
+            keys, texts = keys[order], texts[order]
             edges = np.searchsorted(_shard(keys, shards), np.arange(shards + 1)).tolist()
             holder = textbytes.mix((first + np.arange(size[-1])).view(np.uint64)) % np.uint64(shards)
             key_column, tokens = pa.concat_arrays(key_parts), np.concatenate(tokens)
@@ -502,7 +525,7 @@ def score(docs: DataFrame, key: str, is_training: Column, text: str = "text", or
                 a, z = edges[i : i + 2]
                 mine = np.flatnonzero(holder == i)
                 if a < z or len(mine):
-                    rows.append([i, first, packed_keys(keys[a:z]), planes(texts[a:z]), mine, key_column.take(pa.array(mine)), tokens[mine], own[0][mine].astype(np.int64), own[1][mine], own[2][mine]])
+                    rows.append([i, first, packed_keys(keys[a:z]), packed(texts[a:z]), mine, key_column.take(pa.array(mine)), tokens[mine], own[0][mine].astype(np.int64), own[1][mine], own[2][mine]])
             waiting.clear()
             columns = [pa.array([r[k] for r in rows], asked_schema.field(k).type) for k in range(4)]
             ends = pa.array(np.cumsum([0, *(len(r[4]) for r in rows)]), pa.int32())
@@ -525,7 +548,7 @@ def score(docs: DataFrame, key: str, is_training: Column, text: str = "text", or
             keys, rows = (np.concatenate(x) for x in zip(*rest, strict=True))
             column = batch.column(key)
             waiting.append((keys, rows, column.cast(arrow_key) if column.type != arrow_key else column, np.diff(at), *own))
-            if sum(len(w[0]) for w in waiting) >= _TALLY:
+            if sum(len(w[0]) for w in waiting) >= _TALLY or sum(len(w[3]) for w in waiting) >= 100_000:
                 out, done = full()
                 first += done
                 yield out
@@ -535,35 +558,44 @@ def score(docs: DataFrame, key: str, is_training: Column, text: str = "text", or
     def answer(asked: pa.Table, weights: pa.Table) -> pa.Table:
         known = Known(
             np.concatenate([np.zeros(0, np.int64), *map(unpacked_keys, weights.column("keys").to_pylist())]),
-            np.concatenate([np.zeros(0), *(from_planes(x, np.int64) for x in weights.column("counts").to_pylist())]),
-            np.concatenate([np.zeros(0), *(from_planes(x, np.int32) * UNIT for x in weights.column("gains").to_pylist())]),
+            *(np.concatenate([np.zeros(0, np.int64), *map(unpacked, weights.column(x).to_pylist())]) for x in ("counts", "gains")),
         )
-        parts = []
+        rows = []
         for batch in asked.to_batches(max_chunksize=1):
-            first = batch.column("first")[0].as_py()
-            texts = from_planes(batch.column("texts")[0].as_py(), np.uint32).astype(np.int64)
+            texts = unpacked(batch.column("texts")[0].as_py())
             own = np.asarray(batch.column("own").flatten(), np.int64)
             numbers = np.unique(np.concatenate((texts, own)))
-            # The text's own row, where this shard holds it, and what its n-grams here add.
+            # What the n-grams here add to each text, and the text's own sums where this shard holds them.
             more, _ = sums(known, unpacked_keys(batch.column("keys")[0].as_py()), np.searchsorted(numbers, texts), len(numbers))
             at = np.searchsorted(numbers, own)
-            tokens = np.zeros(len(numbers), np.int64)
-            tokens[at] = np.asarray(batch.column("n_tokens").flatten(), np.int64)
             for x, name in zip(more, ("known", "logs", "context"), strict=True):
                 x[at] += np.asarray(batch.column(name).flatten(), np.float64)
-            held = np.full(len(numbers), -1, np.int64)
-            held[at] = np.arange(len(own))
-            keys = batch.column("key").flatten().take(pa.array(held, pa.int64(), mask=held < 0))
-            parts.append(pa.table([pa.array(first + numbers), keys, pa.array(tokens), pa.array(more[0].astype(np.int64)), pa.array(more[1]), pa.array(more[2])], names=answered.names))
-        return pa.concat_tables([answered.empty_table(), *parts])
-
-    answered = pa.schema([("_row", pa.int64()), (key, arrow_key), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("logs", pa.float64()), ("context", pa.float64())])
+            units = (1, LOG_UNIT, LOG_UNIT)
+            rows.append([batch.column("first")[0], packed(np.diff(numbers, prepend=np.int64(0))), *(packed(np.rint(x / u).astype(np.int64)) for x, u in zip(more, units, strict=True)), batch.column("own"), batch.column("key"), batch.column("n_tokens")])
+        columns = [pa.array([r[k].as_py() if k == 0 else r[k] for r in rows], answered.field(k).type) for k in range(5)]
+        columns += [pa.concat_arrays([r[k] for r in rows]) if rows else pa.array([], answered.field(k).type) for k in range(5, 8)]
+        return pa.table(columns, schema=answered)
+
+    def whole(table: pa.Table) -> pa.Table:
+        """The texts of one row of ``first`` from the sums of all shards."""
+        numbers = [np.cumsum(unpacked(x)) for x in table.column("numbers").to_pylist()]
+        every, at = np.unique(np.concatenate(numbers), return_inverse=True)
+        totals = [np.zeros(len(every), np.int64) for _ in range(3)]
+        for x, name in zip(totals, ("known", "logs", "context"), strict=True):
+            np.add.at(x, at, np.concatenate([unpacked(v) for v in table.column(name).to_pylist()]))
+        own = table.column("own").combine_chunks().flatten().to_numpy()
+        order = np.argsort(own)
+        keys, tokens = (table.column(x).combine_chunks().flatten().take(pa.array(order)) for x in ("key", "n_tokens"))
+        return pa.table([keys, tokens, pa.array(totals[0]), pa.array(totals[1] * LOG_UNIT), pa.array(totals[2] * LOG_UNIT)], names=[key, "n_tokens", "n_known", "logs", "context"])
+
+    longs = [(x, pa.binary()) for x in ("numbers", "known", "logs", "context")]
+    answered = pa.schema([("first", pa.int64()), *longs, ("own", pa.list_(pa.int64())), ("key", pa.list_(arrow_key)), ("n_tokens", pa.list_(pa.int64()))])
     ship(__name__, base.__name__, textbytes.__name__)
     name = key_type.simpleString()
     # One pass that gives a text's own sums and asks for the rest, so that its numbers always agree.
     asked = plain.select(key, "text").mapInArrow(ask, f"shard int, first bigint, keys binary, texts binary, own array<bigint>, key array<{name}>, n_tokens array<bigint>, known array<bigint>, logs array<double>, context array<double>")
-    parts = asked.groupBy("shard").cogroup(dealt.groupBy("shard")).applyInArrow(answer, f"_row bigint, `{key}` {name}, n_tokens bigint, n_known bigint, logs double, context double")
-    whole = parts.groupBy("_row").agg(F.max(key).alias(key), *(F.sum(x).alias(x) for x in ("n_tokens", "n_known", "logs", "context")))
+    parts = asked.groupBy("shard").cogroup(dealt.groupBy("shard")).applyInArrow(answer, f"first bigint, numbers binary, known binary, logs binary, context binary, own array<bigint>, key array<{name}>, n_tokens array<bigint>")
+    whole = parts.groupBy("first").applyInArrow(whole, f"`{key}` {name}, n_tokens bigint, n_known bigint, logs double, context double")
     base_score = F.col("logs") + F.col("n_tokens") * F.lit(math.log10(SMOOTHING) - math.log10(n + SMOOTHING * (v + 1)))
     return whole.select(key, "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base_score.alias("base_score"), (base_score + F.col("context")).alias("score"))
 
