@@ -1,10 +1,15 @@
 """Benchmark decontamination with a hash set of normalised test n-grams.
 
 Windows of benchmark items are hashed, the distinct hashes go to every executor
-(behind a check of their number; beyond it the same join is a shuffle), the
-windows of each document stream past them, and every hit is confirmed by
-comparing the words.  Hits are then merged per document into hit words, or
-removed as spans, or the document is dropped.  All of it is DataFrame operations.
+(behind a check of their number and bytes), the windows of each document stream past
+them, and every hit is confirmed by comparing the words.  Beyond the check the hashes
+of the documents' windows, without any text, are joined with those of the benchmark by
+a shuffle, and only documents with hits are looked at again to confirm them.  Hits are
+then merged per document into hit words, or the document is dropped.  All of it is
+DataFrame operations.
+
+A window's hash is made of its words' hashes, halves first, so that each word is hashed
+once whatever the width.
 
 Words are maximal runs of ASCII letters, digits and non-ASCII characters of the
 text with A-Z in lower case.  An item's windows are its runs of ``width`` words;
@@ -20,11 +25,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import lower_ascii, read, replicated, without
+from .base import cut, lower_ascii, read, replicated, without
 
 WIDTH = 10
-#: Benchmark windows that are sent to every executor at most (some 200 bytes each); more are joined by a shuffle.
-BROADCAST_WINDOWS = 500_000
+#: Benchmark windows, and bytes of their words and item ids, that are sent to every executor at most; more are joined by a shuffle.
+BROADCAST_WINDOWS, BROADCAST_BYTES = 500_000, 200_000_000
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -36,41 +41,60 @@ def words(text: Column) -> Column:
     return F.slice(parts, first, F.greatest(last - first + 1, F.lit(0)))
 
 
-def _windows(width: Column | int, least: int = 1) -> Column:
-    """Hash and 0-based place of each window of ``width`` consecutive ``_words``."""
-    width = F.lit(width) if isinstance(width, int) else width
-    places = F.when(F.size("_words") >= width, F.sequence(F.lit(0), F.size("_words") - width)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.struct(F.xxhash64(F.slice("_words", i + 1, width)).alias("hash"), i.alias("at"), width.alias("size")))
+def _with_hashes(rows: DataFrame, widths: list[int]) -> DataFrame:
+    """``rows`` with ``_h<width>``: the hashes of the runs of so many consecutive ``_words``, by their places, for each of ``widths``."""
+    done = {1}
+    rows = rows.withColumn("_h1", F.transform("_words", lambda w: F.xxhash64(w)))
+
+    def add(rows: DataFrame, width: int) -> DataFrame:
+        if width in done:
+            return rows
+        half = 1 << (width - 1).bit_length() - 1
+        rest = width - half
+        rows = add(add(rows, half), rest)
+        done.add(width)
+        # Both parts at each place where the whole run fits; an array that is too short leaves none.
+        size = F.greatest(F.size("_words") - (width - 1), F.lit(0))
+        left, right = F.slice(f"_h{half}", 1, size), F.slice(f"_h{rest}", half + 1, size)
+        return rows.withColumn(f"_h{width}", F.zip_with(left, right, lambda a, b: F.xxhash64(a, b)))
+
+    for width in widths:
+        rows = add(rows, width)
+    return rows
+
+
+def _windows(widths: list[int]) -> list[Column]:
+    """For each of the hashed ``widths``: an array of (hash, 0-based place, size) of all windows."""
+
+    def of(width: int) -> Column:
+        return F.transform(f"_h{width}", lambda h, i: F.struct(h.alias("hash"), i.alias("at"), F.lit(width).alias("size")))
+
+    return [of(width) for width in widths]
 
 
 def benchmark_windows(items: DataFrame, width: int = WIDTH, item: str = "item_id", text: str = "text") -> DataFrame:
     """``(hash, size, words, items)``: each distinct window once, with the sorted ids of its items."""
     own = items.select(F.col(item).alias("_item"), words(F.col(text)).alias("_words")).filter(F.size("_words") > 0)
-    own = own.withColumn("_size", F.least(F.lit(width), F.size("_words")))
-    each = own.select("_item", "_words", F.explode(_windows(F.col("_size"))).alias("w")).select("_item", "w.hash", "w.size", F.slice("_words", F.col("w.at") + 1, F.col("w.size")).alias("words"))
+    # An item's windows are those of its own number of words, up to the width.
+    each = _hashed(own, [*range(1, width + 1)]).select("_item", "_words", F.explode(F.filter("_w", lambda w: w["size"] == F.least(F.lit(width), F.size("_words")))).alias("w"))
+    each = each.select("_item", "w.hash", "w.size", F.slice("_words", F.col("w.at") + 1, F.col("w.size")).alias("words"))
     return each.groupBy("hash", "size", "words").agg(F.sort_array(F.collect_set("_item")).alias("items"))
 
 
-def document_hits(docs: DataFrame, items: DataFrame, key: str, width: int = WIDTH, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Per row of ``docs``: ``key``, ``n_words``, ``hits`` (sorted places and sizes of confirmed windows) and ``items`` (distinct ids, sorted)."""
-    table = benchmark_windows(items, width, item, item_text)
-    table = table.groupBy("hash").agg(F.collect_list(F.struct("size", "words", "items")).alias("found")).persist()
-    shape = table.agg(F.count("*").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.transform("found", lambda x: x["size"]))))).alias("sizes")).first()
-    item_type = items.schema[item].dataType.simpleString()
+def _hashed(docs: DataFrame, sizes: list[int]) -> DataFrame:
+    """``docs`` with their windows, computed once: as a generator's only row they are not repeated where they are used."""
+    rows = _with_hashes(docs, sizes)
+    return rows.select(*docs.columns, F.explode(F.array(F.concat(F.array().cast("array<struct<hash:bigint,at:int,size:int>>"), *_windows(sizes)))).alias("_w"))
+
 
-    base = docs.select(key, F.xxhash64(text).alias("_text"), words(F.col(text)).alias("_words"))
-    # The first entry matches nothing; it keeps documents without a hit.
-    nothing = F.array(F.struct(F.xxhash64(key, "_text").alias("hash"), F.lit(-1).alias("at"), F.lit(0).alias("size")))
-    wide = base.select(key, "_text", "_words", F.explode(F.concat(nothing, *(_windows(s) for s in shape["sizes"] or []))).alias("w"))
-    wide = wide.select(key, "_text", "_words", "w.hash", "w.at", "w.size")
-    joined = wide.join(F.broadcast(table) if shape["n"] <= BROADCAST_WINDOWS else table, "hash", "left")
-    joined = joined.filter((F.col("at") < 0) | F.col("found").isNotNull())
-    same = F.when(F.col("at") >= 0, F.filter("found", lambda f: (f["size"] == F.col("size")) & (f["words"] == F.slice("_words", F.col("at") + 1, F.col("size")))))
-    hit = joined.select(key, "_text", F.when(F.col("at") < 0, F.size("_words")).alias("n"), "at", "size", F.flatten(F.transform(same, lambda f: f["items"])).alias("items"), (F.size(same) > 0).alias("ok"))
+def _confirmed(hits: DataFrame, key: str, item_type: str) -> DataFrame:
+    """Per ``(key, _text)`` from rows with ``n`` (of a document's own row), ``at``, ``size``, ``found`` and the window's ``own`` words."""
+    same = F.when(F.col("at") >= 0, F.filter("found", lambda f: (f["size"] == F.col("size")) & (f["words"] == F.col("own"))))
+    hit = hits.select(key, "_text", "n", "_copies", "at", "size", F.flatten(F.transform(same, lambda f: f["items"])).alias("items"), (F.size(same) > 0).alias("ok"))
     ids = F.array().cast(f"array<{item_type}>")
     return replicated(
         hit.groupBy(key, "_text").agg(
-            F.count("n").alias("_copies"),
+            F.sum("_copies").alias("_copies"),
             F.coalesce(F.max("n"), F.lit(0)).alias("n_words"),
             F.sort_array(F.collect_set(F.when(F.col("ok"), F.struct("at", "size")))).alias("hits"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(F.col("ok"), F.coalesce("items", ids)))))).alias("items"),
@@ -79,6 +103,34 @@ def document_hits(docs: DataFrame, items: DataFrame, key: str, width: int = WIDT
     ).drop("_text")
 
 
+def document_hits(docs: DataFrame, items: DataFrame, key: str, width: int = WIDTH, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """Per row of ``docs``: ``key``, ``n_words``, ``hits`` (sorted places and sizes of confirmed windows) and ``items`` (distinct ids, sorted)."""
+    table = benchmark_windows(items, width, item, item_text)
+    table = cut(table.groupBy("hash").agg(F.collect_list(F.struct("size", "words", "items")).alias("found")))
+    weight = F.aggregate("found", F.lit(0).cast("long"), lambda n, x: n + F.size(x["items"]) * 16 + F.size(x["words"]) * 24)
+    shape = table.agg(F.count("*").alias("n"), F.coalesce(F.sum(weight), F.lit(0)).alias("bytes"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.transform("found", lambda x: x["size"]))))).alias("sizes")).first()
+    sizes = shape["sizes"] or []
+    item_type = items.schema[item].dataType.simpleString()
+    base = docs.select(key, F.xxhash64(text).alias("_text"), F.col(text).alias("_whole"))
+    own = F.slice("_words", F.greatest(F.col("at"), F.lit(0)) + 1, F.col("size"))
+    # A document's own row has a place of -1 and matches nothing; it keeps documents without a hit.
+    if shape["n"] <= BROADCAST_WINDOWS and shape["bytes"] <= BROADCAST_BYTES:
+        nothing = F.array(F.struct(F.xxhash64(key, "_text").alias("hash"), F.lit(-1).alias("at"), F.lit(0).alias("size")))
+        hashed = _hashed(base.select(key, "_text", words(F.col("_whole")).alias("_words")), sizes)
+        wide = hashed.select(key, "_text", "_words", F.explode(F.concat(nothing, "_w")).alias("w")).select(key, "_text", "_words", "w.*")
+        joined = wide.join(F.broadcast(table), "hash", "left").filter((F.col("at") < 0) | F.col("found").isNotNull())
+        first = F.col("at") < 0
+        return _confirmed(joined.select(key, "_text", F.when(first, F.size("_words")).alias("n"), F.when(first, 1).alias("_copies"), "at", "size", "found", own.alias("own")), key, item_type)
+    hashed = _hashed(base.select(key, "_text", words(F.col("_whole")).alias("_words")), sizes).select(key, "_text", F.explode("_w").alias("w"))
+    near = hashed.select(key, "_text", "w.*").join(table.select("hash"), "hash", "left_semi").groupBy(key, "_text").agg(F.collect_set(F.struct("hash", "at", "size")).alias("_w"))
+    # Equal rows are one, so that no key has more rows than it has texts.
+    whole = base.groupBy(key, "_text").agg(F.count("*").alias("_copies"), F.first("_whole").alias("_whole")).select(F.col(key).alias("_key"), F.col("_text").alias("_own"), "_copies", words(F.col("_whole")).alias("_words"))
+    found = whole.join(near, whole["_key"].eqNullSafe(near[key]) & (whole["_own"] == near["_text"]), "left")
+    found = found.select(F.col("_key").alias(key), F.col("_own").alias("_text"), F.size("_words").alias("n"), "_copies", "_words", F.explode(F.concat(F.array(F.struct(F.xxhash64("_key", "_own").alias("hash"), F.lit(-1).alias("at"), F.lit(0).alias("size"))), F.coalesce("_w", F.array()))).alias("w"))
+    light = found.select(key, "_text", F.when(F.col("w.at") < 0, F.col("n")).alias("n"), F.when(F.col("w.at") < 0, F.col("_copies")).alias("_copies"), "w.*", F.slice("_words", F.greatest(F.col("w.at"), F.lit(0)) + 1, F.col("w.size")).alias("own"))
+    return _confirmed(light.join(table, "hash", "left"), key, item_type)
+
+
 def hit_words(hits: Column) -> Column:
     """Number of words in the union of sorted (at, size) windows."""
     return F.aggregate(
