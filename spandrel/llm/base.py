@@ -86,12 +86,16 @@ def stored(df: DataFrame) -> DataFrame:
     return out
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Removes what ``stored`` has written, once no plan reads it any more."""
     for df in tables:
-        context = df.sparkSession.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(df._stored_folder)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        remove(df.sparkSession, df._stored_folder)
 
 
 def lower_ascii(text: Column) -> Column:

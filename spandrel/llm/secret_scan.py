@@ -4,7 +4,10 @@ Every text is content-addressed by its SHA-256.  The ledger holds, for each blob
 and rule version that was ever scanned, the spans found.  A scan takes the
 distinct blobs whose (blob, rule version) the ledger lacks, runs the rules on
 each of them once, and joins findings back to every row (path, version) that
-carries the blob.  All of it is DataFrame operations.
+carries the blob.  Only blobs with findings take part in that join; they go to every
+executor behind a check of their number and bytes, beyond it blobs and rows are dealt
+by blob and a salt, so that copies of one text don't meet in one task.  ``scan`` keeps
+the ledger in a folder and adds to it from run to run.  All of it is DataFrame operations.
 
 A span is ``(kind, start, end)`` in code points, end exclusive.  Matches of a
 kind are leftmost and don't overlap; matches that fail the kind's test are
@@ -16,12 +19,13 @@ empty table gives an empty result; extra columns are never touched.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import read
+from .base import read, shared_folder
 
 
 @dataclass(frozen=True)
@@ -51,6 +55,8 @@ MORE_RULES = (
 RULES = BASE_RULES + MORE_RULES
 RULE_VERSION = "1"
 SPAN = "array<struct<start:int,rank:int,kind:string,end:int>>"
+#: Blobs with findings, and their spans, that are sent to every executor at most; more are joined by a shuffle with SALTS parts of a blob's rows.
+BROADCAST_BLOBS, BROADCAST_SPANS, SALTS = 500_000, 2_000_000, 32
 
 
 def _spans(text: Column, low: Column, rule: Rule, rank: int) -> Column:
@@ -101,32 +107,58 @@ def update_ledger(rows: DataFrame, ledger: DataFrame | None = None, text: str =
     return scan_blobs(blobs.groupBy("blob").agg(F.first("text").alias("text")), rules, version)
 
 
-def findings(rows: DataFrame, ledger: DataFrame, text: str = "text", version: str = RULE_VERSION) -> DataFrame:
-    """``rows`` without their text, with ``blob`` and the ``spans`` that the ledger has for it."""
+def findings(rows: DataFrame, ledger: DataFrame, text: str = "text", version: str = RULE_VERSION, keep_text: bool = False) -> DataFrame:
+    """``rows`` without their text (unless ``keep_text``), with ``blob`` and the ``spans`` that the ledger has for it."""
     seen = ledger.filter((F.col("rule_version") == version) & (F.size("spans") > 0)).select("blob", "spans")
-    return addressed(rows, text).drop(text).join(seen, "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPAN)))
-
-
-def redact(rows: DataFrame, text: str = "text", mark: str = "[SECRET]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``rows`` with each secret's characters replaced by ``mark``, overlapping spans as one.  A null text stays null.
-
-    The rows' own texts are scanned in place, as masking needs the text at hand anyway.
-    """
-    low = F.lower(text)
+    shape = seen.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("spans")), F.lit(0)).alias("spans")).first()
+    found = addressed(rows, text)
+    if not keep_text:
+        found = found.drop(text)
+    if shape["n"] <= BROADCAST_BLOBS and shape["spans"] <= BROADCAST_SPANS:
+        found = found.join(F.broadcast(seen), "blob", "left")
+    else:
+        # A row's salt is its place in the input, so that copies of one text spread.
+        salted = found.withColumn("_salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))
+        parts = seen.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        found = salted.join(parts, ["blob", "_salt"], "left").drop("_salt")
+    return found.withColumn("spans", F.coalesce("spans", F.array().cast(SPAN)))
+
+
+def scan(rows: DataFrame, folder: str, text: str = "text", rules: tuple[Rule, ...] = RULES, version: str = RULE_VERSION) -> DataFrame:
+    """The ledger kept at ``folder``, after the blobs of ``rows`` that it lacked under ``version`` were scanned and added."""
+    spark = rows.sparkSession
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    known = path.getFileSystem(context._jsc.hadoopConfiguration()).exists(path)
+    update_ledger(rows, spark.read.parquet(folder) if known else None, text, rules, version).write.mode("append").parquet(folder)
+    return spark.read.parquet(folder)
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A ledger's folder that no other run uses, where all executors can write."""
+    return f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
+
+
+def redact(rows: DataFrame, ledger: DataFrame, text: str = "text", mark: str = "[SECRET]", version: str = RULE_VERSION) -> DataFrame:
+    """``rows`` with the characters of each secret that ``ledger`` has for their text replaced by ``mark``, overlapping spans as one.  A null text stays null."""
+    # The row goes along as one column, so that its own columns may have any names.
+    found = findings(rows.select(F.struct("*").alias("_row"), F.col(text).alias("_text")), ledger, "_text", version, keep_text=True)
+    last = lambda acc: F.try_element_at(acc, F.lit(-1))
     merged = F.aggregate(
-        F.sort_array(F.concat(*(_spans(F.col(text), low, r, i) for i, r in enumerate(rules)))),
+        "spans",
         F.array().cast("array<struct<start:int,end:int>>"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (x["start"] <= F.try_element_at(acc, F.lit(-1))["end"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(acc, F.lit(-1))["end"], x["end"]).alias("end")))))
+        lambda acc, x: F.when((F.size(acc) > 0) & (x["start"] <= last(acc)["end"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last(acc)["start"].alias("start"), F.greatest(last(acc)["end"], x["end"]).alias("end")))))
         .otherwise(F.concat(acc, F.array(F.struct(x["start"].alias("start"), x["end"].alias("end"))))),
     )
-    whole = F.col(text)
-    masked = F.aggregate(
-        F.col("__secret_spans"),
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, x: F.struct(x["end"].alias("at"), F.concat(acc["out"], whole.substr(acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark)).alias("out")),
-        lambda acc: F.concat(acc["out"], whole.substr(acc["at"] + 1, F.length(whole))),
-    )
-    return rows.withColumn("__secret_spans", merged).withColumn(text, F.when(F.size("__secret_spans") > 0, masked).otherwise(whole)).drop("__secret_spans")
+    found = found.withColumn("_merged", F.when(F.size("spans") > 0, merged).otherwise(F.array().cast("array<struct<start:int,end:int>>")))
+    # What lies before each span, and after the last: pieces of the text, not copies that grow from span to span.
+    whole = F.col("_text")
+    before = F.zip_with(
+        F.concat(F.array(F.lit(0)), F.transform("_merged", lambda x: x["end"])), F.concat(F.transform("_merged", lambda x: x["start"]), F.array(F.length(whole))),
+        lambda a, b: whole.substr(a + 1, F.greatest(b - a, F.lit(0))),
+    )
+    masked = F.when(F.size("_merged") > 0, F.array_join(before, mark)).otherwise(whole)
+    return found.select(*(masked.alias(c) if c == text else F.col(f"_row.`{c}`").alias(c) for c in rows.columns))
 
 
 def _joined(spans: Column) -> Column:
@@ -135,7 +167,7 @@ def _joined(spans: Column) -> Column:
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    found = findings(docs, update_ledger(docs))
+    found = findings(docs, scan(docs, new_folder(spark)))
     base = F.filter("spans", lambda x: x["rank"] < len(BASE_RULES))
     counts = [F.expr(f"CAST(size(filter(spans, x -> x.kind = '{r.kind}')) AS BIGINT) AS n_{r.kind}") for r in BASE_RULES]
     return found.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
