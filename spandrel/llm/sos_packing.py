@@ -7,12 +7,15 @@ goes where the sum of the squares of N becomes smallest, be it an open sequence
 that has room or a new one; at equal sums the tightest place is taken.  Items of a
 packing group are placed from large to small, which the rule leaves free.
 
-Documents are dealt into packing groups of bounded expected size by a hash, and
-each group is packed by itself with memory for its own items and one counter a
-gap.  A group leaves a few sequences unfilled, a share that its size keeps small.
+Pieces are dealt into packing groups of bounded expected size by a hash of the piece
+and its place in the input, so that neither a key on many rows nor a long document
+makes a large group.  Each group is packed by itself with memory for its own items and
+one counter a gap.  A group leaves a few sequences unfilled, a share that its size
+keeps small.
 
-Tokenising goes word by word through a cache of bounded size in each worker: the
-tokenizer drops white space, so a text's ids are its words' ids in a row.
+Tokenising goes word by word through a cache of bounded size in each worker, for a
+tokenizer whose own steps drop white space and split as this module does; a text's ids
+are then its words' ids in a row.  Any other tokenizer encodes each text as it is.
 
 Edge cases: a null or empty text has the end id alone; a very long text is
 tokenised in stretches; rows with equal keys are separate documents; an empty
@@ -21,6 +24,7 @@ table gives an empty result; extra columns are never touched.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -39,6 +43,14 @@ GROUP_DOCS = 8192
 #: Words and parts of words in a generation of a worker's cache.  A full generation becomes the old one, whose entries come back when asked for; the one before is forgotten.
 MOST_WORDS, MOST_PARTS = 500_000, 300_000
 _STRETCH = 1 << 20
+#: The tokenizer's steps for which words may be looked up one by one.
+_STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+}
 _WORD = re.compile(r"[^ \t-\r]+")
 #: Words for which the tokenizer's own steps reduce to lower case and this split: printable ASCII and composed Latin-1 letters.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
@@ -59,6 +71,8 @@ class WordIds(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        own = json.loads(self.tokenizer.to_str())
+        self.by_word = all(own[k] == v for k, v in _STEPS.items())
         self.old: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
         self.old_parts: dict[str, bytes] = {}
@@ -99,6 +113,8 @@ class WordIds(dict):
         return ids
 
     def of(self, text: str) -> bytes:
+        if not self.by_word:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if len(text) <= _STRETCH:
             return b"".join(map(self.__getitem__, _WORD.findall(text)))
         out, at = [], 0
@@ -119,12 +135,15 @@ def word_ids(path: str) -> WordIds:
 
 
 def pieces(docs: DataFrame, key: str, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, text: str = "text", with_ids: bool = False) -> DataFrame:
-    """``(key, piece, start, length, ids_crc32[, ids])``: each document's ids, the end id last, cut into pieces of ``capacity``."""
+    """``(key, piece, start, length, ids_crc32[, ids])``: each document's ids, the end id last, cut into pieces of ``capacity``; and ``_place``, a number of the piece by which it is dealt."""
     key_type = docs.schema[key].dataType.simpleString()
-    schema = f"`{key}` {key_type}, piece int, start bigint, length bigint, ids_crc32 bigint" + (", ids binary" if with_ids else "")
+    schema = f"`{key}` {key_type}, piece int, start bigint, length bigint, ids_crc32 bigint" + (", ids binary" if with_ids else "") + ", _place bigint"
 
     def cut_up(batches):
+        from pyspark import TaskContext
+
         ids_of = word_ids(tokenizer)
+        placed = TaskContext.get().partitionId() << 40
         end = np.array([end_id], "<u4").tobytes()
         for batch in slices(batches, text):
             rows: list[int] = []
@@ -145,7 +164,8 @@ def pieces(docs: DataFrame, key: str, tokenizer: str, end_id: int = 0, capacity:
             names = [key, "piece", "start", "length", "ids_crc32"]
             if with_ids:
                 columns, names = [*columns, pa.array(ids, pa.binary())], [*names, "ids"]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(placed + np.arange(len(rows)))], [*names, "_place"])
+            placed += len(rows)
 
     ship(__name__, base.__name__)
     return docs.select(key, text).mapInArrow(cut_up, schema)
@@ -188,20 +208,20 @@ def place(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.n
 def pack(cut_pieces: DataFrame, key: str, n_docs: int, capacity: int = CAPACITY, group_docs: int = GROUP_DOCS) -> DataFrame:
     """``cut_pieces`` with ``sequence_id`` and ``offset``; ``n_docs``: about how many documents they come from."""
     n_groups = max(1, -(-n_docs // group_docs))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut_pieces.schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut_pieces.schema if f.name != "_place")
 
     def pack_group(table: pa.Table) -> pa.Table:
         group = table.column("_group")[0].as_py()
-        length, crc, piece, mark = (table.column(c).to_numpy() for c in ("length", "ids_crc32", "piece", "_mark"))
-        table = table.drop_columns(["_group", "_mark"]).combine_chunks()
-        # The order depends on the rows alone, not on how they arrived.
-        order = np.lexsort((piece, crc, mark, -length))
+        length, crc, placed = (table.column(c).to_numpy() for c in ("length", "ids_crc32", "_place"))
+        table = table.drop_columns(["_group", "_place"]).combine_chunks()
+        # The order depends on the pieces alone, not on how they arrived.
+        order = np.lexsort((placed, crc, -length))
         where, offset = place(length[order], capacity)
         out = table.take(pa.array(order))
         return out.append_column("sequence_id", pa.array((group << 40) + where)).append_column("offset", pa.array(offset))
 
     ship(__name__, base.__name__)
-    dealt = cut_pieces.withColumns({"_group": F.pmod(F.xxhash64(F.lit(17), F.col(key)), F.lit(n_groups)).cast("long"), "_mark": F.xxhash64(key)})
+    dealt = cut_pieces.withColumn("_group", F.pmod(F.xxhash64(F.lit(17), "ids_crc32", "_place"), F.lit(n_groups)).cast("long"))
     return dealt.groupBy("_group").applyInArrow(pack_group, f"{schema}, sequence_id bigint, offset bigint")
 
 
