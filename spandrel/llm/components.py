@@ -8,14 +8,34 @@ from pyspark.sql import functions as F
 from .base import cut
 
 
+#: Rows of a value from which it may be joined apart, and the most values that are.
+LEAST_HOT, MOST_HOT = 1000, 10_000
+
+
+def by_value(rows: DataFrame, groups: DataFrame, key: str, n: str) -> DataFrame:
+    """Inner join of ``rows`` with ``groups``, a computed table of one row a ``key`` with the number ``n`` of its rows.
+
+    Values with many rows would each land in one task.  Of all counted rows no more than
+    1 in MOST_HOT goes to a value for more than MOST_HOT values, so those above that share
+    are few at any size; they are sent to every executor and their rows stay where they are.
+    """
+    least = max(LEAST_HOT, -(-(groups.agg(F.sum(n)).first()[0] or 0) // MOST_HOT))
+    hot = groups.filter(F.col(n) > least)
+    if hot.isEmpty():
+        return rows.join(groups, key)
+    apart = rows.join(F.broadcast(hot), key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups.filter(F.col(n) <= least), key)
+    return apart.unionByName(rest)
+
+
 def _star(pairs: DataFrame, large: bool) -> DataFrame:
     """One star step over edges (u, v): neighbours of a node are linked to the least of them instead."""
     if large:
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    moved = both.join(least, "u")
+    least = cut(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
+    moved = by_value(both, least, "u", "n")
     if large:
         out = moved.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:

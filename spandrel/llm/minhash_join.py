@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from . import base, textbytes
 from .base import cut, read, ship, slices, text_buffer, without
-from .components import components
+from .components import by_value, components
 
 CHUNKS, CHUNK, ERRORS = 10, 6, 1
 SLOTS = CHUNKS * CHUNK
@@ -53,8 +53,7 @@ _ADD = _draw.integers(0, 2**63, SLOTS, dtype=np.uint64)
 def shingle_sets(batch: pa.RecordBatch, text: str, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle fingerprints of each row, sorted within the row, and the offsets of the rows."""
     raw, offsets = text_buffer(batch.column(text))
-    starts, _, at = textbytes.spans(raw, offsets)
-    prints = textbytes.fingerprints(raw, starts)
+    prints, at = textbytes.prints(raw, offsets)
     n_words = np.diff(at)
     count = np.where(n_words >= k, n_words - k + 1, np.minimum(n_words, 1))
     doc = np.repeat(np.arange(len(count)), count)
@@ -132,8 +131,8 @@ def _near(pairs: DataFrame) -> DataFrame:
 def candidate_links(reps: DataFrame) -> DataFrame:
     """Links ``(u, v)`` between class representatives ``(id, signature, keys)``; all candidate pairs lie within their components."""
     wide = reps.select("id", F.explode("keys").alias("key"))
-    shared = wide.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first")).filter("n > 1")
-    members = cut(wide.join(shared, "key").select("key", "id", "n", "first"))
+    shared = cut(wide.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first")).filter("n > 1"))
+    members = cut(by_value(wide, shared, "key", "n").select("key", "id", "n", "first"))
     stars = members.filter((F.col("n") > SMALL) & (F.col("id") != F.col("first"))).select(F.col("first").alias("u"), F.col("id").alias("v")).distinct()
     lists = members.filter(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_set("id")).alias("ids")).select("ids").distinct()
     place = F.posexplode("ids").alias("i", "u")
