@@ -5,11 +5,15 @@ all bytes, each filter's largest response in a chunk is kept, a small layer turn
 chunk's responses into features, and the mean and the largest value of each feature
 over all chunks make one probability.  Every byte of every text is read.
 
-Fitting takes at most ``MOST_EACH`` labelled texts of either class, of at most
-``MOST_BYTES`` bytes each, picked by a hash of their key; the bound keeps the
-driver's memory and time fixed.  Scoring is a stream over the texts in batches.
-
-Edge cases: a null or empty text is scored as one chunk of padding; without
+Fitting takes at most ``MOST_EACH`` labelled texts of either class, picked by a hash
+of their key among those that are in ``docs``; a text of more than ``MOST_CHARS``
+characters is learnt from by PARTS stretches spread over all of it, of so many
+characters together.  The bounds keep the driver's memory and time fixed.  Scoring is
+a stream over the texts in batches; a very long text goes through the network in runs
+of cells that carry the sums and maxima, so that memory does not grow with it.
+
+Edge cases: a null or empty text is scored as one chunk of padding; keys of equal hash
+are picked by their order, and of a key's several texts the least; without
 labelled rows of both classes every score is the smoothed share of label 1;
 contradicting labels of a key count as 0; repeated rows are all scored; an empty
 table gives an empty result; extra columns are never touched.
@@ -25,8 +29,10 @@ from pyspark.sql import functions as F
 from . import base
 from .base import read, ship, slices, text_buffer
 
-MOST_EACH, MOST_BYTES = 1200, 32_768
+MOST_EACH, MOST_CHARS, PARTS = 1200, 32_768, 8
 WIDTH, STRIDE, CELL, FILTERS, HIDDEN = 8, 2, 64, 24, 16
+#: Cells of a long text that are worked on at once.
+RUN = 1 << 14
 EPOCHS, BATCH, RATE = 10, 64, 0.004
 THRESHOLD = 0.3
 
@@ -78,6 +84,26 @@ class Network:
         logit = doc @ w["top"] + w["top_bias"][0]
         return (logit, (cells, after, place, active, hidden, doc, count)) if keep else logit
 
+    def long_logit(self, raw: np.ndarray) -> float:
+        """Logit of one text of any length, in runs of cells; what ``forward`` gives but for rounding."""
+        w = self.weights
+        n = (len(raw) + WIDTH + CELL - 1) // CELL
+        total, most = np.zeros(HIDDEN), np.zeros(HIDDEN, np.float32)
+        for at in range(0, n, RUN):
+            # One cell more than the run, for the last chunk, but at the text's end.
+            to = min(at + RUN + 1, n)
+            data = np.zeros((to - at) * CELL + WIDTH, np.uint8)
+            part = raw[at * CELL : to * CELL + WIDTH]
+            data[: len(part)] = part
+            cells, _ = self._cells(data, False)
+            own = min(RUN, n - at)
+            chunk = np.maximum(cells[:own], np.vstack((cells[1:], cells[-1:]))[:own])
+            active = np.maximum(chunk + w["filter_bias"], 0)
+            hidden = np.maximum(active @ w["layer"] + w["layer_bias"], 0)
+            total += hidden.sum(0, dtype=np.float64)
+            most = np.maximum(most, hidden.max(0))
+        return float(np.concatenate((total / n, most)) @ w["top"] + w["top_bias"][0])
+
     def gradients(self, data: np.ndarray, at: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         w = self.weights
         logit, (cells, after, place, active, hidden, doc, count) = self.forward(data, at, True)
@@ -129,8 +155,11 @@ class Network:
         return float(np.mean(losses))
 
     def probabilities(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        data, at = padded(raw, offsets)
-        return 1 / (1 + np.exp(-np.clip(self.forward(data, at).astype(np.float64), -60, 60)))
+        if len(offsets) == 2 and len(raw) > RUN * CELL:
+            logit = np.array([self.long_logit(raw)])
+        else:
+            logit = self.forward(*padded(raw, offsets)).astype(np.float64)
+        return 1 / (1 + np.exp(-np.clip(logit, -60, 60)))
 
 
 def held_out(key: Column, folds: int = 5) -> Column:
@@ -139,10 +168,14 @@ def held_out(key: Column, folds: int = 5) -> Column:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, label: str, text: str = "text", most_each: int = MOST_EACH) -> tuple[list[bytes], np.ndarray]:
     """Texts and 0/1 labels of at most ``most_each`` keys of either class, in the order of their hash."""
-    known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.min(label).alias("_label"))
+    own = docs.filter(F.col(key).isNotNull()).select(key).distinct()
+    known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.min(label).alias("_label")).join(own, key, "left_semi")
     picked = [known.filter(F.col("_label") == v).orderBy(F.xxhash64(F.lit(5), key), key).limit(most_each) for v in (0, 1)]
-    rows = docs.select(key, F.col(text).alias("_text")).filter(F.octet_length("_text") <= MOST_BYTES).join(F.broadcast(picked[0].union(picked[1])), key)
-    found = rows.groupBy(key, "_label").agg(F.min("_text").alias("_text")).orderBy(F.xxhash64(F.lit(5), key), key).select("_text", "_label").toArrow()
+    size, step = MOST_CHARS // PARTS, (F.length("_text") - MOST_CHARS // PARTS) / (PARTS - 1)
+    spread = F.concat(*(F.col("_text").substr(F.floor(step * i).cast("int") + 1, F.lit(size)) for i in range(PARTS)))
+    rows = docs.select(key, F.col(text).alias("_text")).join(F.broadcast(picked[0].union(picked[1])), key)
+    rows = rows.groupBy(key, "_label").agg(F.min("_text").alias("_text")).withColumn("_text", F.when(F.length("_text") <= MOST_CHARS, F.col("_text")).otherwise(spread))
+    found = rows.filter(F.col("_text").isNotNull()).orderBy(F.xxhash64(F.lit(5), key), key).select("_text", "_label").toArrow()
     return [t.encode() for t in found.column("_text").to_pylist()], found.column("_label").to_numpy().astype(np.float32)
 
 

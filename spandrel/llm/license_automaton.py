@@ -184,8 +184,8 @@ def scan_licenses(docs: DataFrame, key: str, text: str = "text", phrases: dict[s
     def scan(batches):
         for batch in slices(batches, text):
             raw, offsets = text_buffer(batch.column(text))
-            starts, _, at = textbytes.spans(raw, offsets, True)
-            known = scanner.known(textbytes.fingerprints(raw, starts, True))
+            prints, at = textbytes.prints(raw, offsets, True)
+            known = scanner.known(prints)
             inside = known > 0
             edges = np.zeros(len(known) + 1, bool)
             edges[at] = True
