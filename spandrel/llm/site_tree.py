@@ -17,10 +17,11 @@ the entropy of the child sequences; a node with children takes
 ``(1 - DECAY) * presentation + DECAY * mean of children (and contents)``.
 
 Equal pages of a host are one page.  Statistics per host are sums that combine before the shuffle; a host's pages never
-meet in one task, only the rows of its merged tree do.
+meet in one task, only the nodes of its merged tree do that enough pages show.
 
 Edge cases: a null or empty html has no text; pages without a host make one site;
-broken markup is read as far as it goes; repeated rows are all answered; an empty
+broken markup is read as far as it goes; a node exactly as important as the bound
+stays; repeated rows are all answered; an empty
 table gives an empty result; a page of any length is read whole; extra columns are
 never touched.
 """
@@ -50,8 +51,14 @@ PRIOR = {PLAIN: (1.0, 0.0), CONTENT: (1.0, 0.2), WEAK: (0.6, 0.0), NOISY: (0.32,
 UNJUDGED = DECAY
 #: Nodes judged against their hint that are sent to every executor at most; more are joined by host.
 BROADCAST_NODES = 200_000
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>", re.S)
+#: Parts into which a host's pages are dealt for that join.
+SALTS = 32
+
+_TAG = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+#: What follows a tag's name, where quotes may hold the character that ends it.
+_REST = re.compile(r"((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>")
+#: Tags of a page whose quotes may be found not to close; after that its tags end at the next ``>``.
+_MOST_OPEN_QUOTES = 16
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-a-zA-Z0-9_:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _NAME = re.compile(r"[a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -114,26 +121,37 @@ class Page:
         self._read(html)
 
     def _read(self, html: str) -> None:
-        at = 0
-        find = _TOKEN.search
-        while (m := find(html, at)) is not None:
-            if m.start() > at:
-                self._text(html[at : m.start()])
-            at = m.end()
-            close, name, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-            if name is None:
+        """Tags and texts in one pass; a step back for an unclosed quote is taken a fixed number of times, so time grows with the page's length."""
+        at = begin = 0
+        last, tries = html.rfind(">"), _MOST_OPEN_QUOTES
+        while (start := html.find("<", at)) >= 0:
+            close = name = None
+            if html.startswith("<!--", start):
+                end = html.find("-->", start + 4)
+                end = len(html) if end < 0 else end + 3
+            elif html.startswith(("<!", "<?"), start):
+                end = html.find(">", start) + 1 or len(html)
+            elif start < last and (m := _TAG.match(html, start + 1)) is not None and (stop := html.find(">", m.end())) >= 0:
+                close, name = m[1], m[2].lower()
+                rest = _REST.match(html, m.end()) if tries else None
+                tries -= bool(tries) and rest is None
+                attributes, end = (rest[1], rest.end()) if rest else (html[m.end() : stop], stop + 1)
+            else:
+                at = start + 1
                 continue
-            name = name.lower()
+            if start > begin:
+                self._text(html[begin:start])
+            at = begin = end
             if close:
                 self._end(name)
-            else:
-                self._start(name, attributes or "")
+            elif name:
+                self._start(name, attributes)
                 if name in RAW and not attributes.rstrip().endswith("/"):
-                    end = re.compile(f"</{name}[^>]*>", re.I).search(html, at)
-                    at = end.end() if end else len(html)
+                    found = re.compile(f"</{name}", re.I).search(html, at)
+                    at = begin = (html.find(">", found.end()) + 1 or len(html)) if found else len(html)
                     self._end(name)
-        if at < len(html):
-            self._text(html[at:])
+        if begin < len(html):
+            self._text(html[begin:])
         self._flush()
 
     def _text(self, text: str) -> None:
@@ -242,10 +260,10 @@ class Page:
 FEATURE = ("path", "parent", "hint", "kind", "feature")
 
 
-def site_trees(pages: DataFrame, host: str, html: str) -> DataFrame:
-    """``(host, path, parent, hint, pages, presentation, repetition, contents)``: the merged tree of each host's different pages.
+def site_trees(pages: DataFrame, host: str, html: str, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """``(host, path, parent, hint, pages, presentation, repetition, contents, rare)``: the merged tree of each host's different pages, of nodes on ``least_pages`` or more.
 
-    ``presentation``: entropy of the child sequences; ``repetition``: mean log of the pages that show a content.
+    ``rare``: the node's children on fewer.  ``presentation``: entropy of the child sequences; ``repetition``: mean log of the pages that show a content.
     """
 
     def run(batches):
@@ -264,15 +282,19 @@ def site_trees(pages: DataFrame, host: str, html: str) -> DataFrame:
     seen = seen.dropDuplicates(["host", "page"]).select("host", F.inline("features"))
     counted = seen.groupBy("host", *FEATURE).agg(F.count("*").alias("n"))
     shown = F.when(F.col("kind") == 0, F.col("n"))
-    return counted.groupBy("host", "path", "parent", "hint").agg(
+    nodes = counted.groupBy("host", "path", "parent", "hint").agg(
         F.coalesce(F.sum(shown), F.lit(0)).alias("pages"),
         (F.log(F.sum(shown)) - F.sum(shown * F.log(shown)) / F.sum(shown)).alias("presentation"),
         F.avg(F.when(F.col("kind") == 1, F.log("n"))).alias("repetition"),
         F.count(F.when(F.col("kind") == 1, 1)).alias("contents"),
     )
+    # A node is shown by no more pages than the one above it, so what is too rare to be judged goes as whole branches: only their number counts.
+    rare = nodes.filter(F.col("pages") < least_pages)
+    branches = rare.groupBy("host", F.col("parent").alias("path")).agg(F.count("*").alias("rare"))
+    return nodes.filter(F.col("pages") >= least_pages).join(branches, ["host", "path"], "left").withColumn("rare", F.coalesce("rare", F.lit(0)))
 
 
-def turned_nodes(trees: DataFrame, least_pages: int = LEAST_PAGES, least_importance: float = LEAST_IMPORTANCE) -> DataFrame:
+def turned_nodes(trees: DataFrame, least_importance: float = LEAST_IMPORTANCE) -> DataFrame:
     """``(host, path)`` of the nodes that are judged otherwise than their hint alone would be."""
     from math import log
 
@@ -290,7 +312,8 @@ def turned_nodes(trees: DataFrame, least_pages: int = LEAST_PAGES, least_importa
         for path in reversed(order):
             r = rows[path]
             base_log = log(max(r["pages"] or 0, 2))
-            parts = [importance[c] for c in below.get(path, ())]
+            # A branch too rare to be judged counts as one that no site has judged.
+            parts = [importance[c] for c in below.get(path, ())] + [UNJUDGED] * r["rare"]
             if r["contents"]:
                 own[path] = max(0.0, 1 - (r["repetition"] or 0.0) / base_log) if (r["pages"] or 0) > 1 else 1.0
                 parts.append(own[path])
@@ -298,7 +321,7 @@ def turned_nodes(trees: DataFrame, least_pages: int = LEAST_PAGES, least_importa
             importance[path] = (1 - DECAY) * shape + DECAY * (sum(parts) / len(parts) if parts else 0.0)
         # Text is not removed for what stands beside it in the same node.
         importance |= {p: max(importance[p], DECAY * x) for p, x in own.items()}
-        turned = [p for p in order if (rows[p]["pages"] or 0) >= least_pages and judged(importance[p], rows[p]["hint"], least_importance) != judged(UNJUDGED, rows[p]["hint"])]
+        turned = [p for p in order if judged(importance[p], rows[p]["hint"], least_importance) != judged(UNJUDGED, rows[p]["hint"])]
         return pa.table({"host": pa.array([table.column("host")[0].as_py()] * len(turned), pa.string()), "path": pa.array(turned, pa.int64())})
 
     ship(__name__, base.__name__)
@@ -310,20 +333,35 @@ def extract_text(pages: DataFrame, key: str, url: str = "url", html: str = "html
     name = lower_ascii(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), "://([^/?#]*)", 1))
     rows = pages.select(F.col(key), F.col(url), F.col(html).alias("_html"), name.alias("_host"))
     turned = cut(turned_nodes(site_trees(rows, "_host", "_html")))
-    small = turned.count() <= BROADCAST_NODES
-    lists = turned.groupBy(F.col("host").alias("_host")).agg(F.collect_list("path").alias("_turned"))
-    joined = rows.join(F.broadcast(lists) if small else lists, "_host", "left").select(key, url, "_html", "_turned")
     types = dict(pages.dtypes)
+    schema = f"`{key}` {types[key]}, `{url}` {types[url]}, text string, n_chars bigint"
 
-    def run(batches):
+    def read_pages(batch, paths):
+        memo: dict = {}
+        texts = [Page(h or "", p, memo).text() for h, p in zip(batch.column("_html").to_pylist(), paths, strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column(key), batch.column(url), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [key, url, "text", "n_chars"])
+
+    ship(__name__, base.__name__)
+    if turned.count() <= BROADCAST_NODES:
+        of: dict[str, set[int]] = {}
+        for r in turned.toLocalIterator():
+            of.setdefault(r["host"], set()).add(r["path"])
+        sent = pages.sparkSession.sparkContext.broadcast({h: frozenset(x) for h, x in of.items()})
+
+        def run(batches):
+            for batch in slices(batches, "_html", 1_000_000):
+                yield read_pages(batch, [sent.value.get(h, frozenset()) for h in batch.column("_host").to_pylist()])
+
+        return rows.mapInArrow(run, schema)
+
+    def run_joined(batches):
         for batch in slices(batches, "_html", 1_000_000):
-            texts = []
-            memo: dict = {}
-            for h, paths in zip(batch.column("_html").to_pylist(), batch.column("_turned").to_pylist(), strict=True):
-                texts.append(Page(h or "", frozenset(paths or ()), memo).text())
-            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column(url), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [key, url, "text", "n_chars"])
+            yield read_pages(batch, [frozenset(x or ()) for x in batch.column("_turned").to_pylist()])
 
-    return joined.mapInArrow(run, f"`{key}` {types[key]}, `{url}` {types[url]}, text string, n_chars bigint")
+    # A host's pages are dealt over SALTS tasks.
+    lists = turned.groupBy(F.col("host").alias("_host")).agg(F.collect_list("path").alias("_turned")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("_html"), F.lit(SALTS)).cast("int"))
+    return salted.join(lists, ["_host", "_salt"], "left").select(key, url, "_html", "_turned").mapInArrow(run_joined, schema)
 
 
 def op1_site_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
