@@ -67,3 +67,13 @@ def family_of(file: Column) -> Column:
 
 def sample_id(file: Column, rule: Column) -> Column:
     return F.concat_ws("-", F.replace(F.regexp_replace(file, r"\.sol$", ""), F.lit("_"), F.lit("-")), rule)
+
+
+def utc_stamp(moment: Column) -> Column:
+    """A moment as text in UTC, to the second; the session's time zone must be UTC for moments that carry one."""
+    return F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def name_contains(name: Column, word: str = "vuln") -> Column:
+    """Whether a file's name tells of ``word``."""
+    return F.coalesce(F.contains(F.lower(name), F.lit(word)), F.lit(False))

@@ -15,13 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def reach(adjacency: dict, start) -> set:
-    """Nodes reached from ``start`` by at least one edge."""
+def reach(adjacency: dict, start, without=None) -> set:
+    """Nodes reached from ``start`` by at least one edge, on paths that don't pass ``without``."""
     seen: set = set()
     todo = list(adjacency.get(start, ()))
     while todo:
         node = todo.pop()
-        if node not in seen:
+        if node not in seen and (without is None or node != without):
             seen.add(node)
             todo.extend(adjacency.get(node, ()))
     return seen
@@ -86,6 +86,21 @@ def ordered_sequences(sequences: DataFrame, closed: DataFrame, nodes: DataFrame)
     return sequences.select("graph", "seq", F.size("nodes").alias("_n")).join(worst, ["graph", "seq"], "left").select("graph", "seq", F.when(F.col("_n") == 0, "invalid").otherwise(F.coalesce("status", F.lit("yes"))).alias("status"))
 
 
+def ordered_effects(pairs: DataFrame, effects: DataFrame, closed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``pairs(graph, first, second)`` of effects by id: can the first come before the second, by the nodes that hold them.
+
+    ``effects(graph, id, node)``.  Two effects of one node have no known order where the
+    node is uncertain or unordered, and are not strictly ordered else.
+    """
+    held = effects.groupBy("graph", "id").agg(F.min("node").alias("node"))
+    found = pairs.join(held.select("graph", F.col("id").alias("first"), F.col("node").alias("src")), ["graph", "first"], "left").join(held.select("graph", F.col("id").alias("second"), F.col("node").alias("dst")), ["graph", "second"], "left")
+    loose = nodes.select("graph", F.col("id").alias("src"), (F.col("uncertain") | F.col("unordered")).alias("_loose"))
+    answers = ordered(found.filter("src <> dst").select("graph", "src", "dst").distinct(), closed, nodes)
+    out = found.join(answers, ["graph", "src", "dst"], "left").join(loose, ["graph", "src"], "left")
+    same = F.when(F.col("_loose"), "unknown").otherwise("no")
+    return out.select("graph", "first", "second", F.when(F.col("src").isNull() | F.col("dst").isNull(), "invalid").when(F.col("src") == F.col("dst"), same).otherwise(F.col("status")).alias("status"))
+
+
 def branch_reachable(queries: DataFrame, edges: DataFrame, closed: DataFrame, nodes: DataFrame) -> DataFrame:
     """``queries(graph, branch, kind, target)``: does the edge of that kind lead to the target."""
     heads = queries.join(edges.select("graph", F.col("src").alias("branch"), "kind", F.col("dst").alias("src")), ["graph", "branch", "kind"], "left")
@@ -97,28 +112,37 @@ def branch_reachable(queries: DataFrame, edges: DataFrame, closed: DataFrame, no
 
 
 def dominates(queries: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``queries(graph, dominator, target)``: does every path from the entry to the target pass the dominator."""
+    """``queries(graph, dominator, target)``: does every path from the entry to the target pass the dominator.
+
+    A graph's queries meet its edges once; one walk around each dominator answers for all of its targets.
+    """
     types = dict(queries.dtypes)
-    graph_edges = edges.groupBy("graph").agg(F.collect_list(F.struct("src", "dst")).alias("edges"))
-    shape = nodes.groupBy("graph").agg(F.max(F.when(F.col("entry"), F.col("id"))).alias("start"), F.collect_set("id").alias("ids"), (F.count_if("uncertain") == 0).alias("complete"))
-    rows = queries.join(shape, "graph", "left").join(graph_edges, "graph", "left")
-
-    def answer(batches):
-        for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                d, t, start = r["dominator"], r["target"], r["start"]
-                if d not in (r["ids"] or ()) or t not in r["ids"]:
-                    out.append("invalid")
-                elif d in (start, t):
-                    out.append("yes")
-                else:
-                    adjacency = defaultdict(list)
-                    for e in r["edges"] or ():
-                        if e["dst"] != d:
-                            adjacency[e["src"]].append(e["dst"])
-                    around = t == start or t in reach(adjacency, start)
-                    out.append("no" if around else "yes" if r["complete"] else "unknown")
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("graph", "dominator", "target")), pa.array(out, pa.string())], ["graph", "dominator", "target", "status"])
-
-    return rows.mapInArrow(answer, f"graph {types['graph']}, dominator {types['dominator']}, target {types['target']}, status string")
+    shape = nodes.select("graph", F.col("id").alias("src"), F.lit(None).cast(types["target"]).alias("dst"), F.col("entry"), F.col("uncertain"))
+    parts = shape.union(edges.select("graph", "src", "dst", F.lit(None).cast("boolean"), F.lit(None).cast("boolean")))
+
+    def answer(asked: pa.Table, graph: pa.Table) -> pa.Table:
+        ids, start, complete, adjacency = set(), None, True, defaultdict(list)
+        for r in graph.to_pylist():
+            if r["entry"] is None:
+                adjacency[r["src"]].append(r["dst"])
+            else:
+                ids.add(r["src"])
+                start = r["src"] if r["entry"] else start
+                complete = complete and not r["uncertain"]
+        around: dict = {}
+
+        def status(d, t) -> str:
+            if d not in ids or t not in ids:
+                return "invalid"
+            if d in (start, t):
+                return "yes"
+            if d not in around:
+                around[d] = reach(adjacency, start, d) | {start}
+            return "no" if t in around[d] else "yes" if complete else "unknown"
+
+        answers = [status(d, t) for d, t in zip(asked.column("dominator").to_pylist(), asked.column("target").to_pylist(), strict=True)]
+        return asked.append_column("status", pa.array(answers, pa.string()))
+
+    # Names of its own, as queries and nodes may come from one table.
+    asked = queries.select(*(F.col(c).alias(c) for c in ("graph", "dominator", "target")))
+    return asked.groupBy("graph").cogroup(parts.groupBy("graph")).applyInArrow(answer, f"graph {types['graph']}, dominator {types['dominator']}, target {types['target']}, status string")

@@ -54,6 +54,13 @@ def macro_average(table: DataFrame, columns: list[str], by: list[str] | None = N
     return table.groupBy(*(by or [])).agg(*(F.round(F.avg(F.round(c, digits)), digits).alias(f"macro_{c}") for c in columns), F.count("*").alias("n_groups"))
 
 
+def throughput(rows: DataFrame, by: list[str], seconds: str, lines: str, digits: int = 2) -> DataFrame:
+    """Runs, lines and thousands of lines a second over all runs of a group; null where they took no time."""
+    total, read = F.sum(seconds), F.sum(lines)
+    r = lambda c: F.round(c, digits)
+    return rows.groupBy(*by).agg(F.count(seconds).alias("n"), r(F.try_divide(F.count(seconds), total)).alias("runs_per_s"), r(F.try_divide(read, total)).alias("loc_per_s"), F.round(F.try_divide(read, total * 1000), digits + 3).alias("kloc_per_s"))
+
+
 def latency_profile(rows: DataFrame, by: list[str], value: str, digits: int = 4) -> DataFrame:
     """Mean, median, extremes, sample deviation and nearest-rank percentiles of a duration, and the rate 1 / mean."""
     r = lambda c: F.round(c, digits)

@@ -82,6 +82,9 @@ def fit(train: DataFrame, valid: DataFrame, trees: int = TREES) -> tuple[str, ob
 
 def train(features: DataFrame, labels: DataFrame, splits: DataFrame, trees: int = TREES) -> dict[str, tuple]:
     """Per rule ``(name, model, scale, metrics)``; ``labels(file, rule_id, label)``, a missing one is 0; ``splits(file, part)``."""
+    missing = splits.select("file").distinct().join(features.select("file").distinct(), "file", "left_anti").limit(5).collect()
+    if missing:
+        raise ValueError(f"files of the splits without features: {[r['file'] for r in missing]}")
     out = {}
     for rule in FEATURES:
         own = labels.filter(F.col("rule_id") == rule).select("file", "label")
@@ -94,6 +97,62 @@ def train(features: DataFrame, labels: DataFrame, splits: DataFrame, trees: int
     return out
 
 
+def save(models: dict[str, tuple], folder: str) -> None:
+    """Models below ``folder``, one a rule; ``load`` reads them."""
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.active()
+    rows = []
+    for rule, (name, model, scale, _) in models.items():
+        if isinstance(model, Scored):
+            model.model.write().overwrite().save(f"{folder}/{rule}")
+        rows.append((rule, name, model.share if isinstance(model, Majority) else None, [float(m) for m, _ in scale], [float(s) for _, s in scale], THRESHOLD))
+    spark.createDataFrame(rows, "rule_id string, name string, share double, means array<double>, deviations array<double>, threshold double").coalesce(1).write.mode("overwrite").parquet(f"{folder}/models.parquet")
+
+
+def load(folder: str) -> dict[str, tuple]:
+    """Models by rule; those whose files can't be read are left out."""
+    from pyspark.errors import AnalysisException
+    from pyspark.ml.classification import GBTClassificationModel, LogisticRegressionModel
+    from pyspark.sql import SparkSession
+
+    kinds = {"logistic_regression": LogisticRegressionModel, "boosted_trees": GBTClassificationModel}
+    out = {}
+    try:
+        rows = SparkSession.active().read.parquet(f"{folder}/models.parquet").collect()
+    except AnalysisException:
+        return out
+    for r in rows:
+        try:
+            model = Majority(r["share"]) if r["name"] == "dummy" else Scored(kinds[r["name"]].load(f"{folder}/{r['rule_id']}"))
+        except Exception:  # noqa: BLE001 - a model that can't be read is a missing one, and readiness() says so
+            continue
+        out[r["rule_id"]] = (r["name"], model, list(zip(r["means"], r["deviations"], strict=True)), None)
+    return out
+
+
+def readiness(models: dict[str, tuple], enabled: bool = True) -> dict[str, object]:
+    """Whether scoring can run: ``ready`` with a model for every rule, ``partial``, ``unavailable`` or ``disabled``."""
+    missing = sorted(set(FEATURES) - set(models))
+    status = "disabled" if not enabled else "unavailable" if len(missing) == len(FEATURES) else "partial" if missing else "ready"
+    return {"status": status, "missing": missing}
+
+
+def scored(features: DataFrame, models: dict[str, tuple], findings: DataFrame, enabled: bool = True) -> DataFrame:
+    """As ``score``, with a row for every file and rule and its ``status``: ``ok``, ``error`` where a rule has no model, ``unavailable`` without any, ``disabled``."""
+    state = readiness(models, enabled)["status"]
+    every = features.select("file", "rule_id").distinct()
+    if state in ("disabled", "unavailable"):
+        return every.withColumn("status", F.lit(state))
+    rows = score(features, models, findings).withColumn("status", F.lit("ok"))
+    return every.join(rows, ["file", "rule_id"], "left").withColumn("status", F.coalesce("status", F.lit("error")))
+
+
+def shadow(features: DataFrame, models: dict[str, tuple], findings: DataFrame, enabled: bool = False) -> DataFrame | None:
+    """Scores beside the rules, which they don't change; none unless switched on and every rule has a model."""
+    return score(features, models, findings) if readiness(models, enabled)["status"] == "ready" else None
+
+
 def score(features: DataFrame, models: dict[str, tuple], findings: DataFrame) -> DataFrame:
     """``(file, rule_id, probability, prediction, confidence, deterministic, concordant, advisory, hybrid, active)``; rules without a model are left out."""
     found = findings.select("file", "rule_id").distinct().withColumn("deterministic", F.lit(1))

@@ -1,7 +1,8 @@
 """Source patches for findings, and their verification by analysing again.
 
-A patch is text in, text out; everything around it is relational.  The compiler is
-injected, as nothing here compiles.
+A patch edits the source at the byte ranges of the finding and its evidence, which come
+from the syntax tree, so that it does not matter how a statement is laid out on lines;
+everything around it is relational.  The compiler is injected, as nothing here compiles.
 """
 
 from __future__ import annotations
@@ -18,127 +19,151 @@ from . import rules
 
 MOST_PASSES = 6
 #: Fixed replacement texts.
-UNAUTHORIZED, FAILED = '"unauthorized"', '"call failed"'
-ENTROPY = "uint256(keccak256(abi.encodePacked(blockhash(block.number - 1), msg.sender)))"
-_DECLARED = r"address\s+(?:(?:public|private|internal|immutable)\s+)*"
+UNAUTHORIZED, FAILED = b'"unauthorized"', b'"call failed"'
+ENTROPY = b"uint256(keccak256(abi.encodePacked(blockhash(block.number - 1), msg.sender)))"
 
+_ORIGIN = re.compile(rb"\btx\.origin\b")
+_NOT_CODE = re.compile(rb"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?", re.S)
+_BOUND = re.compile(rb"(?:\(\s*)?(?:bool\s+)?(\w+)\s*(?:,[^=]*)?\)?\s*=\s*$")
+_EXACT = re.compile(rb"==|!=")
+_DECLARED = re.compile(rb"(\w+)\s*(?:=[^;]*)?;?\s*$")
 
-class Text:
-    """A source as lines with their ends."""
-
-    def __init__(self, source: str):
-        self.lines = source.splitlines(keepends=True)
-
-    def line(self, number: int | None) -> str | None:
-        return self.lines[number - 1] if number and 1 <= number <= len(self.lines) else None
-
-    def indent(self, number: int) -> str:
-        line = self.lines[number - 1]
-        return line[: len(line) - len(line.lstrip())].rstrip("\r\n")
-
-    def joined(self) -> str:
-        return "".join(self.lines)
-
-
-def _function_start(source: str, name: str | None) -> int | None:
-    """Where the body of a function begins."""
-    m = re.search(rf"function\s+{re.escape(name)}\b[^{{]*\{{", source) if name else None
-    return m.end() if m else None
 
+class Code:
+    """A source in bytes, and the same with strings and comments blanked, in which places are looked for."""
 
-def _function_end(source: str, start: int) -> int:
-    depth = 1
-    for i in range(start, len(source)):
-        depth += {"{": 1, "}": -1}.get(source[i], 0)
-        if not depth:
-            return i
-    return len(source)
-
-
-def _at(finding: dict, description: str) -> int | None:
-    return next((e["line"] for e in finding.get("evidence") or [] if e["description"] == description), None)
-
-
-def use_caller(source: str, finding: dict) -> str:
-    """tx.origin becomes msg.sender: on the finding's line, else in its function, else once anywhere."""
-    word = re.compile(r"\btx\.origin\b")
-    text = Text(source)
-    line = text.line(finding.get("line"))
-    if line and word.search(line):
-        text.lines[finding["line"] - 1] = word.sub("msg.sender", line)
-        return text.joined()
-    start = _function_start(source, finding.get("function"))
-    if start is not None and word.search(source, start, end := _function_end(source, start)):
-        return source[:start] + word.sub("msg.sender", source[start:end]) + source[end:]
-    return word.sub("msg.sender", source, count=1)
-
-
-def check_result(source: str, finding: dict) -> str:
-    """A bound call result is required on the next line; a bare call is bound first."""
-    text = Text(source)
-    number = finding.get("line")
-    line = text.line(number)
-    if line is None:
-        return source
-    pad = text.indent(number)
-    bound = re.search(r"\bbool\s+(\w+)\s*[,=]", line)
+    def __init__(self, source: str):
+        self.data = source.encode("utf-8", "surrogatepass")
+        self.plain = _NOT_CODE.sub(lambda m: re.sub(rb"[^\n]", b" ", m[0]), self.data)
+
+    def span(self, finding: dict, *names: str) -> tuple[int, int] | None:
+        """The range of the first evidence so described, else, without names, of the finding itself or of its line."""
+        for name in names:
+            for e in finding.get("evidence") or ():
+                if e["description"] == name and e.get("offset") is not None:
+                    return e["offset"], e["offset"] + e["length"]
+        if names:
+            return None
+        if finding.get("offset") is not None:
+            return finding["offset"], finding["offset"] + finding["length"]
+        lines = [0, *(m.end() for m in re.finditer(rb"\n", self.data)), len(self.data)]
+        n = finding.get("line") or 0
+        if not 0 < n < len(lines) or not (line := self.data[lines[n - 1] : lines[n]]).strip():
+            return None
+        return lines[n - 1] + len(line) - len(line.lstrip()), lines[n - 1] + len(line.rstrip())
+
+    def statement(self, span: tuple[int, int]) -> tuple[int, int]:
+        """The statement around a range: from after the last ``;``, ``{`` or ``}`` before it to the next ``;``."""
+        start = 1 + max(self.plain.rfind(c, 0, span[0]) for c in (b";", b"{", b"}"))
+        start += len(self.plain[start : span[0]]) - len(self.plain[start : span[0]].lstrip())
+        end = self.plain.find(b";", span[1] if self.plain[span[0] : span[1]][-1:] != b";" else span[1] - 1)
+        return start, (len(self.data) if end < 0 else end + 1)
+
+    def function(self, finding: dict) -> tuple[int, int] | None:
+        """The body of the finding's function, inside its braces."""
+        at = self.span(finding, "entry point", "normal end")
+        if at is None:
+            m = re.search(rb"\bfunction\s+" + re.escape((finding.get("function") or "").encode()) + rb"\b", self.plain)
+            if not finding.get("function") or m is None:
+                return None
+            at = m.span()
+        start = self.plain.find(b"{", at[0]) + 1
+        if not start:
+            return None
+        depth = 1
+        for m in re.finditer(rb"[{}]", self.plain[start:]):
+            depth += 1 if m[0] == b"{" else -1
+            if not depth:
+                return start, start + m.start()
+        return start, len(self.data)
+
+    def indent(self, at: int) -> bytes:
+        line = self.data[self.data.rfind(b"\n", 0, at) + 1 :]
+        return line[: len(line) - len(line.lstrip(b" \t"))]
+
+    def edited(self, *edits: tuple[int, int, bytes]) -> str:
+        """The source with ranges replaced; ranges don't overlap."""
+        out, at = [], 0
+        for start, end, new in sorted(edits, key=lambda e: e[:2]):
+            out += [self.data[at:start], new]
+            at = end
+        return b"".join([*out, self.data[at:]]).decode("utf-8", "surrogatepass")
+
+
+def use_caller(code: Code, finding: dict) -> str | None:
+    """tx.origin becomes msg.sender in the finding's statement; where none is there, in its function; else the first one of all."""
+    own, body = code.span(finding), code.function(finding)
+    for start, end, most in ((*code.statement(own), None) if own else (0, 0, None), (*body, None) if body else (0, 0, None), (0, len(code.data), 1)):
+        found = [m.span() for m in _ORIGIN.finditer(code.plain, start, end)][:most]
+        if found:
+            return code.edited(*((a, z, b"msg.sender") for a, z in found))
+    return None
+
+
+def check_result(code: Code, finding: dict) -> str | None:
+    """The call's result is required right after its statement; a call whose result is dropped is bound first."""
+    call = code.span(finding, "low-level call") or code.span(finding)
+    if call is None:
+        return None
+    start, end = code.statement(call)
+    before = code.plain[start : call[0]]
+    pad = b"\n" + code.indent(start)
+    bound = _BOUND.search(before)
     if bound:
-        if f"require({bound[1]}" not in (text.line(number + 1) or ""):
-            text.lines.insert(number, f"{pad}require({bound[1]}, {FAILED});\n")
-        return text.joined()
-    call = line.strip()
-    if re.search(r"\.(?:call|delegatecall|staticcall)\b", call) and call.endswith(";"):
-        text.lines[number - 1] = f"{pad}(bool success, ) = {call}\n{pad}require(success, {FAILED});\n"
-    return text.joined()
-
-
-def write_first(source: str, finding: dict) -> str:
-    """The write moves to before the call; by the evidence's lines, else by the first call and write in the function."""
-    text = Text(source)
-    call, write = _at(finding, "call before the write"), _at(finding, "write of the storage")
+        check = b"require(" + bound[1] + b", " + FAILED + b");"
+        return None if code.plain[end:].lstrip().startswith(b"require(" + bound[1]) else code.edited((end, end, pad + check))
+    name = next(n for n in (b"success", *(b"success%d" % i for i in range(2, 1000))) if not re.search(rb"\b" + n + rb"\b", code.plain))
+    bind, check = b"(bool " + name + b", ) = ", b"require(" + name + b", " + FAILED + b");"
+    if not before.strip():
+        return code.edited((call[0], call[0], bind), (end, end, pad + check))
+    # The only statement of a branch or loop becomes a block of two.
+    return code.edited((call[0], call[0], b"{ " + bind), (end, end, b" " + check + b" }")) if before.rstrip().endswith((b")", b"else")) else None
+
+
+def write_first(code: Code, finding: dict) -> str | None:
+    """The statement of the write moves to before that of the call, if both stand in the same block."""
+    call, write = code.span(finding, "call before the write"), code.span(finding, "write of the storage")
     if not (call and write):
-        start = _function_start(source, finding.get("function"))
-        if start is None:
-            return source
-        first, last = source.count("\n", 0, start) + 1, source.count("\n", 0, _function_end(source, start)) + 1
-        call = next((n for n in range(first, last + 1) if ".call" in text.lines[n - 1]), None)
-        write = next((n for n in range((call or last) + 1, last + 1) if re.match(r"\s*\w+(?:\[[^\]]*\])*\s*[-+]?=[^=].*;", text.lines[n - 1])), None)
-    if call and write and call < write <= len(text.lines):
-        text.lines.insert(call - 1, text.lines.pop(write - 1))
-    return text.joined()
-
-
-def guard_entry(source: str, finding: dict) -> str:
-    """The function begins with a check of its caller against the authority."""
-    declared = Text(source).line(_at(finding, "authority")) or ""
-    named = re.search(rf"{_DECLARED}(\w+)\s*[;=]", declared) or re.search(rf"{_DECLARED}(owner|admin|authority|governance)\s*[;=]", source)
-    start = _function_start(source, finding.get("function"))
-    if start is None:
-        return source
-    after = source[start:].lstrip("\r\n")
-    pad = after[: len(after) - len(after.lstrip(" \t"))] or " " * 8
-    return f"{source[:start]}\n{pad}require(msg.sender == {named[1] if named else 'owner'}, {UNAUTHORIZED});{source[start:]}"
-
-
-def loosen_time(source: str, finding: dict) -> str:
+        return None
+    (start, end), (a, z) = code.statement(call), code.statement(write)
+    between = code.plain[end:a]
+    if a < end or between.count(b"{") != between.count(b"}"):
+        return None
+    left = len(code.data[:a].rstrip(b" \t\n"))
+    return code.edited((start, start, code.data[a:z] + b"\n" + code.indent(start)), (left, z, b""))
+
+
+def guard_entry(code: Code, finding: dict) -> str | None:
+    """The function begins with a check of its caller against the authority that the finding names."""
+    body = code.function(finding)
+    declared, used = code.span(finding, "authority"), code.span(finding, "replacement") or code.span(finding)
+    name = _DECLARED.search(code.plain[slice(*declared)]) if declared else None
+    owner = name[1] if name else code.plain[slice(*used)].strip() if used else b""
+    if body is None or not re.fullmatch(rb"\w+", owner):
+        return None
+    first = re.match(rb"\s*\n([ \t]*)\S", code.data[body[0] :])
+    pad = first[1] if first else code.indent(body[0]) + b"    "
+    return code.edited((body[0], body[0], b"\n" + pad + b"require(msg.sender == " + owner + b", " + UNAUTHORIZED + b");"))
+
+
+def loosen_time(code: Code, finding: dict) -> str | None:
     """An exact time becomes a bound; a remainder of the time becomes one of a block hash."""
-    text = Text(source)
-    line = text.line(finding.get("line"))
-    if line is not None and re.search(r"\b(?:block\.timestamp|now)\b", line):
-        for pattern, new in ((r"==\s*", ">= "), (r"!=\s*", "< "), (r"\b(?:block\.timestamp|now)\s*%", f"{ENTROPY} %")):
-            if re.search(pattern, line):
-                text.lines[finding["line"] - 1] = re.sub(pattern, new, line, count=1)
-                return text.joined()
-    return re.sub(r"\b(block\.timestamp|now)(\s*)==", r"\1\2>=", source, count=1)
+    rest = code.span(finding, "remainder")
+    if rest:
+        at = code.plain.find(b"%", *rest)
+        return code.edited((rest[0], len(code.data[:at].rstrip()), ENTROPY)) if at >= 0 else None
+    guard = code.span(finding, "guard") or code.span(finding)
+    exact = _EXACT.search(code.plain, *(guard if code.span(finding, "guard") else code.statement(guard))) if guard else None
+    return code.edited((*exact.span(), b">=" if exact[0] == b"==" else b"<")) if exact else None
 
 
 PATCHES = {"TXO-001": use_caller, "UEC-001": check_result, "REN-001": write_first, "ACC-001": guard_entry, "TMP-001": loosen_time}
 
 
 def patched(source: str, finding: dict) -> str:
-    """The source with a finding's patch; unchanged if there is none for its rule."""
+    """The source with a finding's patch; unchanged if there is none for its rule, or none that fits."""
     change = PATCHES.get(finding.get("rule_id"))
-    return change(source, finding) if change else source
+    return (change(Code(source), finding) if change else None) or source
 
 
 def unified_diff(old: str, new: str, file: str) -> str:

@@ -92,6 +92,13 @@ def latency_profile(spark, d):
     return M.latency_profile(table(spark, d, "events"), ["event_type"], "value")
 
 
+@query("""SELECT event_type, count(value) AS n, round(count(value) / sum(value), 2) AS runs_per_s, round(sum(length(props)) / sum(value), 2) AS loc_per_s, round(sum(length(props)) / (sum(value) * 1000), 5) AS kloc_per_s
+FROM events GROUP BY event_type""")
+def throughput_rates(spark, d):
+    rows = table(spark, d, "events").withColumn("lines", F.length("props"))
+    return M.throughput(rows, ["event_type"], "value", "lines")
+
+
 _P = "CAST(event_id % 101 AS DOUBLE) / 100"
 
 

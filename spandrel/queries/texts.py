@@ -86,9 +86,9 @@ def authority_union(spark, d):
     return by_name.union(by_use).distinct().join(table(spark, d, "labels").filter("quality = 0").select("doc_id"), "doc_id", "left_anti")
 
 
-@query("""SELECT doc_id, sha256(regexp_replace(text, '\\bthe\\b', 'THE', 'g')) AS all_replaced, sha256(CASE WHEN instr(text, 'the') > 0 THEN left(text, CAST(instr(text, 'the') AS BIGINT) - 1) || 'THE' || substr(text, CAST(instr(text, 'the') AS BIGINT) + 3) ELSE text END) AS first_replaced, contains(text, 'the') AS changed FROM documents WHERE lang = 'en'""")
+@query("""SELECT doc_id, sha256(regexp_replace(text, '\\bthe\\b', 'THE', 'g')) AS all_replaced, sha256(CASE WHEN instr(text, 'the') > 0 THEN left(text, CAST(instr(text, 'the') AS BIGINT) - 1) || 'THE' || substr(text, CAST(instr(text, 'the') AS BIGINT) + 3) ELSE text END) AS first_replaced, contains(text, 'the') AS changed FROM documents""")
 def patch_replace(spark, d):
-    rows = table(spark, d, "documents").filter("lang = 'en'")
+    rows = table(spark, d, "documents")
     return rows.select("doc_id", F.sha2(F.regexp_replace("text", r"\bthe\b", "THE"), 256).alias("all_replaced"), F.sha2(T.replace_first(F.col("text"), "the", "THE"), 256).alias("first_replaced"), F.contains("text", F.lit("the")).alias("changed"))
 
 
@@ -101,3 +101,8 @@ def family_labels(spark, d):
 def sample_ids(spark, d):
     rows = table(spark, d, "documents").withColumn("file", F.concat_ws("_", "source", "lang"))
     return rows.select("doc_id", T.sample_id(F.concat("file", F.lit(".sol")), F.when(F.col("n_chars") < 500, "small").otherwise("large")).alias("sample_id"), T.family_of(F.col("file")).alias("family"))
+
+
+@query("""SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS stamp, contains(lower(event_type), 'err') AS named FROM events""")
+def utc_stamps(spark, d):
+    return table(spark, d, "events").select("event_id", T.utc_stamp(F.col("ts")).alias("stamp"), T.name_contains(F.col("event_type"), "err").alias("named"))

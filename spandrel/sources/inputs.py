@@ -36,16 +36,60 @@ def requests(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return rows.filter(good), rows.filter(~good)
 
 
-def compile_sources(sources: DataFrame, provider) -> DataFrame:
-    """``(file, source, output)`` by an injected compiler ``provider(source, file) -> JSON text``, run where the rows are."""
+def request_object(spark: SparkSession, path: str) -> DataFrame:
+    """One request per file, as an object that other output may precede: ``(file, source, output, error)``; all of its three keys are required."""
+    raw = spark.read.text(path, wholetext=True)
+    get = lambda key, kind: F.expr(f"try_variant_get(request, '$.{key}', '{kind}')")
+    rows = raw.select(tolerant_object("value").alias("request"))
+    rows = rows.select("request", get("fileName", "string").alias("file"), get("source", "string").alias("source"), F.coalesce(get("compilerOutput", "string"), F.to_json(get("compilerOutput", "variant"))).alias("output"))
+    missing = F.array_join(F.filter(F.array(*(F.when(F.col(c).isNull(), F.lit(k)) for c, k in (("file", "fileName"), ("source", "source"), ("output", "compilerOutput")))), lambda k: k.isNotNull()), ", ")
+    return rows.select("file", "source", "output", F.when(F.col("request").isNull(), "no JSON object").when(missing != "", F.concat(F.lit("missing: "), missing)).alias("error"))
+
+
+def named_samples(names: DataFrame, samples: DataFrame) -> DataFrame:
+    """``(name, source, found)`` for each asked ``name``: only those of ``samples(name, source)`` can be read; others are answered as not found."""
+    return names.select("name").join(F.broadcast(samples.select("name", "source")), "name", "left").withColumn("found", F.col("source").isNotNull())
+
+
+def compile_rows(sources: DataFrame, provider, most_seconds: float | None = None) -> DataFrame:
+    """``(file, source, output, status, error, sha256)`` by an injected compiler ``provider(source, file) -> JSON text``, run where the rows are.
+
+    ``status``: ``compiled``; ``diagnostics`` if the output reports errors; ``timeout`` after ``most_seconds``; ``failed`` if the provider
+    raises or gives no JSON.  A row that fails does not fail the job.
+    """
+    import json
+    from concurrent.futures import ThreadPoolExecutor
+    from concurrent.futures import TimeoutError as TooLong
+    from hashlib import sha256
+
     import pyarrow as pa
 
+    def one(source: str, file: str) -> tuple:
+        pool = ThreadPoolExecutor(1)
+        try:
+            output = pool.submit(provider, source, file).result(most_seconds)
+            errors = [e.get("message", "") for e in json.loads(output).get("errors") or [] if e.get("severity") == "error"]
+            return (output, "diagnostics", "; ".join(errors)) if errors else (output, "compiled", None)
+        except TooLong:
+            return None, "timeout", f"no result after {most_seconds} s"
+        except Exception as e:  # noqa: BLE001 - whatever a provider raises is this row's result
+            return None, "failed", f"{type(e).__name__}: {e}"[:500]
+        finally:
+            pool.shutdown(wait=False, cancel_futures=True)
+
     def run(batches):
         for batch in batches:
             files, texts = batch.column("file").to_pylist(), batch.column("source").to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("source"), pa.array([provider(t, f) for f, t in zip(files, texts, strict=True)], pa.string())], ["file", "source", "output"])
+            done = [one(t, f) for f, t in zip(files, texts, strict=True)]
+            digests = [None if t is None else sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("source"), *(pa.array([d[k] for d in done], pa.string()) for k in range(3)), pa.array(digests, pa.string())], ["file", "source", "output", "status", "error", "sha256"])
+
+    return sources.select("file", "source").mapInArrow(run, "file string, source string, output string, status string, error string, sha256 string")
+
 
-    return sources.select("file", "source").mapInArrow(run, "file string, source string, output string")
+def compile_sources(sources: DataFrame, provider, most_seconds: float | None = None) -> DataFrame:
+    """``(file, source, output)``; output is null where ``compile_rows`` has none."""
+    return compile_rows(sources, provider, most_seconds).select("file", "source", "output")
 
 
 def write_json(df: DataFrame, path: str) -> None:

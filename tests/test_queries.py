@@ -46,11 +46,6 @@ def test_runs(spark, name):
     assert core.queries()[name](spark, SF).count() > 0
 
 
-def test_verified_patches(spark):
-    got = {r["file"]: r for r in core.queries()["patch_verification"](spark, SF).collect() if r["rule_id"] != "UEC-001"}
-    assert got["owner_replaced_0.sol"]["status"] == "verified" and got["owner_replaced_0.sol"]["remaining"] == 0
-
-
 def test_remediation_reaches_an_end(spark):
     from spandrel.plans import patch
     from spandrel.queries.analysis import sample_files
@@ -162,3 +157,86 @@ def test_scores_compare_boosted_trees(monkeypatch):
     with pytest.raises(Seen) as seen:
         analysis.ml_scores(Any(), "")
     assert seen.value.args == (ml.TREES,) and ml.TREES > 0
+
+
+def test_compiling_never_fails_the_job(spark):
+    import time
+
+    from spandrel.sources import inputs
+
+    def provider(source, file):
+        if source == "raise":
+            raise RuntimeError("no compiler")
+        if source == "sleep":
+            time.sleep(5)
+        return '{"errors": [{"severity": "error", "message": "bad"}]}' if source == "bad" else "not json" if source == "noise" else "{}"
+
+    rows = spark.createDataFrame([(s, s) for s in ("raise", "sleep", "bad", "noise", "good")], "file string, source string")
+    got = {r["file"]: r for r in inputs.compile_rows(rows, provider, 1.0).collect()}
+    assert {k: r["status"] for k, r in got.items()} == {"raise": "failed", "sleep": "timeout", "bad": "diagnostics", "noise": "failed", "good": "compiled"}
+    assert got["bad"]["error"] == "bad" and len(got["good"]["sha256"]) == 64 and got["raise"]["output"] is None
+
+
+def test_request_objects_and_named_samples(spark, tmp_path):
+    from spandrel.sources import inputs
+
+    (tmp_path / "a.json").write_text('log line\n{"fileName": "a.sol", "source": "x", "compilerOutput": {"k": [1]}}')
+    (tmp_path / "b.json").write_text('{"fileName": "b.sol"}')
+    (tmp_path / "c.json").write_text("nothing")
+    got = sorted((r["file"] or "", r["output"] or "", r["error"] or "") for r in inputs.request_object(spark, str(tmp_path)).collect())
+    assert got == [("", "", "no JSON object"), ("a.sol", '{"k":[1]}', ""), ("b.sol", "", "missing: source, compilerOutput")]
+    names = spark.createDataFrame([("x",), ("../etc",)], "name string")
+    allowed = spark.createDataFrame([("x", "text"), ("y", "other")], "name string, source string")
+    assert {tuple(r) for r in inputs.named_samples(names, allowed).collect()} == {("x", "text", True), ("../etc", None, False)}
+
+
+def test_models_are_stored_and_scores_say_what_is_missing(spark, tmp_path):
+    from spandrel.plans import ml
+    from spandrel.plans.features import FEATURES
+
+    r = [(f"f{i}", rule, {n: float((i + k) % 3) for k, n in enumerate(names)}) for i in range(12) for rule, names in FEATURES.items()]
+    rows = spark.createDataFrame(r, "file string, rule_id string, features map<string,double>")
+    labels = spark.createDataFrame([(f"f{i}", rule, i % 2) for i in range(12) for rule in ("TXO-001", "REN-001")], "file string, rule_id string, label int")
+    splits = spark.createDataFrame([(f"f{i}", "train" if i < 8 else "validation") for i in range(12)], "file string, part string")
+    none = spark.createDataFrame([], "file string, rule_id string")
+    models = ml.train(rows, labels, splits, trees=2)
+    ml.save(models, str(tmp_path / "m"))
+    again = ml.load(str(tmp_path / "m"))
+    want, got = ({tuple(x) for x in ml.score(rows, m, none).select("file", "rule_id", "probability").collect()} for m in (models, again))
+    assert want == got and {k: v[0] for k, v in models.items()} == {k: v[0] for k, v in again.items()}
+    assert ml.readiness(again)["status"] == "ready" and ml.load(str(tmp_path / "nowhere")) == {}
+    part = {k: v for k, v in again.items() if k != "TMP-001"}
+    assert ml.readiness(part) == {"status": "partial", "missing": ["TMP-001"]} and ml.shadow(rows, part, none, True) is None and ml.shadow(rows, again, none, True) is not None
+    assert {(x["rule_id"], x["status"]) for x in ml.scored(rows, part, none).collect()} == {(k, "error" if k == "TMP-001" else "ok") for k in FEATURES}
+    assert {x["status"] for x in ml.scored(rows, {}, none).collect()} == {"unavailable"} and {x["status"] for x in ml.scored(rows, again, none, False).collect()} == {"disabled"}
+    with pytest.raises(ValueError, match="without features"):
+        ml.train(rows.filter("file <> 'f3'"), labels, splits, trees=0)
+
+
+def test_unknown_where_a_graph_is_uncertain(spark):
+    from spandrel.operators import graph as G
+
+    nodes = spark.createDataFrame([("g", i, i == 0, i == 2, i == 1, False) for i in range(4)], "graph string, id int, entry boolean, exit boolean, uncertain boolean, unordered boolean")
+    edges = spark.createDataFrame([("g", 0, 1, "normal"), ("g", 0, 3, "normal")], "graph string, src int, dst int, kind string")
+    asked = spark.createDataFrame([("g", 0, 2), ("g", 0, 3), ("g", 0, 9), ("h", 0, 0)], "graph string, src int, dst int")
+    got = {tuple(r) for r in G.reachable(asked, G.closure(edges), nodes).collect()}
+    assert got == {("g", 0, 2, "unknown"), ("g", 0, 3, "yes"), ("g", 0, 9, "invalid"), ("h", 0, 0, "invalid")}
+    asked = spark.createDataFrame([("g", 1, 3), ("g", 1, 2), ("g", 3, 3), ("g", 7, 3), ("h", 0, 0)], "graph string, dominator int, target int")
+    assert {tuple(r) for r in G.dominates(asked, edges, nodes).collect()} == {("g", 1, 3, "no"), ("g", 1, 2, "unknown"), ("g", 3, 3, "yes"), ("g", 7, 3, "invalid"), ("h", 0, 0, "invalid")}
+    closed = G.frontier_closure(edges, nodes.filter("id = 0").select("id"), lambda df: spark.createDataFrame(df.collect(), df.schema))
+    assert {tuple(r) for r in closed.collect()} == {(0, 1), (0, 3)}
+
+
+def test_annotations_and_spans(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from spandrel.functions import text as T
+    from spandrel.operators import quality
+    from spandrel.sources import inputs
+
+    assert spark.createDataFrame([("é=1;",)], "s string").select(T.byte_slice(F.col("s"), F.lit(2), F.lit(2))).first()[0] in ("=1", b"=1", bytearray(b"=1"))
+    inputs.write_json(spark.createDataFrame([(1, "x")], "a int, b string"), str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).count() == 1
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"sources": {"a.sol": {}}}')
+    assert inputs.read_compiled(spark, str(tmp_path / "in")).first()["file"] == "a.sol"
+    assert callable(quality.validate_annotations)

@@ -97,3 +97,37 @@ def test_patch_removes_finding(name):
 
 def test_unknown_rule_is_not_patched():
     assert patch.patched("x", {"rule_id": "ABC-001"}) == "x"
+
+
+def test_patches_don_t_depend_on_lines():
+    source = "// tx.origin\ncontract C { address owner; string s = \"tx.origin;\"; function f(address payable t) public { require(\n  owner ==\n  tx.origin\n ); t.transfer(1); } }"
+    new = patch.patched(source, _report(source)["findings"][0])
+    assert new == source.replace("==\n  tx.origin", "==\n  msg.sender") and not _report(new)["findings"]
+    source = "contract C { uint x; function f(address t) public { bool success; if (x == 1) t.call(\n\"\"\n); success = true; x = 1; } }"
+    finding = next(f for f in _report(source)["findings"] if f["rule_id"] == "UEC-001")
+    assert '{ (bool success2, ) = t.call(\n""\n); require(success2, "call failed"); }' in patch.patched(source, finding)
+    # A write in another block than the call is not moved.
+    code = "contract C { function f() public { a.call(); if (x) { b = 1; } } }"
+    spans = [{"description": d, "offset": code.index(w), "length": len(w)} for d, w in (("call before the write", "a.call()"), ("write of the storage", "b = 1"))]
+    assert patch.patched(code, {"rule_id": "REN-001", "evidence": spans}) == code
+
+
+def test_patch_without_spans():
+    """A finding that has nothing but a line or a function, as a request may give it."""
+    source = "contract C {\n function f() public {\n  require(tx.origin == a);\n }\n function g() public { require(tx.origin == b); }\n}\n"
+    assert patch.patched(source, {"rule_id": "TXO-001", "line": 3}).count("msg.sender") == 1
+    assert "msg.sender == b" in patch.patched(source, {"rule_id": "TXO-001", "function": "g"})
+    assert "msg.sender == a" in patch.patched(source, {"rule_id": "TXO-001"})
+    assert patch.patched(source, {"rule_id": "UEC-001", "line": 99}) == source
+
+
+def test_described_programs():
+    from spandrel.plans import programs
+
+    source = SAMPLES["several"][0]
+    row = programs.describe("a.sol", compile_source(source, "a.sol"))
+    assert row["typed"] and row["error"] is None and {n["graph"] for n in row["nodes"]} == {f"a.sol#C.{f}" for f in "acde"}
+    assert {e["kind"] for e in row["effects"]} == {"write", "read", "low_level", "transfer", "builtin"}
+    ids = {(n["graph"], n["id"]) for n in row["nodes"]}
+    assert all((e["graph"], x) in ids for e in row["edges"] for x in (e["src"], e["dst"])) and all((e["graph"], e["node"]) in ids for e in row["effects"])
+    assert programs.describe("a.sol", "{")["error"].startswith("JSONDecodeError") and programs.describe("a.sol", None)["error"]
