@@ -475,7 +475,8 @@ class Known:
 def sums(known: Known, keys: np.ndarray, texts: np.ndarray, n: int) -> tuple[list[np.ndarray], np.ndarray]:
     """What the n-grams found add to each of ``n`` texts, and which were not found."""
     place = _find(known.h, keys)
-    return [np.bincount(texts, x[place], n) for x in known.adds], place == 0
+    # Of no n-grams at all, bincount makes whole numbers.
+    return [np.bincount(texts, x[place], n).astype(np.float64) for x in known.adds], place == 0
 
 
 def score(docs: DataFrame, key: str, is_training: Column, text: str = "text", order: int = ORDER) -> DataFrame:
