@@ -282,6 +282,7 @@ def site_trees(pages: DataFrame, host: str, html: str, least_pages: int = LEAST_
     seen = seen.dropDuplicates(["host", "page"]).select("host", F.inline("features"))
     counted = seen.groupBy("host", *FEATURE).agg(F.count("*").alias("n"))
     shown = F.when(F.col("kind") == 0, F.col("n"))
+    # Written once, as it is read twice and pages are costly to parse.
     nodes = counted.groupBy("host", "path", "parent", "hint").agg(
         F.coalesce(F.sum(shown), F.lit(0)).alias("pages"),
         (F.log(F.sum(shown)) - F.sum(shown * F.log(shown)) / F.sum(shown)).alias("presentation"),
@@ -289,6 +290,7 @@ def site_trees(pages: DataFrame, host: str, html: str, least_pages: int = LEAST_
         F.count(F.when(F.col("kind") == 1, 1)).alias("contents"),
     )
     # A node is shown by no more pages than the one above it, so what is too rare to be judged goes as whole branches: only their number counts.
+    nodes = cut(nodes)
     rare = nodes.filter(F.col("pages") < least_pages)
     branches = rare.groupBy("host", F.col("parent").alias("path")).agg(F.count("*").alias("rare"))
     return nodes.filter(F.col("pages") >= least_pages).join(branches, ["host", "path"], "left").withColumn("rare", F.coalesce("rare", F.lit(0)))
