@@ -2,8 +2,9 @@
 
 ``nodes(graph, id, entry, exit, uncertain)`` and ``edges(graph, src, dst, kind)``.
 Answers are ``yes``, ``no``, ``unknown`` (the graph is not complete) or ``invalid``.
-A graph is small, so its closure is made where its rows are, one graph a call; the
-graphs themselves are spread.  A single large graph goes by frontiers instead.
+A graph is small, so it is walked where its rows are, one graph a call, from the nodes
+that are asked for alone; the graphs themselves are spread.  A single large graph goes
+by frontiers instead.
 """
 
 from __future__ import annotations
@@ -42,6 +43,27 @@ def closure(edges: DataFrame) -> DataFrame:
     return edges.select("graph", "src", "dst").groupBy("graph").applyInArrow(per_graph, f"graph {types['graph']}, src {types['src']}, dst {types['dst']}")
 
 
+def asked_closure(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of ``pairs(graph, src, dst)`` that a path of one edge or more joins, each once; one walk for each asked ``src``."""
+    types = dict(pairs.dtypes)
+
+    def per_graph(asked: pa.Table, graph: pa.Table) -> pa.Table:
+        adjacency = defaultdict(list)
+        for a, b in zip(graph.column("src").to_pylist(), graph.column("dst").to_pylist(), strict=True):
+            adjacency[a].append(b)
+        found: dict = {}
+        hits = []
+        for a, b in zip(asked.column("src").to_pylist(), asked.column("dst").to_pylist(), strict=True):
+            if a not in found:
+                found[a] = reach(adjacency, a)
+            hits.append(b in found[a])
+        return asked.filter(pa.array(hits, pa.bool_()))
+
+    # Names of its own, as pairs may come from the table of the edges.
+    asked = pairs.select(*(F.col(c).alias(c) for c in ("graph", "src", "dst"))).distinct()
+    return asked.groupBy("graph").cogroup(edges.select("graph", "src", "dst").groupBy("graph")).applyInArrow(per_graph, f"graph {types['graph']}, src {types['src']}, dst {types['dst']}")
+
+
 def frontier_closure(edges: DataFrame, starts: DataFrame, cut) -> DataFrame:
     """``(src, dst)`` from each start of one large graph: a round of joins per distance; ``cut`` writes a round's result."""
     found = cut(starts.select(F.col("id").alias("src")).join(edges.select("src", "dst"), "src").distinct())
@@ -58,8 +80,9 @@ def status(reached: Column, complete: Column, valid: Column) -> Column:
     return F.when(~valid, "invalid").when(reached, "yes").when(complete, "no").otherwise("unknown")
 
 
-def reachable(pairs: DataFrame, closed: DataFrame, nodes: DataFrame) -> DataFrame:
+def reachable(pairs: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Answers for ``pairs(graph, src, dst)``: is there a path from src to dst; a node reaches itself."""
+    closed = asked_closure(edges, pairs)
     known = nodes.select("graph", "id")
     whole = nodes.groupBy("graph").agg((F.count_if("uncertain") == 0).alias("complete"))
     q = pairs.join(known.select("graph", F.col("id").alias("src"), F.lit(True).alias("_a")), ["graph", "src"], "left")
@@ -70,23 +93,24 @@ def reachable(pairs: DataFrame, closed: DataFrame, nodes: DataFrame) -> DataFram
     return q.select("graph", "src", "dst", status(hit, F.coalesce("complete", F.lit(False)), valid).alias("status"))
 
 
-def ordered(pairs: DataFrame, closed: DataFrame, nodes: DataFrame) -> DataFrame:
+def ordered(pairs: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """As reachable(), but strict: a node does not come before itself unless by a cycle."""
-    answers = reachable(pairs.filter("src <> dst"), closed, nodes)
-    same = pairs.filter("src = dst").join(closed.withColumn("_hit", F.lit(True)), ["graph", "src", "dst"], "left")
+    answers = reachable(pairs.filter("src <> dst"), edges, nodes)
+    same = pairs.filter("src = dst")
+    same = same.join(asked_closure(edges, same).withColumn("_hit", F.lit(True)), ["graph", "src", "dst"], "left")
     return answers.union(same.select("graph", "src", "dst", F.when(F.col("_hit").isNotNull(), "yes").otherwise("no").alias("status")))
 
 
-def ordered_sequences(sequences: DataFrame, closed: DataFrame, nodes: DataFrame) -> DataFrame:
+def ordered_sequences(sequences: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """``sequences(graph, seq, nodes ARRAY)``: the least answer over neighbours; an empty sequence is invalid."""
     steps = sequences.select("graph", "seq", F.explode(F.arrays_zip(F.expr("slice(nodes, 1, greatest(size(nodes) - 1, 0))").alias("src"), F.expr("slice(nodes, 2, size(nodes))").alias("dst"))).alias("e")).select("graph", "seq", "e.src", "e.dst")
-    answers = steps.join(ordered(steps.select("graph", "src", "dst").distinct(), closed, nodes), ["graph", "src", "dst"])
+    answers = steps.join(ordered(steps.select("graph", "src", "dst").distinct(), edges, nodes), ["graph", "src", "dst"])
     rank = F.when(F.col("status") == "invalid", 0).when(F.col("status") == "no", 1).when(F.col("status") == "unknown", 2).otherwise(3)
     worst = answers.groupBy("graph", "seq").agg(F.min_by("status", rank).alias("status"))
     return sequences.select("graph", "seq", F.size("nodes").alias("_n")).join(worst, ["graph", "seq"], "left").select("graph", "seq", F.when(F.col("_n") == 0, "invalid").otherwise(F.coalesce("status", F.lit("yes"))).alias("status"))
 
 
-def ordered_effects(pairs: DataFrame, effects: DataFrame, closed: DataFrame, nodes: DataFrame) -> DataFrame:
+def ordered_effects(pairs: DataFrame, effects: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """``pairs(graph, first, second)`` of effects by id: can the first come before the second, by the nodes that hold them.
 
     ``effects(graph, id, node)``.  Two effects of one node have no known order where the
@@ -95,17 +119,17 @@ def ordered_effects(pairs: DataFrame, effects: DataFrame, closed: DataFrame, nod
     held = effects.groupBy("graph", "id").agg(F.min("node").alias("node"))
     found = pairs.join(held.select("graph", F.col("id").alias("first"), F.col("node").alias("src")), ["graph", "first"], "left").join(held.select("graph", F.col("id").alias("second"), F.col("node").alias("dst")), ["graph", "second"], "left")
     loose = nodes.select("graph", F.col("id").alias("src"), (F.col("uncertain") | F.col("unordered")).alias("_loose"))
-    answers = ordered(found.filter("src <> dst").select("graph", "src", "dst").distinct(), closed, nodes)
+    answers = ordered(found.filter("src <> dst").select("graph", "src", "dst").distinct(), edges, nodes)
     out = found.join(answers, ["graph", "src", "dst"], "left").join(loose, ["graph", "src"], "left")
     same = F.when(F.col("_loose"), "unknown").otherwise("no")
     return out.select("graph", "first", "second", F.when(F.col("src").isNull() | F.col("dst").isNull(), "invalid").when(F.col("src") == F.col("dst"), same).otherwise(F.col("status")).alias("status"))
 
 
-def branch_reachable(queries: DataFrame, edges: DataFrame, closed: DataFrame, nodes: DataFrame) -> DataFrame:
+def branch_reachable(queries: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """``queries(graph, branch, kind, target)``: does the edge of that kind lead to the target."""
     heads = queries.join(edges.select("graph", F.col("src").alias("branch"), "kind", F.col("dst").alias("src")), ["graph", "branch", "kind"], "left")
     asked = heads.filter(F.col("src").isNotNull()).select("graph", "src", F.col("target").alias("dst")).distinct()
-    answers = reachable(asked, closed, nodes)
+    answers = reachable(asked, edges, nodes)
     out = heads.join(answers.select("graph", "src", F.col("dst").alias("target"), "status"), ["graph", "src", "target"], "left")
     rank = F.when(F.col("status") == "yes", 0).when(F.col("status") == "unknown", 1).when(F.col("status") == "no", 2).otherwise(3)
     return out.groupBy("graph", "branch", "kind", "target").agg(F.min_by(F.coalesce("status", F.lit("invalid")), rank).alias("status"))

@@ -150,7 +150,7 @@ def exit_reachability(spark, d):
     """For every function of the samples: are its normal exit, its exceptional exit, and a node of no graph reached."""
     nodes, edges, _ = _graphs(spark)
     pairs = nodes.filter("entry").select("file", "graph", F.col("id").alias("src"), F.explode(F.map_from_arrays(F.array(*map(F.lit, ("exit", "failure", "foreign"))), F.array(*(F.lit(k).cast("long") for k in (-1, -2, -9))))).alias("asked", "dst"))
-    answers = G.reachable(pairs.select("graph", "src", "dst"), G.closure(edges), nodes)
+    answers = G.reachable(pairs.select("graph", "src", "dst"), edges, nodes)
     return pairs.join(answers, ["graph", "src", "dst"]).groupBy("file", "asked", "status").agg(F.count("*").alias("n"))
 
 
@@ -163,7 +163,7 @@ def effect_order(spark, d):
     rows = spark.createDataFrame([(f"{n}_0.sol", a, b) for n, a, b in asked], "file string, first_kind string, second_kind string")
     one = lambda end: effects.groupBy("file", "graph", F.col("kind").alias(f"{end}_kind")).agg(F.min("id").alias(end))
     pairs = rows.join(one("first"), ["file", "first_kind"]).join(one("second").drop("graph"), ["file", "second_kind"], "left").withColumn("second", F.coalesce("second", F.lit(-9)))
-    answers = G.ordered_effects(pairs.select("graph", "first", "second"), effects, G.closure(edges), nodes)
+    answers = G.ordered_effects(pairs.select("graph", "first", "second"), effects, edges, nodes)
     return pairs.join(answers, ["graph", "first", "second"]).select("file", F.col("first_kind").alias("first"), F.col("second_kind").alias("second"), "status")
 
 

@@ -77,7 +77,7 @@ LEFT JOIN closed c ON c.graph = a.graph AND c.src = a.src AND c.dst = a.dst""")
 def reachability(spark, d):
     nodes, edges = _graph(spark, d)
     pairs = nodes.select("graph", F.col("id").alias("src"), F.explode(F.array(F.col("id"), F.col("id") + 3, F.col("id") - 1)).alias("dst"))
-    return G.reachable(pairs, G.closure(edges), nodes)
+    return G.reachable(pairs, edges, nodes)
 
 
 @query(f"""WITH RECURSIVE {_NODES}, {_EDGES}, {_CLOSED}
@@ -87,14 +87,14 @@ LEFT JOIN closed c ON c.graph = a.graph AND c.src = a.src AND c.dst = a.dst""")
 def ordered_pairs(spark, d):
     nodes, edges = _graph(spark, d)
     pairs = nodes.select("graph", F.col("id").alias("src"), F.explode(F.array(F.col("id"), F.col("id") + 1, F.col("id") - 1)).alias("dst"))
-    return G.ordered(pairs, G.closure(edges), nodes)
+    return G.ordered(pairs, edges, nodes)
 
 
 @query(f"WITH {_NODES} SELECT graph, CASE WHEN bool_and(src + 1 = dst) THEN 'yes' ELSE 'no' END AS status FROM (SELECT graph, id AS src, coalesce(lead(id) OVER (PARTITION BY graph ORDER BY id), id + 1) AS dst FROM (SELECT DISTINCT graph, id FROM nodes)) GROUP BY graph")
 def ordered_sequence(spark, d):
     nodes, edges = _graph(spark, d)
     sequences = nodes.groupBy("graph").agg(F.sort_array(F.collect_set("id")).alias("nodes")).withColumn("seq", F.lit(0))
-    return G.ordered_sequences(sequences, G.closure(edges), nodes).select("graph", "status")
+    return G.ordered_sequences(sequences, edges, nodes).select("graph", "status")
 
 
 @query(f"""WITH RECURSIVE {_NODES}, {_EDGES}, {_CLOSED}, last AS (SELECT graph, max(id) AS target FROM nodes GROUP BY graph),
@@ -104,7 +104,7 @@ def branch_reachability(spark, d):
     nodes, edges = _graph(spark, d)
     last = nodes.groupBy("graph").agg(F.max("id").alias("target"))
     queries = edges.select("graph", F.col("src").alias("branch"), "kind").join(last, "graph")
-    return G.branch_reachable(queries, edges, G.closure(edges), nodes)
+    return G.branch_reachable(queries, edges, nodes)
 
 
 @query(f"""WITH RECURSIVE {_NODES}, {_EDGES}, start AS (SELECT graph, min(id) AS s, max(id) AS t FROM nodes GROUP BY graph),
