@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import lower_ascii, read, replicated
+from .base import cut, lower_ascii, read, replicated
 
 #: Rules that are sent to every executor at most; more are joined by a shuffle.
 BROADCAST_RULES = 100_000
@@ -45,7 +45,7 @@ def compile_rules(rules: DataFrame) -> DataFrame:
 
 def filter_urls(urls: DataFrame, rules: DataFrame, key: str, url: str = "url", default: str = "allow") -> DataFrame:
     """Per row of ``urls``: ``key``, host, path, the deciding rule or null, and the verdict (``default`` without a rule)."""
-    compiled = compile_rules(rules).persist()
+    compiled = cut(compile_rules(rules))
     shape = compiled.agg(F.sort_array(F.collect_set("labels")).alias("labels"), F.sort_array(F.collect_set("path_size")).alias("paths"), F.count("*").alias("n")).first()
     labels, paths, n_rules = [F.array(*map(F.lit, xs)) if xs else F.array().cast("array<int>") for xs in (shape["labels"], shape["paths"])] + [shape["n"]]
 

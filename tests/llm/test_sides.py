@@ -114,6 +114,17 @@ def test_rules_beyond_the_broadcast(spark, monkeypatch):
     assert rows_of(u.filter_urls(urls, rules, "k")) == near
 
 
+def test_keys_to_drop_beyond_the_broadcast(spark, monkeypatch):
+    from spandrel.llm import base
+
+    rows = spark.createDataFrame([(i % 7 or None, "x") for i in range(30)], "k int, text string")
+    gone = spark.createDataFrame([(2,), (5,)], "k int")
+    near = rows_of(base.without(rows, gone, "k"))
+    assert len(near) == 30 - 8
+    monkeypatch.setattr(base, "BROADCAST_KEYS", -1)
+    assert rows_of(base.without(rows, gone, "k")) == near
+
+
 def test_windows_beyond_the_broadcast(spark, monkeypatch):
     from spandrel.llm import decontaminate as d
 
