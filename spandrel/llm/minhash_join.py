@@ -14,10 +14,14 @@ Candidates are confirmed on full sets, as follows.
    differ in more than FAR slots are let go (a pair of similarity 0.85 does so once
    in 10^8).  Keys shared by more link all their classes to the smallest.
    Components of these candidate links are regions; every candidate pair lies within one.
-3. A region is dealt into blocks of bounded size.  For each pair of blocks one task
-   gets the full sets, computes exact similarities of all its pairs at once as a
-   matrix product, and returns a spanning forest of the links, so that no task
-   holds a region and no pair is written out that links nothing new.
+3. A region is dealt into blocks of bounded size.  In a region of several blocks each
+   set is first compared with that of its smallest document: those linked to it are
+   linked with each other already, so only pairs of which one is not are left, and a
+   region of copies of one text takes no more than one comparison each.  For each pair
+   of blocks that is left one task gets the full sets, computes exact similarities of
+   all its pairs at once as a matrix product, and returns a spanning forest of the
+   links, so that no task holds a region and no pair is written out that links nothing
+   new.
 4. Components of the links are the groups.
 
 Edge cases: a null or empty text has an empty set and is linked with nothing;
@@ -32,11 +36,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import base, textbytes
-from .base import cut, read, ship, slices, text_buffer, without
+from .base import cut, read, ship, slices, stored, text_buffer, without
 from .components import by_value, components
 
 CHUNKS, CHUNK, ERRORS = 10, 6, 1
@@ -45,6 +49,8 @@ FAR = 26
 SMALL = 16
 BLOCK_ROWS, BLOCK_SHINGLES = 128, 200_000
 _COLUMNS = 4096
+#: Regions of several blocks whose sizes are sent to every executor at most; more are joined by a shuffle.
+BROADCAST_REGIONS = 500_000
 _draw = np.random.Generator(np.random.PCG64(0xB17))
 _MULTIPLY = _draw.integers(1, 2**63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _draw.integers(0, 2**63, SLOTS, dtype=np.uint64)
@@ -177,15 +183,40 @@ def block_links(sets: list[np.ndarray], side: np.ndarray, cross: bool, share: in
     return found
 
 
+def _linked_to_first(sets: DataFrame, share: int) -> DataFrame:
+    """``sets(id, region, blocks, block, shingles)`` with ``near``: whether a set is linked to the one of its region's smallest document."""
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sets.schema)
+    names = sets.columns
+    first = sets.filter("id = region").groupBy("region", "blocks").agg(F.min("shingles").alias("first"))
+    # One copy of that set for each block, so that a region's rows need not meet.
+    copies = first.select("region", "first", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+
+    def compare(batches):
+        for batch in batches:
+            near = []
+            for own, other in zip(batch.column("shingles").to_pylist(), batch.column("first").to_pylist(), strict=True):
+                a, b = np.frombuffer(own, np.uint64), np.frombuffer(other, np.uint64)
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                near.append(100 * both >= share * (len(a) + len(b) - both))
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(near, pa.bool_())], [*names, "near"])
+
+    ship(__name__, base.__name__, textbytes.__name__)
+    return sets.join(copies, ["region", "block"]).select(*names, "first").mapInArrow(compare, f"{types}, near boolean")
+
+
+def _blocks(rows: Column, shingles: Column) -> Column:
+    return F.greatest(F.ceil(rows / BLOCK_ROWS), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
+
+
 def confirmed_links(docs: DataFrame, regions: DataFrame, key: str, text: str, k: int, share: int) -> DataFrame:
-    """Links ``(u, v)`` of similarity ``share`` percent or more that span each pair of blocks of each region.
+    """Links ``(u, v)`` of similarity ``share`` percent or more that span each region.
 
-    ``regions``: ``(id, region, n_shingles)``; ``docs`` must hold one row an id at least.
+    ``regions``: ``(id, region, n_shingles)``, the region named by its smallest id; ``docs`` must hold one row an id at least.
     """
-    shape = regions.groupBy("region").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    dealt = cut(regions.join(shape, "region").withColumn("block", F.pmod(F.xxhash64(F.lit(3), "id"), F.col("blocks")).cast("int")).select("id", "region", "blocks", "block"))
+    shape = regions.groupBy("region").agg(_blocks(F.count("*"), F.sum("n_shingles")).alias("blocks"))
+    block = lambda n: F.pmod(F.xxhash64(F.lit(3), "id"), n).cast("int")
+    dealt = cut(regions.join(shape, "region").select("id", "region", "blocks", block(F.col("blocks")).alias("block")))
     id_type = dict(regions.dtypes)["id"]
-    owned = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(dealt, "id")
 
     def to_sets(batches):
         for batch in slices(batches, "text"):
@@ -193,6 +224,10 @@ def confirmed_links(docs: DataFrame, regions: DataFrame, key: str, text: str, k:
             values = pa.array([sets[a:z].tobytes() for a, z in zip(at[:-1], at[1:], strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "region", "blocks", "block")), values], ["id", "region", "blocks", "block", "shingles"])
 
+    def sets_of(places: DataFrame) -> DataFrame:
+        owned = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(places, "id").select("id", "region", "blocks", "block", "text")
+        return owned.mapInArrow(to_sets, f"id {id_type}, region {id_type}, blocks int, block int, shingles binary")
+
     def link(table: pa.Table) -> pa.Table:
         table = table.sort_by([("id", "ascending"), ("shingles", "ascending")])
         ids, values = table.column("id").to_pylist(), table.column("shingles").to_pylist()
@@ -210,10 +245,22 @@ def confirmed_links(docs: DataFrame, regions: DataFrame, key: str, text: str, k:
         return pa.table({"u": pa.array([ids[a] for a, _ in links], table.schema.field("id").type), "v": pa.array([ids[b] for _, b in links], table.schema.field("id").type)})
 
     ship(__name__, base.__name__, textbytes.__name__)
-    sets = owned.mapInArrow(to_sets, f"id {id_type}, region {id_type}, blocks int, block int, shingles binary")
-    paired = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    paired = paired.select("id", "region", "block", "shingles", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
-    return paired.groupBy("region", "p", "q").applyInArrow(link, f"u {id_type}, v {id_type}")
+    schema = f"u {id_type}, v {id_type}"
+    links = sets_of(dealt.filter("blocks = 1")).select("id", "region", "block", "shingles", F.lit(0).alias("p"), F.lit(0).alias("q")).groupBy("region", "p", "q").applyInArrow(link, schema)
+    several = dealt.filter("blocks > 1")
+    if several.isEmpty():
+        return links
+    compared = stored(_linked_to_first(sets_of(several), share))
+    near = compared.filter(F.col("near") & (F.col("id") != F.col("region"))).select(F.col("region").alias("u"), F.col("id").alias("v")).distinct()
+    # Blocks of the sets that are not linked come first; pairs of two blocks of linked ones are left out.
+    weight = F.octet_length("shingles") / 8
+    of = lambda x: _blocks(F.sum(F.when(x, 1).otherwise(0)), F.sum(F.when(x, weight).otherwise(0)))
+    sizes = compared.groupBy("region").agg(of(~F.col("near")).alias("apart"), of(F.col("near")).alias("linked")).filter("apart > 0")
+    placed = compared.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_REGIONS else sizes, "region")
+    placed = placed.withColumn("block", F.when(F.col("near"), F.col("apart") + block(F.greatest("linked", F.lit(1)))).otherwise(block(F.col("apart"))))
+    others = F.sequence(F.lit(0), F.when(F.col("near"), F.col("apart") - 1).otherwise(F.col("apart") + F.col("linked") - 1))
+    paired = placed.withColumn("other", F.explode(others)).select("id", "region", "block", "shingles", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
+    return links.union(near).union(paired.groupBy("region", "p", "q").applyInArrow(link, schema))
 
 
 def near_duplicates(docs: DataFrame, key: str, text: str = "text", k: int = 3, share: int = 85) -> DataFrame:

@@ -267,6 +267,45 @@ def test_hubs_are_joined_apart(spark, monkeypatch):
     assert got == {i: 0 for i in range(60)} | {100 + i: 100 for i in range(31)} | {200 + i: 200 for i in range(3)}
 
 
+@pytest.mark.parametrize("regions", [500_000, -1])
+def test_regions_of_many_blocks(spark, monkeypatch, regions):
+    """A family of texts, some near the first and some not, in blocks of few rows, against all pairs."""
+    from spandrel.llm import minhash_join as m
+
+    r = random.Random(6)
+    base = [f"w{r.randrange(10**6)}" for _ in range(120)]
+    texts = []
+    for i in range(90):
+        words = list(base)
+        for _ in range((1, 2, 4, 6, 9)[i % 5]):
+            words[r.randrange(len(words))] = f"x{r.randrange(10**6)}"
+        texts.append(" ".join(words))
+    # A branch that drifts away from the first text, step by step.
+    for _ in range(12):
+        words = texts[-1].split()
+        for at in r.sample(range(len(words)), 2):
+            words[at] = f"y{r.randrange(10**6)}"
+        texts.append(" ".join(words))
+    sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in map(str.split, texts)]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    monkeypatch.setattr(m, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(m, "BROADCAST_REGIONS", regions)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {x["doc_id"]: x["component_id"] for x in m.near_duplicates(docs, "doc_id").collect()}
+    assert got == {i: find(i) for i in range(len(texts))} and 2 < len(set(got.values())) < 80
+
+
 # -- operator 10
 
 
