@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("site_tree", "backoff_lm", "sos_packing", "license_automaton", "url_rules", "minhash_join", "decontaminate", "secret_scan", "byte_cnn", "quality_mcd", "importance_resampling")
+MODULES = ("site_tree", "backoff_lm", "sos_packing", "license_automaton", "url_rules", "minhash_join", "decontaminate", "secret_scan", "byte_cnn", "quality_mcd", "importance_resampling", "projection_forest", "ranked_search")
 
 
 def _collect(name: str) -> dict:
