@@ -245,11 +245,11 @@ def search_index(index: DataFrame, terms: DataFrame, top: int = TOP) -> DataFram
     postings = index.filter(F.col("term") != _DOCUMENTS)
     known = postings.groupBy("term").agg(F.sum("n").alias("df"))
     weight = F.floor(1000 * F.log(F.lit(float(2 * n_docs + 2)) / (2 * F.col("df") + 1))).cast("long").alias("weight")
-    listed = cut(asked.groupBy("block", "term").agg(F.collect_list("item").alias("items")).join(known, "term").select("term", "block", weight, "items"))
+    listed = cut(asked.groupBy("block", "term").agg(F.collect_list(F.struct("item")).alias("items")).join(known, "term").select("term", "block", weight, "items"))
     weighed = postings.join(F.broadcast(listed) if terms.count() <= BROADCAST_TERMS else listed, "term")
     columns = ["shard", "block", "term", "n", "first", "last", "places", "counts"]
     each = index.filter(F.col("term") == _DOCUMENTS).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    rows = weighed.select(*columns, F.lit(None).cast(f"array<{key_type}>").alias("keys"), "weight", "items").unionByName(each.select(*columns, "keys", F.lit(0).cast("long").alias("weight"), F.lit(None).cast(f"array<{item_type}>").alias("items")))
+    rows = weighed.select(*columns, F.lit(None).cast(f"array<{key_type}>").alias("keys"), "weight", "items").unionByName(each.select(*columns, "keys", F.lit(0).cast("long").alias("weight"), F.lit(None).cast(f"array<struct<item:{item_type}>>").alias("items")))
 
     def rank(table: pa.Table) -> pa.Table:
         table = table.sort_by([("term", "ascending"), ("first", "ascending")])
@@ -264,14 +264,14 @@ def search_index(index: DataFrame, terms: DataFrame, top: int = TOP) -> DataFram
                 continue
             if term not in cursors:
                 cursors[term] = Cursor(columns["weight"][i], norm)
-                for item in columns["items"][i]:
-                    of.setdefault(item, []).append(cursors[term])
+                for asking in columns["items"][i]:
+                    of.setdefault(asking["item"], []).append(cursors[term])
             cursors[term].blocks.append((columns["first"][i], columns["last"][i], columns["places"][i], columns["counts"][i]))
         found = [(item, -place, score) for item, terms in of.items() for score, place in merged(terms, top)]
         keys = table.column("keys").combine_chunks()
         keys = keys.combine_chunks() if isinstance(keys, pa.ChunkedArray) else keys
         kept = keys.slice(own, 1).flatten().take(pa.array([x[1] for x in found], pa.int64()))
-        types = table.schema.field("items").type.value_type
+        types = table.schema.field("items").type.value_type.field(0).type
         return pa.table({"item": pa.array([x[0] for x in found], types), "key": kept, "score": pa.array([x[2] for x in found], pa.int64())})
 
     ship(__name__, base.__name__, textbytes.__name__)
