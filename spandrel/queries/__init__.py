@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import analysis, evaluation, logs, texts
+from . import analysis, evaluation, logs, structure, texts
 
-_PARTS = (evaluation, logs, texts, analysis)
+_PARTS = (evaluation, logs, texts, analysis, structure)
 
 
 def queries() -> dict:
