@@ -6,7 +6,7 @@ import json
 
 import pytest
 from spandrel.plans import ir, patch, rules
-from spandrel.plans.paths import Place, alias
+from spandrel.plans.paths import FALSE, NEVER, PERHAPS, SURELY, TRUE, Place, claim, consistent, overlap
 from spandrel.sources.minisol import compile_source
 from spandrel.sources.samples import SAMPLES
 
@@ -61,13 +61,28 @@ def test_positions_are_bytes():
     assert f["line"] == 4 and f["col"] == 2
 
 
-def test_alias():
+def test_overlap():
     lit = lambda n: ("lit", n)
-    assert alias(Place(1, (), (lit("1"),)), Place(1, (), (lit("1"),))) is True
-    assert alias(Place(1, (), (lit("1"),)), Place(1, (), (lit("2"),))) is False
-    assert alias(Place(1), Place(2)) is False
-    assert alias(Place(1, (), (("var", 3),)), Place(1, (), (lit("2"),))) is None
-    assert alias(Place(1, (), (("unresolved", "", "q"),)), Place(1, (), (("unresolved", "", "q"),))) is None
+    assert overlap(Place(1, (), (lit("1"),)), Place(1, (), (lit("1"),))) == SURELY
+    assert overlap(Place(1, (), (lit("1"),)), Place(1, (), (lit("2"),))) == NEVER
+    assert overlap(Place(1), Place(2)) == NEVER
+    assert overlap(Place(1, (), (("var", 3),)), Place(1, (), (lit("2"),))) == PERHAPS
+    assert overlap(Place(1, (), (("unresolved", "", "q"),)), Place(1, (), (("unresolved", "", "q"),))) == PERHAPS
+    assert overlap(Place(1, (), (("var", 3), lit("1"))), Place(1, (), (("var", 4), lit("2")))) == NEVER
+
+
+def test_claims_of_a_path():
+    x, y, z, one, two = ("var", 1), ("var", 2), ("var", 3), ("lit", "1"), ("lit", "12")
+    binary = lambda op, a, b: ("binary", "", op, a, b)
+    holds = lambda *said: consistent(tuple(claim(v, t) for v, t in said))
+    assert holds((binary("==", x, y), True), (binary("==", y, z), True))
+    assert not holds((binary("==", x, y), True), (binary("==", y, z), True), (binary("!=", z, x), True))
+    assert not holds((binary("==", x, one), True), (binary("==", x, two), True))
+    assert holds((binary("==", x, one), True), (binary("==", x, two), False))
+    assert not holds((("not", x), True), (x, True)) and not holds((binary("==", x, TRUE), False), (x, True)) and holds((binary("!=", x, FALSE), True), (x, True))
+    assert holds((binary("<", one, two), True)) and not holds((binary(">=", one, two), True)) and not holds((binary("<=", two, one), True))
+    assert not holds((binary("<", x, y), True), (binary(">=", x, y), True)) and holds((binary("<", x, y), True), (binary("<=", x, y), True))
+    assert not holds((binary("==", x, x), False)) and not holds((TRUE, False)) and holds()
 
 
 def test_control_flow_answers():
