@@ -80,80 +80,81 @@ def reachable(pairs: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame
 
 # -- trees and their nearest common ancestors
 
+#: Ancestors that a tree's row holds; what lies further up is looked up from the last of them.
+NEAR = 128
+
 
 def _tree(parents: DataFrame) -> tuple[DataFrame, int]:
-    """``parents(graph, id, parent, depth)``, null at a root, with ``up``: the ancestors 1, 2, 4, ... steps above; and their number."""
-    deepest = parents.agg(F.max("depth")).first()[0] or 0
-    steps = max(1, int(deepest).bit_length())
-    now = parents.select("graph", "id", "depth", F.array("parent").alias("up"))
-    for k in range(1, steps):
-        # The node 2^k above is the one 2^(k-1) above the one 2^(k-1) above.
-        above = now.select("graph", F.col("id").alias("_at"), F.element_at("up", k).alias("_next"))
-        now = now.withColumn("_at", F.element_at("up", k)).join(above, ["graph", "_at"], "left").withColumn("up", F.concat("up", F.array("_next"))).drop("_at", "_next")
-    return written(now), steps
+    """``(graph, id, depth, path)`` of ``parents(graph, id, parent)``, null at a root, and the greatest depth.
+
+    ``path`` has the node and the nearest ancestors upwards, NEAR at most.  Pointers double
+    their reach each round, and with them what is known of the way up.
+    """
+    now = written(parents.select("graph", "id", F.col("parent").alias("_to"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth"), F.array("id").alias("path")))
+    while not now.filter("_to IS NOT NULL").isEmpty():
+        ahead = now.select("graph", F.col("id").alias("_to"), F.col("_to").alias("_next"), F.col("depth").alias("_more"), F.col("path").alias("_way"))
+        way = F.slice(F.concat("path", F.coalesce("_way", F.array().cast(now.schema["path"].dataType))), 1, NEAR)
+        nxt = written(now.join(ahead, ["graph", "_to"], "left").select("graph", "id", F.col("_next").alias("_to"), (F.col("depth") + F.coalesce("_more", F.lit(0))).alias("depth"), way.alias("path")))
+        removed(now)
+        now = nxt
+    return now.select("graph", "id", "depth", "path"), now.agg(F.max("depth")).first()[0] or 0
 
 
 def _at(rows: DataFrame, tree: DataFrame, name: str) -> DataFrame:
-    """``rows`` with ``<name>_depth`` and ``<name>_up`` of the node in column ``name``."""
-    return rows.drop(f"{name}_depth", f"{name}_up").join(tree.select("graph", F.col("id").alias(name), F.col("depth").alias(f"{name}_depth"), F.col("up").alias(f"{name}_up")), ["graph", name], "left")
+    """``rows`` with ``<name>_depth`` and ``<name>_path`` of the node in column ``name``."""
+    return rows.join(tree.select("graph", F.col("id").alias(name), F.col("depth").alias(f"{name}_depth"), F.col("path").alias(f"{name}_path")), ["graph", name], "left")
 
 
-def _lifted(rows: DataFrame, tree: DataFrame, steps: int, name: str, to: Column) -> DataFrame:
-    """``rows`` with the node in ``name`` moved up to depth ``to``, where it is deeper."""
-    for k in reversed(range(steps)):
-        go = F.col(f"{name}_depth") - to >= 1 << k
-        rows = _at(rows.withColumn(name, F.when(go, F.element_at(f"{name}_up", k + 1)).otherwise(F.col(name))), tree, name)
-    return rows
+def ancestor(pairs: DataFrame, tree: DataFrame, deepest: int) -> DataFrame:
+    """``pairs(graph, above, below)`` with ``is``: whether above is below itself or on its way to the root; null where either is in no tree."""
+    rows = pairs.select("graph", "above", "below", F.col("below").alias("_x"))
+    depth = tree.select("graph", F.col("id").alias("above"), F.col("depth").alias("_goal"))
+    gap = F.col("_x_depth") - F.col("_goal")
+    is_ = F.when(gap < 0, F.lit(False)).otherwise(F.get("_x_path", gap) == F.col("above"))
+    answers = []
+    while True:
+        looked = _at(rows, tree, "_x").join(depth, ["graph", "above"], "left")
+        answers.append(looked.filter(F.coalesce(gap < NEAR, F.lit(True))).select("graph", "above", "below", is_.alias("is")))
+        if deepest <= (NEAR - 1) * len(answers):
+            return reduce(DataFrame.unionByName, answers)
+        rows = written(looked.filter(gap >= NEAR).select("graph", "above", "below", F.element_at("_x_path", -1).alias("_x")))
 
 
-def ancestor(pairs: DataFrame, tree: DataFrame, steps: int) -> DataFrame:
-    """``pairs(graph, above, below)`` with ``is``: whether above is below itself or on its way to the root; null where either is in no tree."""
-    rows = _at(_at(pairs.select("graph", "above", "below", F.col("below").alias("_x")), tree, "above"), tree, "_x")
-    rows = _lifted(rows, tree, steps, "_x", F.col("above_depth"))
-    return rows.select("graph", "above", "below", F.when(F.col("above_depth").isNotNull() & F.col("_x_depth").isNotNull(), F.col("_x") == F.col("above")).alias("is"))
-
-
-def nearest_common(pairs: DataFrame, tree: DataFrame, steps: int) -> DataFrame:
-    """``pairs(graph, a, b, ...)`` with ``nca`` and ``nca_depth``, by lifting both in steps that halve."""
-    rows = _at(_at(pairs.withColumns({"_x": F.col("a"), "_y": F.col("b")}), tree, "_x"), tree, "_y")
-    swap = F.col("_x_depth") < F.col("_y_depth")
-    both = [("_x", "_y"), ("_x_depth", "_y_depth"), ("_x_up", "_y_up")]
-    rows = rows.withColumns({c: e for x, y in both for c, e in ((x, F.when(swap, F.col(y)).otherwise(F.col(x))), (y, F.when(swap, F.col(x)).otherwise(F.col(y))))})
-    rows = _lifted(rows, tree, steps, "_x", F.col("_y_depth"))
-    for k in reversed(range(steps)):
-        x, y = F.element_at("_x_up", k + 1), F.element_at("_y_up", k + 1)
-        apart = x.isNotNull() & y.isNotNull() & (x != y)
-        rows = _at(_at(rows.withColumns({"_x": F.when(apart, x).otherwise(F.col("_x")), "_y": F.when(apart, y).otherwise(F.col("_y"))}), tree, "_x"), tree, "_y")
-    met = F.col("_x") == F.col("_y")
-    out = rows.withColumn("nca", F.when(met, F.col("_x")).otherwise(F.element_at("_x_up", 1))).withColumn("nca_depth", F.when(met, F.col("_x_depth")).otherwise(F.col("_x_depth") - 1))
-    return out.drop(*(c for pair in both for c in pair))
+def nearest_common(pairs: DataFrame, tree: DataFrame, deepest: int) -> DataFrame:
+    """``pairs(graph, id, a, b)`` with ``nca`` and ``nca_depth``, for a and b of one tree."""
+    rows = pairs.select("graph", "id", F.col("a").alias("_x"), F.col("b").alias("_y"))
+    answers = []
+    while True:
+        looked = _at(_at(rows, tree, "_x"), tree, "_y")
+        low = F.col("_x_depth") >= F.col("_y_depth")
+        side = lambda k, deep: F.when(low if deep else ~low, F.col(f"_x{k}")).otherwise(F.col(f"_y{k}"))
+        looked = looked.select("graph", "id", *(side(k, deep).alias(f"_{name}{k}") for name, deep in (("p", True), ("q", False)) for k in ("", "_depth", "_path")))
+        gap = F.col("_p_depth") - F.col("_q_depth")
+        met = F.filter(F.transform("_q_path", lambda v, i: F.when(v == F.get("_p_path", gap + i), F.struct(v.alias("at"), i.alias("up")))), lambda x: x.isNotNull())
+        looked = looked.withColumn("_met", F.get(met, F.lit(0)))
+        answers.append(looked.filter("_met IS NOT NULL").select("graph", "id", F.col("_met.at").alias("nca"), (F.col("_q_depth") - F.col("_met.up")).alias("nca_depth")))
+        if deepest <= (NEAR - 1) * len(answers):
+            return reduce(DataFrame.unionByName, answers)
+        # Nothing in common so far: the deeper one goes up, and the other to the same depth where it is not there yet.
+        rows = written(looked.filter("_met IS NULL").select("graph", "id", F.element_at("_p_path", -1).alias("_x"), F.coalesce(F.get("_q_path", NEAR - 1 - gap), "_q").alias("_y")))
+        if rows.isEmpty():
+            return reduce(DataFrame.unionByName, answers)
 
 
 def _first_tree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(graph, id, parent, depth)``: a breadth-first tree of what each graph's entry reaches."""
-    new = written(nodes.filter("entry").groupBy("graph").agg(F.min("id").alias("id")).select("graph", "id", F.lit(None).cast(edges.schema["src"].dataType).alias("parent"), F.lit(0).alias("depth")))
+    """``(graph, id, parent)``: a breadth-first tree of what each graph's entry reaches."""
+    new = written(nodes.filter("entry").groupBy("graph").agg(F.min("id").alias("id")).select("graph", "id", F.lit(None).cast(edges.schema["src"].dataType).alias("parent")))
     found = [new]
     while not new.isEmpty():
         ahead = new.select("graph", F.col("id").alias("src")).join(edges, ["graph", "src"]).groupBy("graph", F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
         known = reduce(DataFrame.unionByName, found).select("graph", "id")
-        new = written(ahead.join(known, ["graph", "id"], "left_anti").select("graph", "id", "parent", F.lit(len(found)).alias("depth")))
+        new = written(ahead.join(known, ["graph", "id"], "left_anti").select("graph", "id", "parent"))
         found.append(new)
     tree = written(reduce(DataFrame.unionByName, found))
     removed(*found)
     return tree
 
 
-def _depths(parents: DataFrame) -> DataFrame:
-    """``parents(graph, id, parent)`` with ``depth``, by pointers that double their reach each round."""
-    now = written(parents.select("graph", "id", "parent", F.col("parent").alias("_to"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth")))
-    while not now.filter("_to IS NOT NULL").isEmpty():
-        ahead = now.select("graph", F.col("id").alias("_to"), F.col("_to").alias("_next"), F.col("depth").alias("_more"))
-        nxt = written(now.join(ahead, ["graph", "_to"], "left").select("graph", "id", "parent", F.col("_next").alias("_to"), (F.col("depth") + F.coalesce("_more", F.lit(0))).alias("depth")))
-        removed(now)
-        now = nxt
-    return now.select("graph", "id", "parent", "depth")
-
-
 def dominator_tree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(graph, id, idom, depth)`` of all nodes that the entry reaches: the immediate dominator, null at the entry.
 
@@ -169,16 +170,17 @@ def dominator_tree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     # Edges from what is never reached say nothing, nor do those back into the entry.
     live = written(own.join(reached_.withColumnRenamed("id", "src"), ["graph", "src"], "left_semi").join(tree.filter("parent IS NOT NULL").select("graph", F.col("id").alias("dst")), ["graph", "dst"], "left_semi"))
     while True:
-        jumps, steps = _tree(tree)
+        ways, deepest = _tree(tree)
         over = live.join(tree.select("graph", F.col("id").alias("dst"), F.col("parent").alias("above")), ["graph", "dst"])
-        sound = ancestor(over.select("graph", "above", F.col("src").alias("below")).distinct(), jumps, steps).filter("NOT is")
-        wrong = over.join(sound.select("graph", "above", F.col("below").alias("src")), ["graph", "above", "src"], "left_semi").select("graph", F.col("dst").alias("id"), F.col("above").alias("a"), F.col("src").alias("b"))
-        moved = written(nearest_common(wrong, jumps, steps).groupBy("graph", "id").agg(F.min_by("nca", "nca_depth").alias("_to")))
-        if moved.isEmpty():
-            removed(jumps, moved, live)
-            return tree.select("graph", "id", F.col("parent").alias("idom"), "depth")
-        nxt = written(_depths(tree.join(moved, ["graph", "id"], "left").select("graph", "id", F.coalesce("_to", "parent").alias("parent"))))
-        removed(jumps, moved, tree)
+        apart = ancestor(over.select("graph", "above", F.col("src").alias("below")).distinct(), ways, deepest).filter("NOT is")
+        wrong = over.join(apart.select("graph", "above", F.col("below").alias("src")), ["graph", "above", "src"], "left_semi").select("graph", F.col("dst").alias("id"), F.col("above").alias("a"), F.col("src").alias("b"))
+        wrong = written(wrong)
+        if wrong.isEmpty():
+            removed(wrong, live)
+            return tree.join(ways.select("graph", "id", "depth"), ["graph", "id"]).select("graph", "id", F.col("parent").alias("idom"), "depth")
+        moved = nearest_common(wrong, ways, deepest).groupBy("graph", "id").agg(F.min_by("nca", "nca_depth").alias("_to"))
+        nxt = written(tree.join(moved, ["graph", "id"], "left").select("graph", "id", F.coalesce("_to", "parent").alias("parent")))
+        removed(wrong, tree)
         tree = nxt
 
 
@@ -189,12 +191,12 @@ def dominates(pairs: DataFrame, tree: DataFrame, nodes: DataFrame) -> DataFrame:
     node, which is known only where the graph is complete; else an answer of yes needs a complete graph,
     unless the dominator is the entry or the target.
     """
-    jumps, steps = _tree(tree.withColumnRenamed("idom", "parent"))
+    ways, deepest = _tree(tree.withColumnRenamed("idom", "parent"))
     known = nodes.groupBy("graph", "id").agg(F.max("entry").alias("_entry"))
     whole = nodes.groupBy("graph").agg((F.count_if("uncertain") == 0).alias("_complete"))
     asked = pairs.select("graph", "dominator", "target").distinct()
     q = asked.join(known.select("graph", F.col("id").alias("dominator"), F.col("_entry").alias("_d")), ["graph", "dominator"], "left").join(known.select("graph", F.col("id").alias("target"), F.lit(True).alias("_t")), ["graph", "target"], "left").join(whole, "graph", "left")
-    is_above = ancestor(asked.select("graph", F.col("dominator").alias("above"), F.col("target").alias("below")), jumps, steps).select("graph", F.col("above").alias("dominator"), F.col("below").alias("target"), "is")
+    is_above = ancestor(asked.select("graph", F.col("dominator").alias("above"), F.col("target").alias("below")), ways, deepest).select("graph", F.col("above").alias("dominator"), F.col("below").alias("target"), "is")
     live = tree.select("graph", F.col("id").alias("target"), F.lit(True).alias("_live"))
     q = q.join(is_above, ["graph", "dominator", "target"], "left").join(live, ["graph", "target"], "left")
     trivial = F.col("_d") | (F.col("dominator") == F.col("target"))
