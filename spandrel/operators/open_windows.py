@@ -32,7 +32,7 @@ def first_following(rows: DataFrame, events: DataFrame, by: list[str], bucket: C
     left = rows.select(*by, "at", bucket.alias("_bucket"), F.struct(*carried, F.lit(1).alias("_")).alias("_row"), F.lit(None).cast(events.select(F.struct("at", "id")).schema[0].dataType).alias("_event"))
     right = events.filter("at IS NOT NULL").select(*by, "at", bucket.alias("_bucket"), F.lit(None).cast(left.schema["_row"].dataType).alias("_row"), F.struct("at", "id").alias("_event"))
     # Backwards, what came before is what follows; at one place windows come last, that is first of all backwards.
-    backwards = Window.partitionBy(*by, "_bucket").orderBy(F.desc("at"), F.col("_row").isNotNull().desc())
+    backwards = Window.partitionBy(*by, "_bucket").orderBy(F.desc("at"), F.col("_row").isNotNull().desc(), F.desc("_event"))
     inside = left.unionByName(right).withColumn("_found", F.last("_event", ignorenulls=True).over(backwards.rowsBetween(Window.unboundedPreceding, -1))).filter("_row IS NOT NULL")
     heads = right.groupBy(*by, "_bucket").agg(F.min("_event").alias("_head"))
     places = heads.unionByName(left.select(*by, "_bucket").distinct().withColumn("_head", F.lit(None).cast(heads.schema["_head"].dataType)))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as G
 from ..operators import paths_sql as P
+from ..streaming import calls
 from .common import Registry, table
 
 query = Registry()
@@ -123,6 +124,21 @@ def json_probe(spark, d):
     return rows.groupBy("event_type", "k").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
+@query("""WITH o AS (SELECT *, CASE WHEN lag(event_type) OVER w IN ('purchase', 'error') OR epoch_us(ts) - epoch_us(lag(ts) OVER w) > 86400000000 THEN 1 ELSE 0 END AS starts FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM o),
+e AS (SELECT user_id, session, max_by(event_type, (ts, event_id)) AS kind, max_by(event_id, (ts, event_id)) AS ended_by FROM s GROUP BY ALL)
+SELECT c.user_id, c.event_id, CASE (SELECT min_by(event_type, (ts, event_id)) FROM s n WHERE n.user_id = c.user_id AND n.session = c.session AND (n.ts, n.event_id) > (c.ts, c.event_id) AND n.event_type IN ('click', 'signup')) WHEN 'click' THEN 'handled' WHEN 'signup' THEN 'escaped' ELSE 'unhandled' END AS status, ended_by
+FROM s c JOIN e USING (user_id, session) WHERE c.event_type = 'view' AND e.kind = 'purchase'""")
+def settled_calls(spark, d):
+    """Views as calls that a click handles and a signup lets escape, settled by a purchase and discarded by an error or a day without events."""
+    return calls.settled(calls_log(table(spark, d, "events")), 86_400).select(F.col("key").alias("user_id"), F.col("id").alias("event_id"), "status", "ended_by")
+
+
+def calls_log(events):
+    kind = F.create_map(*(F.lit(x) for pair in (("view", calls.CALL), ("click", calls.HANDLER), ("signup", calls.ESCAPE), ("purchase", calls.SUCCESS), ("error", calls.FAILURE)) for x in pair))
+    return events.select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("id"), F.try_element_at(kind, "event_type").alias("kind"))
+
+
 @query("""SELECT 'window' AS kind, strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM events GROUP BY ALL""")
 def hourly_windows(spark, d):
     """An addition: the batch side of the streaming summary."""
