@@ -164,11 +164,12 @@ def dominator_tree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     parent, every parent dominates its children.  Only edges whose target's parent is not above
     their source are looked at further.
     """
-    own = edges.select("graph", "src", "dst").filter("src <> dst").distinct()
+    own = written(edges.select("graph", "src", "dst").filter("src <> dst").distinct())
     tree = _first_tree(nodes, own)
     reached_ = tree.select("graph", "id")
     # Edges from what is never reached say nothing, nor do those back into the entry.
     live = written(own.join(reached_.withColumnRenamed("id", "src"), ["graph", "src"], "left_semi").join(tree.filter("parent IS NOT NULL").select("graph", F.col("id").alias("dst")), ["graph", "dst"], "left_semi"))
+    removed(own)
     while True:
         ways, deepest = _tree(tree)
         over = live.join(tree.select("graph", F.col("id").alias("dst"), F.col("parent").alias("above")), ["graph", "dst"])
