@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import bounded_paths, equalities, large_graph, open_windows
+from ..operators import bounded_paths, equalities, large_graph, open_windows, sketches, spans, variants
 from .common import Registry, table
 
 query = Registry()
@@ -106,3 +106,51 @@ def open_window_closings(spark, d):
     windows = rows.filter("event_type = 'view'").select("event_id", "scope", "base", "key", "at")
     writes = rows.filter("event_type = 'purchase'").select("scope", "base", "key", "at", F.col("event_id").alias("id"))
     return open_windows.closed_by(windows, writes, F.date_trunc("day", "at.ts")).select("event_id", "closed_by", "alias")
+
+
+@query("""WITH l AS (SELECT doc_id, text, i AS line, s, coalesce(sum(length(s) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS s, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)),
+t AS (SELECT doc_id, line, j, s, start + coalesce(sum(length(s) + 2) OVER (PARTITION BY doc_id, line ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM (SELECT doc_id, line, start, unnest(string_split(s, '. ')) AS s, unnest(range(len(string_split(s, '. ')))) AS j FROM l)),
+x AS (SELECT doc_id, 0::BIGINT AS id, 0::BIGINT AS a, length(text)::BIGINT AS b FROM documents WHERE text IS NOT NULL UNION ALL SELECT doc_id, 1 + line, start::BIGINT, (start + length(s))::BIGINT FROM l
+  UNION ALL SELECT doc_id, 1000000 * (1 + line) + j, start::BIGINT, (start + length(s))::BIGINT FROM t),
+p AS (SELECT c.doc_id, c.id, count(*) AS depth, arg_min(o.id, (o.b - o.a, -o.id)) AS parent FROM x c JOIN x o ON o.doc_id = c.doc_id AND o.id <> c.id AND o.a < o.b
+  AND CASE WHEN c.a = c.b THEN o.a < c.a AND c.b < o.b ELSE o.a <= c.a AND c.b <= o.b AND (o.b - o.a > c.b - c.a OR o.id < c.id) END GROUP BY ALL)
+SELECT x.doc_id, x.id, a AS start, b AS "end", coalesce(depth, 0) AS depth, parent, false AS tangled FROM x LEFT JOIN p USING (doc_id, id)""")
+def nested_spans(spark, d):
+    """Documents, their lines and the sentences of each line as spans, each with the tightest one around it."""
+    pieces = F.transform(F.split("text", "\n", -1), lambda s: F.struct(F.length(s).alias("n"), F.transform(F.split(s, "[.] ", -1), lambda t: F.length(t)).alias("parts")))
+    docs = table(spark, d, "documents").select("doc_id", F.length("text").alias("n"), pieces.alias("lines")).filter("n IS NOT NULL")
+    # Places of lines, and of sentences within a line, by running sums over the lengths alone.
+    starts = lambda x, gap: F.aggregate(x, F.array(F.lit(0).cast("long")), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n + gap)))
+    lines = docs.select("doc_id", F.posexplode("lines").alias("line", "l")).select("doc_id", "line", "l.*")
+    before = Window.partitionBy("doc_id").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    lines = lines.withColumn("start", F.coalesce(F.sum(F.col("n") + 1).over(before), F.lit(0)))
+    parts = lines.select("doc_id", "line", "start", F.posexplode(F.arrays_zip("parts", F.slice(starts(F.col("parts"), 2), 1, F.size("parts")).alias("at"))).alias("j", "p"))
+    span = lambda rows, i, start, n: rows.select(F.col("doc_id").alias("doc"), i.cast("long").alias("id"), start.cast("long").alias("start"), (start + n).cast("long").alias("end"))
+    spans_ = span(docs, F.lit(0), F.lit(0), F.col("n")).unionByName(span(lines, 1 + F.col("line"), F.col("start"), F.col("n"))).unionByName(span(parts, 1_000_000 * (1 + F.col("line")) + F.col("j"), F.col("start") + F.col("p.at"), F.col("p.parts")))
+    return spans.nested(spans_).withColumnRenamed("doc", "doc_id")
+
+
+@query("""WITH t AS (SELECT conv_id, turn, role, length(text) AS chars, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, length(text)) - 1 AS i FROM conversations),
+n AS (SELECT conv_id, 0 AS node, NULL AS parent, 0 AS depth, '$' AS name, 'object' AS kind, NULL AS scalar FROM (SELECT DISTINCT conv_id FROM t) UNION ALL SELECT DISTINCT conv_id, 1, 0, 1, 'conv', 'scalar', CAST(conv_id AS VARCHAR) FROM t
+  UNION ALL SELECT DISTINCT conv_id, 2, 0, 1, 'turns', 'array', NULL FROM t UNION ALL SELECT conv_id, 3 + 5 * i, 2, 2, '[' || i || ']', 'object', NULL FROM t UNION ALL SELECT conv_id, 4 + 5 * i, 3 + 5 * i, 3, 'said', 'object', NULL FROM t
+  UNION ALL SELECT conv_id, 5 + 5 * i, 4 + 5 * i, 4, 'chars', 'scalar', CAST(chars AS VARCHAR) FROM t UNION ALL SELECT conv_id, 6 + 5 * i, 4 + 5 * i, 4, 'role', 'scalar', role FROM t UNION ALL SELECT conv_id, 7 + 5 * i, 3 + 5 * i, 3, 'turn', 'scalar', CAST(turn AS VARCHAR) FROM t)
+SELECT * FROM n""")
+def variant_walk(spark, d):
+    """Each conversation as one nested document, and all of its nodes in pre-order."""
+    turns = table(spark, d, "conversations").select("conv_id", F.struct("turn", "role", F.length("text").alias("chars")).alias("t"))
+    listed = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
+    turn = F.transform("t", lambda x: F.struct(F.struct(x["chars"].alias("chars"), x["role"].alias("role")).alias("said"), x["turn"].alias("turn")))
+    return variants.walk(listed.select("conv_id", F.to_json(F.struct(F.col("conv_id").alias("conv"), turn.alias("turns"))).alias("json")), "json").select("conv_id", "node", "parent", "depth", "name", "kind", "scalar")
+
+
+_SHARES = [0.5, 0.95, 0.99]
+
+
+@query("""SELECT lang, share, count(n_chars) AS n, true AS within FROM documents, (VALUES (0.5::DOUBLE), (0.95), (0.99)) t(share) GROUP BY lang, share HAVING count(n_chars) > 0""")
+def sketched_quantiles(spark, d):
+    """Lengths of documents: a sketch a language and source, merged by language; whether each quantile's exact rank is within 2 % of its share."""
+    docs = table(spark, d, "documents").select("lang", "source", "n_chars")
+    found = sketches.quantiles(sketches.merged(sketches.sketched(docs, ["lang", "source"], F.col("n_chars")), ["lang"]), ["lang"], _SHARES)
+    return sketches.rank_errors(docs, ["lang"], F.col("n_chars"), found).select("lang", "share", "n", (F.col("error") <= 0.02).alias("within"))

@@ -6,7 +6,7 @@ import collections
 import random
 
 import pytest
-from spandrel.operators import bounded_paths, equalities, large_graph, open_windows
+from spandrel.operators import bounded_paths, equalities, large_graph, open_windows, sketches, spans, variants
 
 
 @pytest.fixture(autouse=True)
@@ -180,3 +180,79 @@ def test_pending_calls_of_a_table_and_a_stream(spark, tmp_path):
         spark.conf.unset(store)
     got = spark.read.schema("key int, id long, status string, ended_by long").parquet(str(tmp_path / "out")).collect()
     assert sorted(map(tuple, got)) == want
+
+
+def enclosers(rows, doc, i, a, b, skip):
+    """Spans of the document around (a, b): wider ones, or equal ones with a smaller id or, for repeated ones, an earlier row."""
+    out = []
+    for n, (d, j, x, y) in enumerate(rows):
+        if n == skip or d != doc or x is None or y is None or x >= y or j is None:
+            continue
+        if a == b and x < a and b < y or a < b and x <= a and b <= y and (y - x > b - a or (j, n) < (i, skip)):
+            out.append((y - x, j, n))
+    return out
+
+
+@pytest.mark.parametrize("stretch", [4, 1000])
+def test_spans_within_spans(spark, stretch):
+    draw = random.Random(stretch)
+    rows = []
+
+    def fill(doc, a, b, ids):
+        while a < b and len(rows) < 400:
+            end = draw.randint(a, b)
+            rows.append((doc, next(ids), a, end))
+            if end - a > 1 and draw.random() < 0.7:
+                fill(doc, a + draw.randint(0, 1), end - draw.randint(0, 1), ids)
+            a = end + draw.randint(0, 2) if end > a else a + 1
+
+    for doc in (1, 2, None):
+        fill(doc, 0, 40, iter(range(1000)))
+    rows += [(1, 1, *next(r[2:] for r in rows if r[0] == 1 and r[1] == 1)), (4, 1, 5, 3), (4, None, 1, 2), (4, 2, None, 2), (5, 7, 3, 3)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc int, id int, start int, end int, depth string")
+    want = collections.Counter()
+    for n, (doc, i, a, b) in enumerate(rows):
+        if i is not None and a is not None and a <= b:
+            around = enclosers(rows, doc, i, a, b, n)
+            want[(doc, i, a, b, len(around), min(around, key=lambda x: (x[0], -x[1], -x[2]))[1] if around else None, False)] += 1
+    assert collections.Counter(map(tuple, spans.nested(df, stretch).collect())) == want
+    crossing = spark.createDataFrame([(1, 1, 0, 10), (1, 2, 5, 15), (2, 1, 0, 10), (2, 2, 3, 4), (3, 1, 0, 4), (3, 2, 2, 9), (3, 3, 3, 4)], "doc int, id int, start int, end int")
+    assert {(r["doc"], r["tangled"]) for r in spans.nested(crossing, stretch).collect()} == {(1, True), (2, False), (3, True)}
+    places = spark.createDataFrame([(2, 3, "a"), (2, 3, "b"), (2, 4, "c"), (2, 10, "d"), (1, 2, "e"), (9, 1, "f")], "doc int, place int, id string")
+    assert {(r["id"], r["span"]) for r in spans.enclosing(crossing, places, stretch).collect()} == {("a", 2), ("b", 2), ("c", 1), ("d", None), ("e", None), ("f", None)}
+
+
+def test_nodes_of_nested_values(spark):
+    import json
+
+    values = [{"b": [1, {"c": None}, [], {}], "a": "x"}, [[["deep"]]], 5, None, {}, [True, 1.5]]
+    rows = [(i, 7, json.dumps(v)) for i, v in enumerate(values)] + [(100, 7, "no json"), (101, 7, None), (2, 7, "5")]
+    got = variants.walk(spark.createDataFrame(rows, "k int, name_ int, j string"), "j")
+
+    def nodes(v, name, parent, depth, out):
+        me = len(out)
+        kind = "object" if isinstance(v, dict) else "array" if isinstance(v, list) else "scalar"
+        out.append((me, parent, depth, name, kind, None if kind != "scalar" or v is None else v if isinstance(v, str) else json.dumps(v)))
+        for key, x in sorted(v.items()) if kind == "object" else [(f"[{i}]", x) for i, x in enumerate(v)] if kind == "array" else []:
+            nodes(x, key, me, depth + 1, out)
+        return out
+
+    want = collections.Counter((i, 7, *n) for i, _, j in rows if j not in (None, "no json") for n in nodes(json.loads(j), "$", None, 0, []))
+    assert got.columns == ["k", "name_", "node", "parent", "depth", "name", "kind", "scalar"]
+    assert collections.Counter(map(tuple, got.collect())) == want
+
+
+def test_ranks_of_merged_sketches(spark):
+    from pyspark.sql import functions as F
+
+    draw = random.Random(8)
+    rows = [(some, i % 24, draw.lognormvariate(0, 2) if i % 3 else float(i % 50)) for some in ("a", "b", None) for i in range(20_000)] + [("none", 1, None), ("one", 1, 4.0), ("a", 2, None)]
+    df = spark.createDataFrame(rows, "g string, hour int, x double")
+    parts = sketches.sketched(df, ["g", "hour"], F.col("x"))
+    assert parts.filter("g = 'a'").count() == 24
+    whole = sketches.merged(parts, ["g"])
+    assert {(r["g"], r["n"], r["greatest"]) for r in whole.filter("g IN ('none', 'one')").collect()} == {("none", 0, None), ("one", 1, 4.0)}
+    found = sketches.rank_errors(df, ["g"], F.col("x"), sketches.quantiles(whole, ["g"], [0.0, 0.5, 0.95, 0.99, 1.0]))
+    errors = {(r["g"], r["share"]): r["error"] for r in found.collect()}
+    assert len(errors) == 20 and max(errors.values()) < 0.015
+    assert sketches.quantiles(sketches.sketched(df.limit(0), ["g"], F.col("x")), ["g"], [0.5]).collect() == []
