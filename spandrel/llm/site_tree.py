@@ -7,13 +7,15 @@ presentation never varies and whose contents recur on many pages tells a reader
 nothing: its importance, from the entropies of both and of what lies below, is near
 0, and its text is removed from each page.  A branch goes where all of its nodes do;
 every other block stays.  What an element says of itself is a prior on the importance
-of it and all below it, up to the next that says something: an article gains, navigation,
-footers, forms and the like lose.  Only what is never rendered as text goes unasked.
+of it and all below it, up to the next that says something: an article gains, links to
+other pages and the like lose.  What says that it is a menu, header, footer, sidebar,
+notice, form, advert or comment goes whatever its importance: the site may only
+remove more.  An article within these stays, but not within adverts and comments.
 Where a site shows a node too seldom to judge it, the prior is all there is.
 
 Importance of a node on m of the host's pages, with base-m logarithms: contents give
 one less the mean entropy of a block over the pages that show it; presentation gives
-the entropy of the child sequences; a node with children takes
+the entropy of the child sequences, over all that its pages show, 1 at most; a node with children takes
 ``(1 - DECAY) * presentation + DECAY * mean of children (and contents)``.
 
 Equal pages of a host are one page.  Statistics per host are sums that combine before the shuffle; a host's pages never
@@ -45,8 +47,8 @@ LEAST_PAGES = 8
 LEAST_IMPORTANCE = 0.3
 DECAY = 0.9
 #: Hints of an element and what they make of an importance: a factor and a summand.
-PLAIN, CONTENT, WEAK, NOISY = range(4)
-PRIOR = {PLAIN: (1.0, 0.0), CONTENT: (1.0, 0.2), WEAK: (0.6, 0.0), NOISY: (0.32, 0.0)}
+PLAIN, CONTENT, NOISY, SHUT, REMARKS = range(5)
+PRIOR = {PLAIN: (1.0, 0.0), CONTENT: (1.0, 0.2), NOISY: (0.32, 0.0), SHUT: (0.0, 0.0), REMARKS: (0.0, 0.0)}
 #: Importance of a node that no site has judged: that of a text of its own without structure.
 UNJUDGED = DECAY
 #: Nodes judged against their hint that are sent to every executor at most; more are joined by host.
@@ -66,10 +68,14 @@ RAW = frozenset("script style textarea title template noscript iframe svg math x
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 #: What is not rendered as text.
 UNSEEN = frozenset("script style noscript template iframe svg math head title object embed canvas audio video".split())
-NOISE = frozenset("nav footer aside menu button select textarea dialog".split())
-#: A header may hold the title, and a form the whole page.
-WEAK_NOISE = frozenset("header form".split())
-NOISE_NAMES = frozenset("ad ads advert adverts advertisement sponsor sponsored promo banner menu nav navbar navigation sidebar footer masthead cookie cookies consent notice notices popup modal newsletter subscribe subscription share sharing social related recommended breadcrumb breadcrumbs comment comments disqus respond replies pagination pager login signup search toolbar copyright".split())
+SHUT_TAGS = frozenset("nav footer aside menu form button select textarea dialog".split())
+#: Words of classes and ids.
+REMARK_NAMES = frozenset("ad ads advert adverts advertisement sponsor sponsored comment comments disqus respond replies".split())
+SHUT_NAMES = frozenset("banner menu nav navbar navigation sidebar footer masthead cookie cookies consent notice notices popup modal newsletter subscribe subscription login signup search".split())
+NOISE_NAMES = frozenset("promo share sharing social related recommended breadcrumb breadcrumbs pagination pager toolbar copyright".split())
+#: A name with such a word tells a state or a layout, not what the element is.
+STATES = frozenset("no has with without is hide hidden show free open closed enabled disabled active only".split())
+LAYOUTS = frozenset("wrap wrapper container layout outer inner page grid row column columns".split())
 CONTENT_NAMES = frozenset("article content entry post story maincontent articlebody".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert".split())
 #: What an opening tag closes if it is open: each of these ends the nearest of the second within the third.
@@ -80,21 +86,37 @@ def _hash(*parts: object) -> int:
     return int.from_bytes(blake2b("\x1f".join(map(str, parts)).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
-def _hint(name: str, found: dict[str, str]) -> int:
-    """What an element says of itself; PLAIN if nothing, or if it contradicts itself."""
+def _names(found: dict[str, str]) -> tuple[set[str], set[str]]:
+    """The class and id names of an element that are one word, and the words of those that are several and tell what it is."""
+    single, several = set(), set()
+    for token in f"{found.get('class', '')} {found.get('id', '')}".split():
+        words = _NAME.findall(token)
+        if len(words) < 2:
+            single.update(words)
+        elif STATES.isdisjoint(words) and (LAYOUTS.isdisjoint(words) or CONTENT_NAMES.isdisjoint(words)):
+            several.update(words)
+    return single, several
+
+
+def _hint(name: str, found: dict[str, str], over: int) -> int:
+    """What an element says of itself within one of the hint ``over``; PLAIN if nothing, or if it contradicts itself."""
     if name in ("html", "body"):
         return PLAIN
-    whole = f"{found.get('class', '')} {found.get('id', '')}".split()
-    role = found.get("role")
-    noisy = name in NOISE or role in NOISE_ROLES or not NOISE_NAMES.isdisjoint(whole)
-    content = name in ("article", "main") or role == "main" or not CONTENT_NAMES.isdisjoint(whole)
-    parts = {x for w in whole for x in _NAME.findall(w)}
-    weak = name in WEAK_NOISE or bool(parts & NOISE_NAMES)
-    if content:
-        return PLAIN if noisy else CONTENT
-    if parts & CONTENT_NAMES:
-        return PLAIN
-    return NOISY if noisy else WEAK if weak else PLAIN
+    single, several = _names(found)
+    words, role = single | several, found.get("role")
+    sure = name in ("article", "main") or role == "main"
+    content = not CONTENT_NAMES.isdisjoint(single)
+    header = name == "header" or "header" in single or {"site", "header"} <= several
+    # A header within content may hold its title.
+    header = header and over != CONTENT
+    if words & REMARK_NAMES:
+        return PLAIN if content else REMARKS
+    hint = SHUT if name in SHUT_TAGS or role in NOISE_ROLES or words & SHUT_NAMES or header else NOISY if words & NOISE_NAMES else PLAIN
+    if sure or content:
+        # In what goes, a class alone does not make content, and in adverts and comments nothing does.
+        able = over not in (SHUT, NOISY, REMARKS) or sure and over != REMARKS
+        return CONTENT if able and hint == PLAIN else PLAIN
+    return hint
 
 
 def judged(importance: float, hint: int, least: float = LEAST_IMPORTANCE) -> bool:
@@ -208,11 +230,9 @@ class Page:
             names = frozenset(_NAME.findall(f"{found.get('class', '')} {found.get('id', '')}"))
             style = found.get("style", "").replace(" ", "")
             unseen = name in UNSEEN or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in style
-            own = _hint(name, found)
-            # A header within content may hold its title.
-            if name == "header" and own == WEAK and self.hint[over] == CONTENT:
-                own = PLAIN
-            hint = own or self.hint[over]
+            own = _hint(name, found, self.hint[over])
+            # Nothing that a branch says of itself brings it back from adverts and comments.
+            hint = REMARKS if self.hint[over] == REMARKS else own or self.hint[over]
             path = _hash(self.path[over], name, hint, *sorted(names))
             known = self.memo[key] = (path, hint, unseen, judged(UNJUDGED, hint), name in BLOCK or own != PLAIN)
         path, hint, unseen, gone, owns = known
@@ -245,13 +265,14 @@ class Page:
         return "\n".join(t for _, t in self.blocks)
 
     def features(self) -> set[tuple[int, int, int, int, int]]:
-        """``(path, parent path, hint, 0, presentation)`` and ``(path, parent path, hint, 1, content)`` of the page."""
+        """``(path, parent path, hint, 0, presentation)``, ``(path, parent path, hint, 1, content)`` and, once a path, ``(path, parent path, hint, 2, 0)`` of the page."""
         out = set()
         above = [0, *(self.path[self.owner[p]] for p in self.parent[1:])]
         for node in range(1, len(self.tag)):
             if self.owner[node] != node or self.unseen[node]:
                 continue
             out.add((self.path[node], above[node], self.hint[node], 0, _hash(*self.children.get(node, ()))))
+            out.add((self.path[node], above[node], self.hint[node], 2, 0))
         for node, text in self.blocks:
             out.add((self.path[node], above[node], self.hint[node], 1, _hash(text)))
         return out
@@ -284,7 +305,7 @@ def site_trees(pages: DataFrame, host: str, html: str, least_pages: int = LEAST_
     shown = F.when(F.col("kind") == 0, F.col("n"))
     # Written once, as it is read twice and pages are costly to parse.
     nodes = counted.groupBy("host", "path", "parent", "hint").agg(
-        F.coalesce(F.sum(shown), F.lit(0)).alias("pages"),
+        F.coalesce(F.sum(F.when(F.col("kind") == 2, F.col("n"))), F.lit(0)).alias("pages"),
         (F.log(F.sum(shown)) - F.sum(shown * F.log(shown)) / F.sum(shown)).alias("presentation"),
         F.avg(F.when(F.col("kind") == 1, F.log("n"))).alias("repetition"),
         F.count(F.when(F.col("kind") == 1, 1)).alias("contents"),

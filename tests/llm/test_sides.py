@@ -59,6 +59,48 @@ def site(spark):
     return spark.createDataFrame(rows, "page_id int, url string, html string"), rows
 
 
+GONE = {
+    "cookie-notice": "div", "site-footer": "div", "nav-menu": "div", "comment-list": "ul", "post-comments": "section", "ad-box": "div", "related-content": "div", "newsletter-content": "div", "share-entry": "div", "": "form", "site-header": "div", "comment": "article", "top": "header",
+}
+
+
+@pytest.mark.parametrize("name", GONE)
+def test_what_is_named_goes(name):
+    from spandrel.llm.site_tree import Page
+
+    tag = GONE[name]
+    inner = "<p>not <b>this</b></p><div class='content'><p>nor this</p></div>"
+    html = f"<body><{tag} class='{name}'>{inner}</{tag}><article class='post has-comments comments-open'><header><h1>Title</h1></header><p>Body</p></article><{tag} id='{name}'>{inner}</{tag}></body>"
+    assert Page(html).text() == "Title\nBody"
+
+
+def test_a_form_around_the_page_and_remarks_within_an_article():
+    from spandrel.llm.site_tree import Page
+
+    assert Page("<body><form><p>typed</p><main><p>all of it</p></main></form></body>").text() == "all of it"
+    assert Page("<article><p>Body</p><section class='comments'><article><div class='content'>Me too</div></article></section><p>End</p></article>").text() == "Body\nEnd"
+
+
+def test_a_site_never_restores_comments(spark):
+    from spandrel.llm import site_tree as s
+
+    draw = random.Random(4)
+    some = lambda: "".join(f"<{t}>{draw.randrange(10**6)}</{t}> " for t in draw.choices(["b", "i", "em", "a"], k=draw.randint(1, 9)))
+    page = "<body><article><h1>T{i}</h1><p>Body {i}</p></article><section class='comments'><p>{c}</p>{c}</section><form>{c}</form><header>{c}</header><div class='ad-box'>{c}</div></body>"
+    rows = [(i, f"http://h.org/{i}", page.replace("{i}", str(i)).replace("{c}", some())) for i in range(40)]
+    got = {r["k"]: r["text"] for r in s.extract_text(spark.createDataFrame(rows, "k int, url string, html string"), "k").collect()}
+    assert got == {i: f"T{i}\nBody {i}" for i in range(40)}
+
+
+def test_pages_are_counted_once_a_path(spark):
+    from spandrel.llm import site_tree as s
+
+    shapes = "".join(f"<p>{'<b>x</b>' * k} {k}</p>" for k in range(9))
+    pages = spark.createDataFrame([("h", f"<body>{shapes}{i}</body>") for i in range(2)], "host string, html string")
+    assert s.site_trees(pages, "host", "html").count() == 0
+    assert {r["pages"] for r in s.site_trees(pages, "host", "html", 2).collect()} == {2}
+
+
 def test_tree_decides_what_is_not_named(spark, monkeypatch):
     from spandrel.llm import site_tree as s
 
@@ -77,15 +119,19 @@ def test_tree_statistics_by_brute_force(spark):
 
     pages, rows = site(spark)
     got = {r["path"]: r for r in s.site_trees(pages.withColumn("host", F.regexp_extract("url", "//([^/]*)", 1)), "host", "html").filter("host = 'h.org'").collect()}
-    shapes, contents = collections.defaultdict(collections.Counter), collections.defaultdict(collections.Counter)
+    shapes, contents, shown = collections.defaultdict(collections.Counter), collections.defaultdict(collections.Counter), collections.Counter()
     for _, url, html in rows:
         if "h.org" in url:
-            for path, _, _, kind, feature in s.Page(html, whole=True).features():
-                (contents if kind else shapes)[path][feature] += 1
+            features = s.Page(html, whole=True).features()
+            # A page counts once for each path that it has, however many elements are on it.
+            shown.update({path for path, *_ in features})
+            for path, _, _, kind, feature in features:
+                if kind < 2:
+                    (contents if kind else shapes)[path][feature] += 1
     assert set(got) == set(shapes)
     for path, r in got.items():
         n = sum(shapes[path].values())
-        assert r["pages"] == n and r["contents"] == len(contents[path])
+        assert r["pages"] == shown[path] and r["contents"] == len(contents[path])
         assert math.isclose(r["presentation"], -sum(c / n * math.log(c / n) for c in shapes[path].values()), abs_tol=1e-9)
         if contents[path]:
             assert math.isclose(r["repetition"], sum(map(math.log, contents[path].values())) / len(contents[path]), abs_tol=1e-9)
