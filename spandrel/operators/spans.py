@@ -22,54 +22,81 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rounds import written
+
 #: Places of a document that are swept together.
 STRETCH = 65_536
 
 
+#: Stretches with something before them that are sent to every executor at most; more are joined by a shuffle.
+BROADCAST_STRETCHES = 200_000
+
+
 def _earlier(table: DataFrame, by: list[str], value: Column, name: str) -> DataFrame:
-    """``by`` and ``_stretch`` of ``table`` with ``name``: ``value`` over all earlier stretches; keys get a prefix to join by."""
+    """The stretches of ``table(by, _stretch)`` that have earlier ones, with ``name``: ``value`` over these; keys get a prefix to join by."""
     before = Window.partitionBy(*by).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
-    return table.select(*(F.col(c).alias(f"_by_{c}") for c in by), F.col("_stretch").alias("_by_stretch"), value.over(before).alias(name))
+    return written(table.select(*(F.col(c).alias(f"_by_{c}") for c in by), F.col("_stretch").alias("_by_stretch"), value.over(before).alias(name)).filter(F.col(name).isNotNull()))
 
 
 def _with(rows: DataFrame, earlier: DataFrame, by: list[str]) -> DataFrame:
     same = F.col("_stretch") == F.col("_by_stretch")
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
-    return rows.join(earlier, same, "left").drop(*(f"_by_{c}" for c in by), "_by_stretch")
+    sent = F.broadcast(earlier) if earlier.count() <= BROADCAST_STRETCHES else earlier
+    return rows.join(sent, same, "left").drop(*(f"_by_{c}" for c in by), "_by_stretch")
 
 
 def nested(spans: DataFrame, stretch: int = STRETCH) -> DataFrame:
     """``(doc, id, start, end, depth, parent, tangled)``; depth 0 and a null parent for what nothing encloses.
 
-    Where a document is tangled, depth counts the spans that are open where one starts.
+    Where a document is tangled, depth counts the spans that are open where one starts.  Spans are
+    shuffled once, as two marks each; the sums of stretches are few, and documents of one stretch need none.
     """
     rows = spans.filter("id IS NOT NULL AND start <= end").select("doc", "id", "start", "end")
+    marks = rows.select("*", F.explode(F.array(F.lit(1), F.lit(-1))).alias("step")).withColumn("_stretch", F.floor(F.when(F.col("step") == 1, F.col("start")).otherwise(F.col("end")) / stretch))
+    base = _earlier(marks.groupBy("doc", "_stretch").agg(F.sum("step").alias("_net")), ["doc"], F.sum("_net"), "_base")
+    long = not base.isEmpty()
+    empty = F.col("start") == F.col("end")
     # At one place ends come first, then empty spans one by one, then starts, outer ones before inner ones.
-    empty, length = F.col("start") == F.col("end"), F.col("end") - F.col("start")
-    opened = F.struct(F.col("start").alias("at"), F.when(empty, 1).otherwise(2).alias("kind"), (-length).alias("size"), F.lit(1).alias("step"))
-    closed = F.struct(F.col("end").alias("at"), F.when(empty, 1).otherwise(0).alias("kind"), (-length).alias("size"), F.lit(-1).alias("step"))
-    marks = rows.select("*", F.explode(F.array(opened, closed)).alias("m")).withColumn("_stretch", F.floor(F.col("m.at") / stretch))
-    sums = marks.groupBy("doc", "_stretch").agg(F.sum("m.step").alias("_net"))
-    inside = Window.partitionBy("doc", "_stretch").orderBy("m.at", "m.kind", "m.size", "id", F.desc("m.step")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counted = marks.withColumn("_open", F.sum("m.step").over(inside)).filter("m.step = 1")
-    started = _with(counted, _earlier(sums, ["doc"], F.sum("_net"), "_base"), ["doc"])
-    starts = started.select("doc", "id", "start", "end", "_stretch", (F.coalesce("_base", F.lit(0)) + F.col("_open") - 1).alias("depth"))
-    found = _parents(starts)
-    tangled = found.groupBy(F.col("doc").alias("_doc")).agg(F.max("_crossed").alias("tangled"))
-    return found.join(tangled, F.col("doc").eqNullSafe(F.col("_doc"))).select("doc", "id", "start", "end", "depth", "parent", "tangled")
-
-
-def _parents(starts: DataFrame) -> DataFrame:
-    """A row is a child on the level of its depth, and a parent on the next one, where it may be the last before a child."""
-    level = lambda n, child: F.struct(n.cast("long").alias("level"), F.lit(child).alias("child"))
-    sides = starts.select("*", F.explode(F.array(level(F.col("depth"), True), level(F.col("depth") + 1, False))).alias("s")).select("*", F.col("s.level").alias("level"))
+    kind = F.when(empty, 1).when(F.col("step") == 1, 2).otherwise(0)
+    at = F.when(F.col("step") == 1, F.col("start")).otherwise(F.col("end"))
+    inside = Window.partitionBy("doc", "_stretch").orderBy("_at", "_kind", F.col("start") - F.col("end"), "id", F.desc("step")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    dealt = marks.repartition("doc", "_stretch").withColumns({"_at": at, "_kind": kind})
+    counted = dealt.withColumn("_open", F.sum("step").over(inside)).filter("step = 1")
+    started = _with(counted, base, ["doc"]) if long else counted.withColumn("_base", F.lit(0))
+    starts = started.select("doc", "id", "start", "end", "_stretch", (F.coalesce("_base", F.lit(0)) + F.col("_open") - 1).cast("long").alias("depth"))
+    found = written(_parents(starts, base if long else None))
+    crossed = written(found.filter("_crossed").select(F.col("doc").alias("_doc")).distinct())
+    n = crossed.count()
+    if not n:
+        return found.select("doc", "id", "start", "end", "depth", "parent", F.lit(False).alias("tangled"))
+    tangled = crossed.withColumn("tangled", F.lit(True))
+    out = found.join(F.broadcast(tangled) if n <= BROADCAST_STRETCHES else tangled, F.col("doc").eqNullSafe(F.col("_doc")), "left")
+    return out.select("doc", "id", "start", "end", "depth", "parent", F.coalesce("tangled", F.lit(False)).alias("tangled"))
+
+
+def _parents(starts: DataFrame, long: DataFrame | None) -> DataFrame:
+    """A row is a child on the level of its depth, and a parent on the next one, where it may be the last before a child.
+
+    ``long`` names the documents of several stretches, whose parents may lie in an earlier one.
+    """
+    level = lambda n, child: F.struct(n.alias("level"), F.lit(child).alias("child"))
     order = F.struct("start", (F.col("start") < F.col("end")).alias("full"), (-F.col("end")).alias("back"), "id", "depth")
     parent = F.when(~F.col("s.child") & (F.col("start") < F.col("end")), F.struct(order.alias("order"), "id", "end"))
-    before = Window.partitionBy("doc", "level", "_stretch").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    here = sides.withColumn("_here", F.last(parent, ignorenulls=True).over(before)).filter("s.child")
-    lasts = sides.groupBy("doc", "level", "_stretch").agg(F.max(parent).alias("_last"))
-    found = _with(here, _earlier(lasts, ["doc", "level"], F.last("_last", ignorenulls=True), "_there"), ["doc", "level"])
+
+    def sides(rows: DataFrame) -> DataFrame:
+        return rows.select("*", F.explode(F.array(level(F.col("depth"), True), level(F.col("depth") + 1, False))).alias("s")).select("*", F.col("s.level").alias("level"))
+
+    before = Window.partitionBy("doc", "_stretch", "level").orderBy("start", F.col("start") < F.col("end"), F.desc("end"), "id", "depth").rowsBetween(Window.unboundedPreceding, -1)
+    found = sides(starts).withColumn("_here", F.last(parent, ignorenulls=True).over(before)).filter("s.child")
+    if long is None:
+        found = found.withColumn("_there", F.lit(None).cast(found.schema["_here"].dataType))
+    else:
+        docs = long.select(F.col("_by_doc").alias("_doc")).distinct()
+        own = starts.join(docs, F.col("doc").eqNullSafe(F.col("_doc")), "left_semi")
+        lasts = sides(own).groupBy("doc", "level", "_stretch").agg(F.max(parent).alias("_last"))
+        # A child's level may have no parent in its stretch; every stretch of a document's levels needs its row.
+        found = _with(found, _earlier(lasts, ["doc", "level"], F.last("_last", ignorenulls=True), "_there"), ["doc", "level"])
     above = F.coalesce("_here", "_there")
     # What should enclose a span but ends before it does has been crossed.
     crossed = (F.col("depth") > 0) & F.coalesce(above["end"] < F.col("end"), F.lit(True))
