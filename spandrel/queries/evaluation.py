@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..operators import metrics as M
 from ..operators import quality as Q
 from ..operators import report as R
+from ..plans import newton
 from .common import Registry, table
 
 query = Registry()
@@ -145,6 +146,19 @@ def family_leakage(spark, d):
     return Q.family_leakage(rows, "family", "part").withColumn("partitions", F.array_join("partitions", ","))
 
 
+@query("""WITH RECURSIVE x AS (SELECT lang, quality::DOUBLE AS y, ln(1 + n_chars)::DOUBLE AS v FROM labels JOIN documents USING (doc_id) WHERE lang IS NOT NULL AND quality IN (0, 1) AND n_chars IS NOT NULL),
+r(lang, step, b0, b1) AS (SELECT DISTINCT lang, 0, 0::DOUBLE, 0::DOUBLE FROM x UNION ALL
+  SELECT lang, step + 1, b0 + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b1 + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) FROM (
+    SELECT lang, step, b0, b1, sum(y - p) AS g0, sum((y - p) * v) - b1 AS g1, sum(p * (1 - p)) AS h00, sum(p * (1 - p) * v) AS h01, sum(p * (1 - p) * v * v) + 1 AS h11
+    FROM (SELECT r.*, y, v, 1 / (1 + exp(-(b0 + b1 * v))) AS p FROM r JOIN x USING (lang) WHERE step < 25) GROUP BY lang, step, b0, b1))
+SELECT r.lang, count(*) AS n, round(b0, 4) AS intercept, round(b1, 4) AS slope, true AS converged FROM r JOIN x USING (lang) WHERE step = 25 GROUP BY r.lang, b0, b1""")
+def grouped_logistic(spark, d):
+    """Quality by the logarithm of a text's length, fitted for all languages at once."""
+    rows = _labelled(spark, d).select("lang", "quality", F.log(1 + F.col("n_chars")).alias("v"))
+    found = newton.fit(rows, "lang", "quality", ["v"])
+    return found.select("lang", "n", F.round(F.col("coefficients")[0], 4).alias("intercept"), F.round(F.col("coefficients")[1], 4).alias("slope"), "converged")
+
+
 @query(f"""SELECT part_a, part_b, count(*) AS n_shared FROM (SELECT DISTINCT source, lang, {_PART} AS part_a FROM documents) a JOIN (SELECT DISTINCT source, lang, {_PART} AS part_b FROM documents) b USING (source, lang)
 WHERE part_a < part_b GROUP BY part_a, part_b""")
 def partition_overlap(spark, d):
@@ -213,3 +227,67 @@ def rule_file_grid(spark, d):
 def remediation_rates(spark, d):
     flag = lambda c: F.round(F.avg(F.expr(c).cast("int")), 4)
     return table(spark, d, "lineitem").groupBy("l_linenumber").agg(F.count("*").alias("n"), flag("l_returnflag = 'N'").alias("eliminated"), flag("l_linestatus = 'F'").alias("reverified"), flag("l_discount = 0 OR l_tax < 0.02").alias("zero_regression"))
+
+
+_RULE = "CASE lang WHEN 'en' THEN 'TXO-001' WHEN 'fr' THEN 'REN-001' WHEN 'de' THEN 'UEC-001' ELSE 'other' END"
+_ANNOTATION = f"""CASE WHEN doc_id % 50 = 7 THEN ' ' WHEN doc_id % 97 = 5 THEN concat('d', CAST(doc_id - 1 AS STRING)) ELSE concat('d', CAST(doc_id AS STRING)) END AS sample_id, {_RULE} AS rule_id,
+CASE WHEN toxic = 1 THEN 'maybe' WHEN quality = 1 THEN 'present' WHEN quality = 0 THEN 'absent' ELSE 'unknown' END AS label, CASE WHEN n_chars % 11 = 0 THEN source ELSE sha256 END AS sha256, doc_id % 3 <> 0 AS reviewed"""
+
+
+@query(f"""WITH d AS (SELECT d.*, quality, toxic, sha256(text) AS sha256 FROM documents d LEFT JOIN labels USING (doc_id)), r AS (SELECT {_ANNOTATION} FROM d)
+SELECT sample_id, 'empty id' AS problem FROM r WHERE trim(sample_id) = '' UNION ALL SELECT sample_id, 'rule' FROM r WHERE rule_id = 'other' UNION ALL SELECT sample_id, 'label' FROM r WHERE label = 'maybe'
+UNION ALL SELECT sample_id, 'hash' FROM r WHERE coalesce(NOT regexp_full_match(sha256, '[0-9a-f]{{64}}'), true) UNION ALL SELECT sample_id, 'not reviewed' FROM r WHERE label IN ('present', 'absent') AND NOT reviewed
+UNION ALL SELECT sample_id, 'duplicate id' FROM r GROUP BY sample_id HAVING count(*) > 1""")
+def annotation_rules(spark, d):
+    """Documents and labels as annotation rows, some of them broken, through the validation of annotations."""
+    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left").withColumn("sha256", F.sha2("text", 256))
+    return Q.validate_annotations(docs.selectExpr(*_top_level(_ANNOTATION)))
+
+
+def _top_level(columns: str) -> list[str]:
+    """The expressions of a select list, which both dialects read."""
+    out, depth = [""], 0
+    for c in columns:
+        depth += (c == "(") - (c == ")")
+        if c == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return out
+
+
+@query("""WITH d AS (SELECT doc_id AS file, string_split(text, chr(10)) AS l, strlen(text) AS b FROM documents WHERE text IS NOT NULL),
+r AS (SELECT file, CASE file % 4 WHEN 1 THEN 'partial' WHEN 2 THEN 'failed' ELSE 'completed' END AS status, len(l) + CASE WHEN file % 13 = 0 THEN 1 ELSE 0 END AS total, b FROM d),
+f AS (SELECT file, CASE WHEN file % 17 = 0 THEN i % 7 ELSE i END AS id, 40 * i AS o, strlen(s) AS n FROM (SELECT file, unnest(l) AS s, unnest(range(len(l))) AS i FROM d)),
+q AS (SELECT file, unnest(['TXO-001', 'REN-001', 'ACC-001', 'UEC-001', 'TMP-001']) AS rule_id FROM d), x AS (SELECT file, rule_id, CASE WHEN (file % 4 = 1 OR file % 29 = 0) AND rule_id = 'ACC-001' THEN 'unsupported' ELSE 'checked' END AS status, CASE WHEN file % 4 = 1 AND rule_id = 'ACC-001' AND file % 31 <> 0 THEN 1 ELSE 0 END AS reasons FROM q WHERE NOT (file % 23 = 0 AND rule_id = 'TMP-001'))
+SELECT file, 'rules' AS problem FROM d WHERE file % 23 = 0 UNION SELECT file, 'duplicate ids' FROM f GROUP BY file HAVING count(*) <> count(DISTINCT id) UNION SELECT file, 'total' FROM r JOIN (SELECT file, count(*) AS n FROM f GROUP BY file) USING (file) WHERE n <> total
+UNION SELECT file, 'reasons' FROM x WHERE (status = 'unsupported') <> (reasons > 0) UNION SELECT file, 'status' FROM r JOIN (SELECT file, bool_or(status = 'unsupported') AS p FROM x GROUP BY file) USING (file) WHERE status <> 'failed' AND (status = 'partial') <> p
+UNION SELECT file, 'span' FROM f JOIN r USING (file) WHERE o + n > b""")
+def report_rules(spark, d):
+    """Documents as reports and their lines as findings, some of them broken, through the invariants of reports."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("file"), F.split("text", "\n", -1).alias("l"), F.octet_length("text").alias("byte_length")).filter("l IS NOT NULL")
+    id_ = F.col("file")
+    reports = docs.select("file", F.when(id_ % 4 == 1, "partial").when(id_ % 4 == 2, "failed").otherwise("completed").alias("status"), (F.size("l") + (id_ % 13 == 0).cast("int")).alias("total"), "byte_length")
+    lines = docs.select("file", F.posexplode("l").alias("i", "s"))
+    found = lines.select("file", F.when(id_ % 17 == 0, F.col("i") % 7).otherwise(F.col("i")).cast("string").alias("id"), F.lit(R.RULES[0]).alias("rule_id"), F.lit("high").alias("severity"), (40 * F.col("i")).alias("offset"), F.octet_length("s").alias("length"))
+    acc = F.col("rule_id") == "ACC-001"
+    results = docs.select("file", F.explode(F.array(*map(F.lit, R.RULES))).alias("rule_id")).filter(~((id_ % 23 == 0) & (F.col("rule_id") == "TMP-001")))
+    results = results.select("file", "rule_id", F.when(((id_ % 4 == 1) | (id_ % 29 == 0)) & acc, "unsupported").otherwise("checked").alias("status"), F.when((id_ % 4 == 1) & acc & (id_ % 31 != 0), F.array(F.lit("unknown"))).otherwise(F.array().cast("array<string>")).alias("reasons"))
+    return R.invariants(reports, found, results)
+
+
+@query("""WITH d AS (SELECT doc_id, source, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) AS l FROM documents),
+m AS (SELECT CASE WHEN doc_id % 31 = 0 THEN 'bad' ELSE 'DOC-' || lpad(CAST(doc_id % 1000 AS VARCHAR), 3, '0') END AS id, CASE WHEN doc_id % 29 = 0 THEN ' ' ELSE source END AS category, 1 + doc_id % 5 AS line, coalesce(l[1 + doc_id % 4], '') AS text, CASE WHEN doc_id % 41 <> 0 THEN l END AS l, doc_id FROM d)
+SELECT id, 'id' AS problem FROM m WHERE id = 'bad' UNION ALL SELECT id, 'category' FROM m WHERE trim(category) = '' UNION ALL SELECT id, 'no file' FROM m WHERE l IS NULL UNION ALL SELECT id, 'line' FROM m WHERE line > len(l)
+UNION ALL SELECT id, 'stale text' FROM m WHERE l IS NOT NULL AND trim(coalesce(l[line], '')) <> trim(text) UNION ALL SELECT id, 'evidence' FROM m WHERE doc_id % 37 = 0 UNION ALL SELECT id, 'duplicate id' FROM m GROUP BY id HAVING count(*) > 1""")
+def manifest_rules(spark, d):
+    """Documents as sources and manifest rows about their lines, some of them broken, through the validation of manifests."""
+    docs = table(spark, d, "documents").select("doc_id", "source", "text")
+    id_ = F.col("doc_id")
+    lines = F.split(F.regexp_replace("text", "\r\n", "\n"), "\n", -1)
+    line = (1 + id_ % 5).cast("int")
+    rows = docs.select(
+        F.when(id_ % 31 == 0, "bad").otherwise(F.concat(F.lit("DOC-"), F.lpad((id_ % 1000).cast("string"), 3, "0"))).alias("id"), id_.alias("file"), F.when(id_ % 29 == 0, " ").otherwise(F.col("source")).alias("category"), line.alias("line"),
+        F.coalesce(F.try_element_at(lines, (1 + id_ % 4).cast("int")), F.lit("")).alias("text"), F.array(line, line + 1).alias("evidence"), F.array(F.when(id_ % 37 == 0, line + 5).otherwise(line)).alias("expected"),
+    )
+    return Q.validate_manifest(rows, docs.filter("doc_id % 41 <> 0").select(id_.alias("file"), F.col("text").alias("source")))
