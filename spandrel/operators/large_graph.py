@@ -141,24 +141,51 @@ def nearest_common(pairs: DataFrame, tree: DataFrame, deepest: int) -> DataFrame
             return reduce(DataFrame.unionByName, answers)
 
 
+#: Rounds of a search after which what it knows is put together, and graphs that are done are put aside.
+TOGETHER = 8
+
+
+def _climbed(parents: DataFrame) -> DataFrame:
+    """``parents(graph, id, parent)`` with ``root``, the end of the way up, by pointers that double their reach."""
+    now = written(parents.select("graph", "id", "parent", F.col("parent").alias("_to"), F.coalesce("parent", "id").alias("root")))
+    while not now.filter("_to IS NOT NULL").isEmpty():
+        ahead = now.select("graph", F.col("id").alias("_to"), F.col("_to").alias("_next"), F.col("root").alias("_root"))
+        nxt = written(now.join(ahead, ["graph", "_to"], "left").select("graph", "id", "parent", F.col("_next").alias("_to"), F.coalesce("_root", "root").alias("root")))
+        removed(now)
+        now = nxt
+    return now.select("graph", "id", "parent", "root")
+
+
 def _first_tree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(graph, id, parent)``: a breadth-first tree of what each graph's entry reaches."""
-    new = written(nodes.filter("entry").groupBy("graph").agg(F.min("id").alias("id")).select("graph", "id", F.lit(None).cast(edges.schema["src"].dataType).alias("parent")))
-    found = [new]
+    """``(graph, id, parent)``: a tree of what each graph's entry reaches.
+
+    A node that has a predecessor with a smaller id hangs on the smallest; what hangs on the entry in this
+    way, however long, is known after a logarithmic number of rounds.  The rest is found from there, a step a round.
+    """
+    entry = written(nodes.filter("entry").groupBy("graph").agg(F.min("id").alias("_entry")))
+    ids = edges.select("graph", F.col("src").alias("id")).unionByName(edges.select("graph", F.col("dst").alias("id"))).unionByName(entry.select("graph", F.col("_entry").alias("id"))).distinct()
+    least = edges.filter("src < dst").groupBy("graph", F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
+    hung = ids.join(entry, "graph").join(least, ["graph", "id"], "left").select("graph", "id", F.when(F.col("id") != F.col("_entry"), F.col("parent")).alias("parent"))
+    climbed = _climbed(hung)
+    new = written(climbed.join(entry, "graph").filter("root = _entry").select("graph", "id", "parent"))
+    active, done, live = [new], [], edges
     while not new.isEmpty():
-        ahead = new.select("graph", F.col("id").alias("src")).join(edges, ["graph", "src"]).groupBy("graph", F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
-        known = reduce(DataFrame.unionByName, found).select("graph", "id")
+        known = reduce(DataFrame.unionByName, active).select("graph", "id")
+        ahead = new.select("graph", F.col("id").alias("src")).join(live, ["graph", "src"]).groupBy("graph", F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
         new = written(ahead.join(known, ["graph", "id"], "left_anti").select("graph", "id", "parent"))
-        found.append(new)
-    tree = written(reduce(DataFrame.unionByName, found))
-    removed(*found)
-    return tree
+        active.append(new)
+        if len(active) > TOGETHER:
+            graphs, all_ = written(new.select("graph").distinct()), reduce(DataFrame.unionByName, active)
+            kept, rest = written(all_.join(graphs, "graph", "left_semi")), written(all_.join(graphs, "graph", "left_anti"))
+            live = written(live.join(graphs, "graph", "left_semi"))
+            active, done = [kept], [*done, rest]
+    return written(reduce(DataFrame.unionByName, [*done, *active]))
 
 
 def dominator_tree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(graph, id, idom, depth)`` of all nodes that the entry reaches: the immediate dominator, null at the entry.
 
-    A fixpoint: from a breadth-first tree, the parent of a node moves up to the nearest
+    A fixpoint: from any tree of reached nodes, the parent of a node moves up to the nearest
     common ancestor of its present parent and each of its predecessors, for all nodes of all
     graphs at once.  A dominator of a node stays above it throughout, and once no edge moves a
     parent, every parent dominates its children.  Only edges whose target's parent is not above

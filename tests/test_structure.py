@@ -43,13 +43,14 @@ def test_search_from_many_starts(spark):
         assert answer == {(0, 5): "yes" if 5 in walk(known, 0) else no, (8, 8): "yes", (8, 149): "yes" if 149 in walk(known, 8) else no, (8, 400): "invalid", (400, 8): "invalid", (None, 3): "invalid"}
 
 
-def test_dominator_trees(spark):
+def test_dominator_trees(spark, monkeypatch):
     from spandrel.operators import graph
 
+    monkeypatch.setattr(large_graph, "TOGETHER", 2)
     draw = random.Random(3)
     sizes = {g: draw.randint(2, 14) for g in range(12)}
-    edges = [(g, draw.randrange(n), draw.randrange(n)) for g, n in sizes.items() for _ in range(int(1.6 * n))] + [(20, i, i + 1) for i in range(6)] + [(20, 6, 2), (20, 1, 5), (21, 4, 4)]
-    ids = sorted({(g, x) for g, a, b in edges for x in (a, b)} | {(g, 0) for g in (*sizes, 20, 22)})
+    edges = [(g, draw.randrange(n), draw.randrange(n)) for g, n in sizes.items() for _ in range(int(1.6 * n))] + [(20, i, i + 1) for i in range(6)] + [(20, 6, 2), (20, 1, 5), (21, 4, 4)] + [(23, 0, 9), *((23, i + 1, i) for i in range(1, 9)), (23, 5, 7)]
+    ids = sorted({(g, x) for g, a, b in edges for x in (a, b)} | {(g, 0) for g in (*sizes, 20, 22, 23)})
     want = {}
     for g in {g for g, _ in ids}:
         own = [(a, b) for h, a, b in edges if h == g]
@@ -256,3 +257,30 @@ def test_ranks_of_merged_sketches(spark):
     errors = {(r["g"], r["share"]): r["error"] for r in found.collect()}
     assert len(errors) == 20 and max(errors.values()) < 0.015
     assert sketches.quantiles(sketches.sketched(df.limit(0), ["g"], F.col("x")), ["g"], [0.5]).collect() == []
+
+
+def test_logistic_regressions_of_groups(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+    from spandrel.plans import newton
+
+    draw = np.random.default_rng(9)
+    rows = []
+    for g, n in (("a", 400), ("b", 60), ("one class", 30), ("few", 2)):
+        x = draw.normal(size=(n, 3)) * [1, 5, 0.1]
+        y = (draw.random(n) < 1 / (1 + np.exp(-(x @ [1, -0.3, 4] + 0.5)))).astype(int) if g != "one class" else np.ones(n, int)
+        rows += [(g, int(k), *map(float, v)) for k, v in zip(y, x, strict=True)]
+    bad = [(None, 1, 0.0, 0.0, 0.0), ("a", None, 0.0, 0.0, 0.0), ("a", 2, 0.0, 0.0, 0.0), ("a", 1, float("nan"), 0.0, 0.0), ("b", 1, None, 0.0, 0.0), ("b", 0, 0.0, float("inf"), 0.0)]
+    df = spark.createDataFrame(rows + bad, "g string, y int, p double, q double, r double").repartition(3)
+    for balanced in (False, True):
+        fitted = newton.fit(df, "g", "y", ["p", "q", "r"], ridge=0.7, balanced=balanced, most_steps=9)
+        got = {r["g"]: r for r in fitted.collect()}
+        assert set(got) == {"a", "b", "one class", "few"} and all(got[g]["converged"] for g in ("a", "b"))
+        for g in ("a", "b"):
+            own = np.array([r[1:] for r in rows if r[0] == g])
+            x, y, b = np.c_[np.ones(len(own)), own[:, 1:]], own[:, 0], np.array(got[g]["coefficients"])
+            w = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum()))) if balanced else np.ones(len(y))
+            assert got[g]["n"] == len(own) and np.abs(x.T @ (w * (y - 1 / (1 + np.exp(-x @ b)))) - 0.7 * np.r_[0, b[1:]]).max() < 1e-6
+    scored = newton.probability(df.filter("g = 'a' AND y IN (0, 1) AND NOT isnan(p)"), "g", ["p", "q", "r"], fitted)
+    hit = scored.agg(F.avg(((F.col("probability") > 0.5).cast("int") == F.col("y")).cast("int"))).first()[0]
+    assert hit > 0.75 and newton.fit(df.limit(0), "g", "y", ["p"]).collect() == []
