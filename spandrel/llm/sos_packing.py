@@ -7,9 +7,10 @@ goes where the sum of the squares of N becomes smallest, be it an open sequence
 that has room or a new one; at equal sums the tightest place is taken.  Items of a
 packing group are placed from large to small, which the rule leaves free.
 
-Pieces are dealt into packing groups of bounded expected size by a hash of the piece
-and its place in the input, so that neither a key on many rows nor a long document
-makes a large group.  Each group is packed by itself with memory for its own items and
+Pieces are written once.  Those that fill a sequence stay where they are; the others, one
+a document at most, are dealt into packing groups of bounded expected size by a hash of the
+piece and its place in the input, so that neither a key on many rows nor a long
+document makes a large group.  Each group is packed by itself with memory for its own items and
 one counter a gap.  A group leaves a few sequences unfilled, a share that its size
 keeps small.
 
@@ -36,10 +37,11 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from . import base
-from .base import read, remembered, ship, slices
+from .base import read, remembered, ship, slices, stored
 
 CAPACITY = 2048
-GROUP_DOCS = 8192
+#: Pieces that do not fill a sequence in a group, about.
+GROUP_PIECES = 8192
 #: Words and parts of words in a generation of a worker's cache.  A full generation becomes the old one, whose entries come back when asked for; the one before is forgotten.
 MOST_WORDS, MOST_PARTS = 500_000, 300_000
 _STRETCH = 1 << 20
@@ -205,9 +207,14 @@ def place(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.n
     return where, offset
 
 
-def pack(cut_pieces: DataFrame, key: str, n_docs: int, capacity: int = CAPACITY, group_docs: int = GROUP_DOCS) -> DataFrame:
-    """``cut_pieces`` with ``sequence_id`` and ``offset``; ``n_docs``: about how many documents they come from."""
-    n_groups = max(1, -(-n_docs // group_docs))
+def pack(cut_pieces: DataFrame, key: str, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
+    """``cut_pieces``, a written table, with ``sequence_id`` and ``offset``.
+
+    A piece that fills a sequence is one, and stays where it is.  The others are dealt into groups of about ``group_pieces``.
+    """
+    full = F.col("length") == capacity
+    rest = cut_pieces.filter(~full)
+    n_groups = max(1, -(-rest.count() // group_pieces))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut_pieces.schema if f.name != "_place")
 
     def pack_group(table: pa.Table) -> pa.Table:
@@ -221,17 +228,19 @@ def pack(cut_pieces: DataFrame, key: str, n_docs: int, capacity: int = CAPACITY,
         return out.append_column("sequence_id", pa.array((group << 40) + where)).append_column("offset", pa.array(offset))
 
     ship(__name__, base.__name__)
-    dealt = cut_pieces.withColumn("_group", F.pmod(F.xxhash64(F.lit(17), "ids_crc32", "_place"), F.lit(n_groups)).cast("long"))
-    return dealt.groupBy("_group").applyInArrow(pack_group, f"{schema}, sequence_id bigint, offset bigint")
+    dealt = rest.withColumn("_group", F.pmod(F.xxhash64(F.lit(17), "ids_crc32", "_place"), F.lit(n_groups)).cast("long"))
+    # Numbers of full sequences are negative, those of the others not.
+    alone = cut_pieces.filter(full).withColumns({"sequence_id": -1 - F.col("_place"), "offset": F.lit(0).cast("long")}).drop("_place")
+    return alone.unionByName(dealt.groupBy("_group").applyInArrow(pack_group, f"{schema}, sequence_id bigint, offset bigint"))
 
 
 def pack_documents(docs: DataFrame, key: str = "doc_id", tokenizer: str | None = None, **options) -> DataFrame:
-    """Pieces of all ``docs`` packed into as few sequences as the rule finds."""
+    """Pieces of all ``docs`` packed into as few sequences as the rule finds.  Pieces are written before they are dealt, so a task that runs again finds them as they were."""
     if tokenizer is None:
         import public_tokenizers
 
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
-    return pack(pieces(docs, key, tokenizer, **options), key, docs.count())
+    return pack(stored(pieces(docs, key, tokenizer, **options)), key, options.get("capacity", CAPACITY))
 
 
 def op3_sos_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

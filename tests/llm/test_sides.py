@@ -270,20 +270,59 @@ def test_long_labelled_texts_are_learnt_from(spark):
     docs = spark.createDataFrame([(1, "a" * 100_000 + "b" * 100_000), (2, "short"), (3, None)], "k int, text string")
     labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (4, 0)], "k int, label int")
     texts, target = b.labelled_sample(docs, labels, "k", "label", most_each=2)
-    assert sorted(zip(map(len, texts), target.tolist(), strict=True)) == [(5, 0.0), (b.MOST_CHARS, 1.0)]
+    assert sorted(zip(map(len, texts), target.tolist(), strict=True)) == [(5, 0.0), (200_000, 1.0)]
     assert {bytes([x]) for t in texts for x in t} >= {b"a", b"b"}
 
 
+def test_a_signal_in_the_middle_of_long_texts_is_learnt(spark, monkeypatch):
+    from spandrel.llm import byte_cnn as b
+
+    draw = random.Random(3)
+    long = lambda mark: "".join(draw.choices("abcdefgh ", k=20_000)) + mark + "".join(draw.choices("abcdefgh ", k=21_000))
+    rows = [(i, long("QXZ#@!QX" * 3 if i % 2 else "")) for i in range(60)]
+    docs = spark.createDataFrame(rows, "k int, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "k int, label int")
+    monkeypatch.setattr(b, "BATCH", 8)
+    scores = {r["k"]: r["score"] for r in b.classify(docs, labels, "k", "label").collect()}
+    assert min(scores[i] for i in range(41, 60, 2)) > max(scores[i] for i in range(40, 60, 2))
+
+
+def test_filters_over_runs_of_cells(monkeypatch):
+    from spandrel.llm import byte_cnn as b
+
+    network = b.Network()
+    sizes = np.array([0, 40_000, 3, 9_000])
+    raw = np.random.default_rng(5).integers(1, 255, sizes.sum(), dtype=np.uint8)
+    data, at = b.padded(raw, np.concatenate(([0], np.cumsum(sizes))))
+    whole = network.gradients(data, at, np.array([0, 1, 1, 0], np.float32))
+    monkeypatch.setattr(b, "RUN", 7)
+    runs = network.gradients(data, at, np.array([0, 1, 1, 0], np.float32))
+    assert whole[0] == runs[0] and all((whole[1][k] == runs[1][k]).all() for k in whole[1])
+
+
 # -- operator 3
 
 
+def test_full_pieces_are_in_no_group(spark):
+    from spandrel.llm import base, sos_packing as p
+    import public_tokenizers
+
+    docs = spark.createDataFrame([(i, "one two three " * 9_000 + "four " * i) for i in range(30)], "doc_id int, text string")
+    pieces = base.stored(p.pieces(docs, "doc_id", public_tokenizers.path("word_bpe_49k.json")))
+    got = p.pack(pieces, "doc_id", group_pieces=10).collect()
+    full = [r for r in got if r["length"] == 2048]
+    assert len(got) == pieces.count() and len(full) > 300 and all(r["sequence_id"] < 0 and r["offset"] == 0 for r in full) and len({r["sequence_id"] for r in full}) == len(full)
+    groups = collections.Counter(r["sequence_id"] >> 40 for r in got if r["length"] < 2048)
+    assert len(groups) == 3 and sum(groups.values()) <= 30
+
+
 def test_no_key_makes_a_large_group(spark):
     from spandrel.llm import sos_packing as p
 
     docs = spark.createDataFrame([(None if i % 2 else 1, "one two three") for i in range(2000)], "doc_id int, text string")
     import public_tokenizers
 
-    got = p.pack(p.pieces(docs, "doc_id", public_tokenizers.path("word_bpe_49k.json")), "doc_id", 2000, group_docs=100).collect()
+    got = p.pack(p.pieces(docs, "doc_id", public_tokenizers.path("word_bpe_49k.json")), "doc_id", group_pieces=100).collect()
     groups = collections.Counter(r["sequence_id"] >> 40 for r in got)
     assert len(got) == 2000 and len(groups) == 20 and max(groups.values()) < 200
 
