@@ -6,11 +6,10 @@ chunk's responses into features, and the mean and the largest value of each feat
 over all chunks make one probability.  Every byte of every text is read.
 
 Fitting takes at most ``MOST_EACH`` labelled texts of either class, picked by a hash
-of their key among those that are in ``docs``; a text of more than ``MOST_CHARS``
-characters is learnt from by PARTS stretches spread over all of it, of so many
-characters together.  The bounds keep the driver's memory and time fixed.  Scoring is
-a stream over the texts in batches; a very long text goes through the network in runs
-of cells that carry the sums and maxima, so that memory does not grow with it.
+of their key among those that are in ``docs``, each by all of its bytes; the bound is one of
+rows, so the driver holds these texts and no more.  Filters go over long texts in runs of
+cells, in fitting and in scoring.  Scoring is a stream over the texts in batches; a very
+long text carries its sums and maxima from run to run, so that memory does not grow with it.
 
 Edge cases: a null or empty text is scored as one chunk of padding; keys of equal hash
 are picked by their order, and of a key's several texts the least; without
@@ -29,7 +28,7 @@ from pyspark.sql import functions as F
 from . import base
 from .base import read, ship, slices, text_buffer
 
-MOST_EACH, MOST_CHARS, PARTS = 1200, 32_768, 8
+MOST_EACH = 1200
 WIDTH, STRIDE, CELL, FILTERS, HIDDEN = 8, 2, 64, 24, 16
 #: Cells of a long text that are worked on at once.
 RUN = 1 << 14
@@ -59,6 +58,9 @@ class Network:
 
     def _cells(self, data: np.ndarray, where: bool) -> tuple[np.ndarray, np.ndarray | None]:
         """Largest response of each filter in each cell, and the place it came from if asked for."""
+        if len(data) > 2 * RUN * CELL:
+            parts = [(at, self._cells(data[at : at + RUN * CELL + WIDTH], where)) for at in range(0, len(data) - WIDTH, RUN * CELL)]
+            return np.vstack([x for _, (x, _) in parts]), np.vstack([at + y for at, (_, y) in parts]) if where else None
         n = (len(data) - WIDTH) // STRIDE
         response = np.zeros((n, FILTERS), np.float32)
         for k in range(WIDTH):
@@ -171,10 +173,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, label: str, te
     own = docs.filter(F.col(key).isNotNull()).select(key).distinct()
     known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.min(label).alias("_label")).join(own, key, "left_semi")
     picked = [known.filter(F.col("_label") == v).orderBy(F.xxhash64(F.lit(5), key), key).limit(most_each) for v in (0, 1)]
-    size, step = MOST_CHARS // PARTS, (F.length("_text") - MOST_CHARS // PARTS) / (PARTS - 1)
-    spread = F.concat(*(F.col("_text").substr(F.floor(step * i).cast("int") + 1, F.lit(size)) for i in range(PARTS)))
     rows = docs.select(key, F.col(text).alias("_text")).join(F.broadcast(picked[0].union(picked[1])), key)
-    rows = rows.groupBy(key, "_label").agg(F.min("_text").alias("_text")).withColumn("_text", F.when(F.length("_text") <= MOST_CHARS, F.col("_text")).otherwise(spread))
+    rows = rows.groupBy(key, "_label").agg(F.min("_text").alias("_text"))
     found = rows.filter(F.col("_text").isNotNull()).orderBy(F.xxhash64(F.lit(5), key), key).select("_text", "_label").toArrow()
     return [t.encode() for t in found.column("_text").to_pylist()], found.column("_label").to_numpy().astype(np.float32)
 
