@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from ..functions.text import identity, valid_file_name, valid_source
 
@@ -55,27 +56,52 @@ def compile_rows(sources: DataFrame, provider, most_seconds: float | None = None
     """``(file, source, output, status, error, sha256)`` by an injected compiler ``provider(source, file) -> JSON text``, run where the rows are.
 
     ``status``: ``compiled``; ``diagnostics`` if the output reports errors; ``timeout`` after ``most_seconds``; ``failed`` if the provider
-    raises or gives no JSON.  A row that fails does not fail the job.
+    raises or gives no JSON.  A row that fails does not fail the job, and what meets the limit is ended with its process.
     """
     import json
-    from concurrent.futures import ThreadPoolExecutor
-    from concurrent.futures import TimeoutError as TooLong
     from hashlib import sha256
 
     import pyarrow as pa
 
+    def limited(source: str, file: str) -> str | None:
+        """The provider's output from a process of its own, which ends at the limit; None if it is met."""
+        import multiprocessing
+
+        context = multiprocessing.get_context("fork")
+        mine, its = context.Pipe(False)
+
+        def work() -> None:
+            try:
+                its.send((True, provider(source, file)))
+            except BaseException as e:  # noqa: BLE001 - told to the parent
+                its.send((False, f"{type(e).__name__}: {e}"))
+
+        process = context.Process(target=work, daemon=True)
+        process.start()
+        its.close()
+        try:
+            if not mine.poll(most_seconds):
+                return None
+            good, value = mine.recv()
+        except EOFError:
+            good, value = False, "the provider's process died"
+        finally:
+            process.kill()
+            process.join()
+            mine.close()
+        if not good:
+            raise RuntimeError(value)
+        return value
+
     def one(source: str, file: str) -> tuple:
-        pool = ThreadPoolExecutor(1)
         try:
-            output = pool.submit(provider, source, file).result(most_seconds)
+            output = provider(source, file) if most_seconds is None else limited(source, file)
+            if output is None and most_seconds is not None:
+                return None, "timeout", f"no result after {most_seconds} s"
             errors = [e.get("message", "") for e in json.loads(output).get("errors") or [] if e.get("severity") == "error"]
             return (output, "diagnostics", "; ".join(errors)) if errors else (output, "compiled", None)
-        except TooLong:
-            return None, "timeout", f"no result after {most_seconds} s"
         except Exception as e:  # noqa: BLE001 - whatever a provider raises is this row's result
             return None, "failed", f"{type(e).__name__}: {e}"[:500]
-        finally:
-            pool.shutdown(wait=False, cancel_futures=True)
 
     def run(batches):
         for batch in batches:
@@ -92,11 +118,39 @@ def compile_sources(sources: DataFrame, provider, most_seconds: float | None = N
     return compile_rows(sources, provider, most_seconds).select("file", "source", "output")
 
 
+def sorted_keys(value: Column, kind: DataType) -> Column:
+    """``value`` with the fields of all structs in it in alphabetical order."""
+    if isinstance(kind, StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        return F.when(value.isNotNull(), F.struct(*(sorted_keys(value.getField(f.name), f.dataType).alias(f.name) for f in fields)))
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: sorted_keys(x, kind.elementType))
+    if isinstance(kind, MapType):
+        return F.map_from_entries(F.array_sort(F.map_entries(F.transform_values(value, lambda _, x: sorted_keys(x, kind.valueType)))))
+    return value
+
+
 def write_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+    """One JSON object a line, keys in alphabetical order at every level."""
+    fields = sorted(df.schema.fields, key=lambda f: f.name)
+    df.select(*(sorted_keys(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in fields)).write.mode("overwrite").json(path)
+
+
+def markdown_rows(rows: DataFrame) -> DataFrame:
+    """``(value)``: a line of a Markdown table for each row; bars and line ends in cells are escaped."""
+    cell = lambda c: F.regexp_replace(F.replace(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("None")), F.lit("|"), F.lit("\\|")), r"[\r\n]+", "<br>")
+    return rows.select(F.concat(F.lit("| "), F.concat_ws(" | ", *map(cell, rows.columns)), F.lit(" |")).alias("value"))
+
+
+def write_markdown(rows: DataFrame, path: str) -> None:
+    """The table of all ``rows`` as text files below ``path``, its head in a file that comes first."""
+    spark = rows.sparkSession
+    head = ["| " + " | ".join(x) + " |" for x in (rows.columns, ["---"] * len(rows.columns))]
+    spark.createDataFrame([(line, i) for i, line in enumerate(head)], "value string, i int").coalesce(1).sortWithinPartitions("i").select("value").write.mode("overwrite").text(f"{path}/0-head")
+    markdown_rows(rows).write.mode("overwrite").text(f"{path}/1-rows")
 
 
 def markdown_table(rows: DataFrame, most: int = 1000) -> str:
-    """A report table of at most ``most`` rows."""
-    cells = [rows.columns, ["---"] * len(rows.columns), *([str(v) for v in r] for r in rows.limit(most).collect())]
-    return "\n".join("| " + " | ".join(c) + " |" for c in cells)
+    """A report table to look at, of at most ``most`` rows; ``write_markdown`` writes all."""
+    head = ["| " + " | ".join(x) + " |" for x in (rows.columns, ["---"] * len(rows.columns))]
+    return "\n".join([*head, *(r["value"] for r in markdown_rows(rows.limit(most)).collect())])

@@ -239,4 +239,38 @@ def test_annotations_and_spans(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.json").write_text('{"sources": {"a.sol": {}}}')
     assert inputs.read_compiled(spark, str(tmp_path / "in")).first()["file"] == "a.sol"
-    assert callable(quality.validate_annotations)
+    rows = spark.createDataFrame(
+        [("a", "TXO-001", "present", "0" * 64, True), ("b", "TXO-001", "present", "0" * 64, None), (" ", "X", "maybe", "0" * 63, True), ("c", None, None, None, False), ("a", "ACC-001", "unknown", "f" * 64, False)],
+        "sample_id string, rule_id string, label string, sha256 string, reviewed boolean",
+    )
+    got = sorted(map(tuple, quality.validate_annotations(rows).collect()))
+    assert got == [(" ", "empty id"), (" ", "hash"), (" ", "label"), (" ", "rule"), ("a", "duplicate id"), ("b", "not reviewed"), ("c", "hash"), ("c", "label"), ("c", "not reviewed"), ("c", "rule")]
+
+
+def test_reports_are_written_whole_and_sorted(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from spandrel.sources import inputs
+
+    rows = spark.range(1500).select(F.col("id").alias("z"), F.struct(F.lit(1).alias("y"), F.array(F.struct(F.lit(2).alias("q"), F.lit(3).alias("p"))).alias("b")).alias("a"), F.lit("x|y\nz").alias("m"), F.create_map(F.lit("k"), F.lit(1), F.lit("j"), F.lit(2)).alias("d"))
+    inputs.write_json(rows, str(tmp_path / "j"))
+    line = spark.read.text(str(tmp_path / "j")).filter("value LIKE '%\"z\":7}'").first()["value"]
+    assert line == '{"a":{"b":[{"p":3,"q":2}],"y":1},"d":{"j":2,"k":1},"m":"x|y\\nz","z":7}'
+    inputs.write_markdown(rows.select("z", "m"), str(tmp_path / "t"))
+    assert [r[0] for r in spark.read.text(str(tmp_path / "t" / "0-head")).collect()] == ["| z | m |", "| --- | --- |"]
+    assert spark.read.text(str(tmp_path / "t" / "1-rows")).count() == 1500 and inputs.markdown_table(rows.select("z", "m")).splitlines()[2] == "| 0 | x\\|y<br>z |"
+
+
+def test_what_meets_the_limit_is_ended(spark, tmp_path):
+    import time
+
+    from spandrel.sources import inputs
+
+    def provider(source, file):
+        time.sleep(3)
+        with open(source, "w"):
+            return "{}"
+
+    late = str(tmp_path / "late")
+    got = inputs.compile_rows(spark.createDataFrame([("a", late)], "file string, source string"), provider, 0.5).collect()
+    time.sleep(4)
+    assert [r["status"] for r in got] == ["timeout"] and not os.path.exists(late)
