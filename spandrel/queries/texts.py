@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import metrics as M
 from ..operators import paths_sql as P
+from ..operators.rounds import shared_folder
+from ..sources import source_tree
 from .common import Registry, table
 
 query = Registry()
@@ -106,3 +110,19 @@ def sample_ids(spark, d):
 @query("""SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS stamp, contains(lower(event_type), 'err') AS named FROM events""")
 def utc_stamps(spark, d):
     return table(spark, d, "events").select("event_id", T.utc_stamp(F.col("ts")).alias("stamp"), T.name_contains(F.col("event_type"), "err").alias("named"))
+
+
+@query("""WITH c AS (SELECT conv_id, string_agg(role || ': ' || replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(10) ORDER BY turn, role, text) AS source FROM conversations GROUP BY conv_id)
+SELECT (conv_id % 100)::VARCHAR || '/' || conv_id || '.txt' AS file, strlen(source)::BIGINT AS byte_length, sha256(source) AS sha256, 'ok' AS status FROM c""")
+def source_tree_round_trip(spark, d):
+    """Every conversation as a file of a tree, written and read again by the data source of trees."""
+    source_tree.register(spark)
+    folder = f"{source_tree.local_path(shared_folder(spark))}/tree-{uuid.uuid4().hex}"
+    turns = table(spark, d, "conversations").select("conv_id", F.struct("turn", "role", "text").alias("t"))
+    line = lambda t: F.concat(t["role"], F.lit(": "), F.coalesce(t["text"], F.lit("")))
+    files = turns.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("t")), line), "\n").alias("source"))
+    named = files.select(F.concat((F.col("conv_id") % 100).cast("string"), F.lit("/"), F.col("conv_id"), F.lit(".txt")).alias("file"), "source")
+    named.write.format("source_tree").mode("append").save(folder)
+    # Tasks write into folders of their own, which are not part of the names that were given.
+    read = spark.read.format("source_tree").option("pattern", "*.txt").load(folder)
+    return read.select(F.substring_index("file", "/", -2).alias("file"), "byte_length", "sha256", "status")

@@ -274,3 +274,43 @@ def test_what_meets_the_limit_is_ended(spark, tmp_path):
     got = inputs.compile_rows(spark.createDataFrame([("a", late)], "file string, source string"), provider, 0.5).collect()
     time.sleep(4)
     assert [r["status"] for r in got] == ["timeout"] and not os.path.exists(late)
+
+
+def test_source_trees(spark, tmp_path):
+    from pyspark.errors import PySparkException
+    from spandrel.sources import source_tree
+
+    source_tree.register(spark)
+    root = tmp_path / "tree"
+    (root / "b" / "c").mkdir(parents=True)
+    (root / "a.sol").write_bytes("é\r\nx\r".encode())
+    (root / "b" / "c" / "d.sol").write_bytes(b"")
+    (root / "b" / "bad.sol").write_bytes(b"\xff\xfe")
+    (root / "b" / "other.txt").write_bytes(b"no")
+    (tmp_path / "outside").mkdir()
+    (tmp_path / "outside" / "x.sol").write_bytes(b"secret")
+    (root / "link.sol").symlink_to(tmp_path / "outside" / "x.sol")
+    (root / "linked").symlink_to(tmp_path / "outside")
+    (root / "gone.sol").write_bytes(b"x")
+    (root / "gone.sol").chmod(0)
+    read = lambda **o: spark.read.format("source_tree").options(pattern="*.sol", **o).load(str(root))
+    got = {r["file"]: (r["source"], r["byte_length"], r["status"]) for r in read().collect()}
+    # The superuser reads what nobody may.
+    assert got.pop("gone.sol") in ((None, None, "unreadable"), ("x", 1, "ok"))
+    assert got == {"a.sol": ("é\nx\r", 5, "ok"), "b/c/d.sol": ("", 0, "ok"), "b/bad.sol": (None, None, "not UTF-8"), "link.sol": (None, None, "symlink"), "linked": (None, None, "symlink")}
+    assert read(partition_bytes=1).rdd.getNumPartitions() > 1
+    rows = spark.createDataFrame([(f"{i % 3}/{i}.txt", "x" * i) for i in range(30)] + [("null.txt", None)], "file string, source string").repartition(3)
+    out = str(tmp_path / "out")
+    for _ in range(2):
+        rows.write.format("source_tree").mode("overwrite").save(out)
+    back = spark.read.format("source_tree").load(out)
+    assert sorted((r["file"].split("/", 1)[1], r["source"]) for r in back.collect()) == sorted((r["file"], r["source"] or "") for r in rows.collect())
+    for name in ("../evil", "/etc/evil", None, "."):
+        with pytest.raises(PySparkException):
+            spark.createDataFrame([(name, "x")], "file string, source string").write.format("source_tree").mode("append").save(out)
+    assert spark.read.format("source_tree").load(out).count() == 31
+    (tmp_path / "out" / "_writing-x").mkdir()
+    (tmp_path / "out" / "_writing-x" / "y").write_bytes(b"y")
+    assert spark.read.format("source_tree").load(out).count() == 31
+    with pytest.raises(ValueError, match="mounted"):
+        source_tree.local_path("hdfs://x/y")
