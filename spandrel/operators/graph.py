@@ -93,6 +93,15 @@ def reachable(pairs: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame
     return q.select("graph", "src", "dst", status(hit, F.coalesce("complete", F.lit(False)), valid).alias("status"))
 
 
+def with_reasons(answers: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``answers(graph, src, dst, status, ...)`` with ``reason``: what makes an answer invalid or leaves it unknown, else null."""
+    known = nodes.select("graph", "id").distinct()
+    rows = answers.join(known.select("graph", F.col("id").alias("src"), F.lit(True).alias("_src")), ["graph", "src"], "left").join(known.select("graph", F.col("id").alias("dst"), F.lit(True).alias("_dst")), ["graph", "dst"], "left")
+    rows = rows.join(known.select("graph", F.lit(True).alias("_graph")).distinct(), "graph", "left")
+    invalid = F.when(F.col("_graph").isNull(), "no such graph").when(F.col("_src").isNull() & F.col("_dst").isNull(), "no such nodes").when(F.col("_src").isNull(), "no such source").when(F.col("_dst").isNull(), "no such target")
+    return rows.select(*answers.columns, F.when(F.col("status") == "invalid", invalid).when(F.col("status") == "unknown", F.lit("the graph is not complete")).alias("reason"))
+
+
 def ordered(pairs: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """As reachable(), but strict: a node does not come before itself unless by a cycle."""
     answers = reachable(pairs.filter("src <> dst"), edges, nodes)

@@ -81,6 +81,22 @@ def reachability(spark, d):
     return G.reachable(pairs, edges, nodes)
 
 
+@query(f"""WITH RECURSIVE {_NODES}, {_EDGES}, {_CLOSED}, u AS (SELECT DISTINCT graph FROM nodes WHERE role = 'system'),
+q AS (SELECT DISTINCT CASE WHEN id % 5 = 4 THEN -1 - graph ELSE graph END AS graph, CASE WHEN id % 3 = 2 THEN id + 100 ELSE id END AS src, id + k AS dst FROM nodes, (VALUES (2), (-1)) t(k))
+SELECT q.graph, q.src, q.dst, CASE WHEN s.id IS NULL OR t.id IS NULL THEN 'invalid' WHEN c.src IS NOT NULL THEN 'yes' WHEN u.graph IS NULL THEN 'no' ELSE 'unknown' END AS status,
+  CASE WHEN q.graph < 0 THEN 'no such graph' WHEN s.id IS NULL AND t.id IS NULL THEN 'no such nodes' WHEN s.id IS NULL THEN 'no such source' WHEN t.id IS NULL THEN 'no such target' WHEN c.src IS NULL AND u.graph IS NOT NULL THEN 'the graph is not complete' END AS reason
+FROM q LEFT JOIN (SELECT DISTINCT graph, id FROM nodes) s ON s.graph = q.graph AND s.id = q.src LEFT JOIN (SELECT DISTINCT graph, id FROM nodes) t ON t.graph = q.graph AND t.id = q.dst
+LEFT JOIN closed c ON c.graph = q.graph AND c.src = q.src AND c.dst = q.dst LEFT JOIN u ON u.graph = q.graph""")
+def reachability_reasons(spark, d):
+    """Why an answer is invalid or unknown; conversations with a system turn count as not complete."""
+    nodes, edges = _graph(spark, d)
+    loose = table(spark, d, "conversations").filter("role = 'system'").select(F.col("conv_id").alias("graph")).distinct().withColumn("_loose", F.lit(True))
+    nodes = nodes.join(loose, "graph", "left").withColumn("uncertain", F.coalesce("_loose", F.lit(False))).drop("_loose")
+    id_ = F.col("id")
+    pairs = nodes.select(F.when(id_ % 5 == 4, -1 - F.col("graph")).otherwise(F.col("graph")).alias("graph"), F.when(id_ % 3 == 2, id_ + 100).otherwise(id_).alias("src"), F.explode(F.array(id_ + 2, id_ - 1)).alias("dst")).distinct()
+    return G.with_reasons(G.reachable(pairs, edges, nodes), nodes)
+
+
 @query(f"""WITH RECURSIVE {_NODES}, {_EDGES}, {_CLOSED}
 SELECT a.graph, a.src, a.dst, CASE WHEN n.id IS NULL THEN 'invalid' WHEN c.src IS NOT NULL THEN 'yes' ELSE 'no' END AS status
 FROM (SELECT DISTINCT graph, id AS src, id + k AS dst FROM nodes, (VALUES (0), (1), (-1)) t(k)) a LEFT JOIN (SELECT DISTINCT graph, id FROM nodes) n ON n.graph = a.graph AND n.id = a.dst

@@ -125,38 +125,20 @@ def test_split_and_manifest_problems(spark):
     assert got == {("TX-002", "category"), ("TX-002", "line"), ("TX-002", "stale text"), ("TX-002", "evidence"), ("bad", "id"), ("bad", "no file"), ("TX-003", "stale text"), ("TX-003", "duplicate id")}
 
 
-def test_scores_compare_boosted_trees(monkeypatch):
-    """The registered query fits every candidate of training; what it asks for is looked at, as fitting takes minutes."""
-    import inspect
+def test_trees_are_compared_and_chosen_where_they_win(spark):
+    import random
 
     from spandrel.plans import ml
-    from spandrel.queries import analysis
 
-    class Seen(Exception):
-        pass
-
-    signature = inspect.signature(ml.train)
-
-    def train(*args, **kwargs):
-        bound = signature.bind(*args, **kwargs)
-        bound.apply_defaults()
-        raise Seen(bound.arguments["trees"])
-
-    class Any:
-        def __getattr__(self, name):
-            return self
-
-        def __call__(self, *args, **kwargs):
-            return self
-
-    monkeypatch.setattr(analysis, "F", Any())
-    monkeypatch.setattr(analysis, "sample_files", Any())
-    monkeypatch.setattr(analysis.ast, "flatten", Any())
-    monkeypatch.setattr(analysis.features, "long", Any())
-    monkeypatch.setattr(ml, "train", train)
-    with pytest.raises(Seen) as seen:
-        analysis.ml_scores(Any(), "")
-    assert seen.value.args == (ml.TREES,) and ml.TREES > 0
+    draw = random.Random(7)
+    points = [(draw.random() - 0.5, draw.random() - 0.5) for _ in range(240)]
+    rows = spark.createDataFrame([(i, int(x * y > 0), x, y) for i, (x, y) in enumerate(points)], "i int, label int, f0 double, f1 double")
+    ready = ml.assembled(rows, ml.scaling(rows, 2)).persist()
+    name, model, metrics = ml.fit(ready.filter("i % 3 > 0"), ready.filter("i % 3 = 0"), trees=8)
+    f1 = {r["candidate"]: r["f1"] for r in metrics.collect()}
+    assert set(f1) == {"dummy", "logistic_regression", "boosted_trees"} and name == "boosted_trees" and f1["boosted_trees"] > 0.8 > f1["logistic_regression"]
+    assert ml.fit(ready.filter("i % 3 > 0"), ready.filter("i % 3 = 0"), trees=0)[0] != "boosted_trees" and ml.TREES > 0
+    ready.unpersist()
 
 
 def test_compiling_never_fails_the_job(spark):
