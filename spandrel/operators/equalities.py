@@ -44,6 +44,7 @@ def contradictions(facts: DataFrame, found: DataFrame) -> DataFrame:
 
 def judged(facts: DataFrame) -> DataFrame:
     """``(scope, root, n_symbols, n_contradictions)`` of each class of two symbols or more, or with a contradiction."""
+    facts = written(facts.select("scope", "left", "op", "right").distinct())
     found = written(classes(facts))
     wrong = contradictions(facts, found).groupBy("scope", "root").agg(F.count("*").alias("n_contradictions"))
     sizes = found.groupBy(F.col("scope").alias("_scope"), F.col("root").alias("_root")).agg(F.count("*").alias("n_symbols"))

@@ -4,7 +4,7 @@
 Answers are ``yes``, ``no``, ``unknown`` (the graph is not complete) or ``invalid``.
 A graph is small, so it is walked where its rows are, one graph a call, from the nodes
 that are asked for alone; the graphs themselves are spread.  A single large graph goes
-by frontiers instead.
+by ``large_graph`` instead.
 """
 
 from __future__ import annotations
@@ -64,17 +64,6 @@ def asked_closure(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     return asked.groupBy("graph").cogroup(edges.select("graph", "src", "dst").groupBy("graph")).applyInArrow(per_graph, f"graph {types['graph']}, src {types['src']}, dst {types['dst']}")
 
 
-def frontier_closure(edges: DataFrame, starts: DataFrame, cut) -> DataFrame:
-    """``(src, dst)`` from each start of one large graph: a round of joins per distance; ``cut`` writes a round's result."""
-    found = cut(starts.select(F.col("id").alias("src")).join(edges.select("src", "dst"), "src").distinct())
-    new = found
-    while not new.isEmpty():
-        ahead = new.join(edges.select(F.col("src").alias("dst"), F.col("dst").alias("next")), "dst").select("src", F.col("next").alias("dst")).distinct()
-        new = cut(ahead.join(found, ["src", "dst"], "left_anti"))
-        found = cut(found.union(new))
-    return found
-
-
 def status(reached: Column, complete: Column, valid: Column) -> Column:
     """The four-valued answer."""
     return F.when(~valid, "invalid").when(reached, "yes").when(complete, "no").otherwise("unknown")

@@ -88,7 +88,7 @@ def equality_classes(spark, d):
     order = Window.partitionBy("l_orderkey", "scope").orderBy(*_LINE, "l_returnflag")
     rows = lines.select("scope", "left", "l_returnflag", F.lead("left").over(day).alias("mate"), F.lead("left").over(order).alias("nxt"), F.lead("l_returnflag").over(order).alias("flag"))
     other = F.when(F.col("flag") != F.col("l_returnflag"), F.col("nxt"))
-    facts = rows.select("scope", "left", F.explode(F.array(F.struct(F.lit("==").alias("op"), F.col("mate").alias("right")), F.struct(F.lit("!=").alias("op"), other.alias("right")))).alias("f")).select("scope", "left", "f.op", "f.right").filter("right IS NOT NULL").distinct()
+    facts = rows.select("scope", "left", F.explode(F.array(F.struct(F.lit("==").alias("op"), F.col("mate").alias("right")), F.struct(F.lit("!=").alias("op"), other.alias("right")))).alias("f")).select("scope", "left", "f.op", "f.right").filter("right IS NOT NULL")
     return equalities.judged(facts)
 
 
