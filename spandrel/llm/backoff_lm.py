@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import base, textbytes
-from .base import cut, discard, read, ship, slices, stored, text_buffer
+from .base import OWN_KEY, cut, discard, read, ship, slices, stored, text_buffer
 
 #: Share of all training tokens from which an n-gram's weights are sent to every worker.
 HOT_SHARE = 5e-7
@@ -481,7 +481,9 @@ def sums(known: Known, keys: np.ndarray, texts: np.ndarray, n: int) -> tuple[lis
 
 def score(docs: DataFrame, key: str, is_training: Column, text: str = "text", order: int = ORDER) -> DataFrame:
     """Per row: ``key``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` (the root's) and ``score`` (the automaton's), both log10."""
-    plain = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text"), is_training.alias("_training"))
+    key_type, original = docs.schema[key].dataType, key
+    named, key = "key" if key in ("n_tokens", "n_known", "train_tokens", "base_score", "score") else key, OWN_KEY
+    plain = docs.select(F.col(original).alias(key), F.coalesce(F.col(text), F.lit("")).alias("text"), is_training.alias("_training"))
     training = plain.filter("_training")
     word_counts = stored(count_words(training))
     tables, maps, n, v = weights(training, word_counts, order)
@@ -497,7 +499,6 @@ def score(docs: DataFrame, key: str, is_training: Column, text: str = "text", or
     shards = shards_for(n)
     dealt = dealt_weights(table.filter(~hot), shards)
 
-    key_type = docs.schema[key].dataType
     arrow_key = to_arrow_type(key_type)
     asked_schema = pa.schema([("shard", pa.int32()), ("first", pa.int64()), ("keys", pa.binary()), ("texts", pa.binary()), ("own", pa.list_(pa.int64())), ("key", pa.list_(arrow_key)), *((x, pa.list_(t)) for x, t in (("n_tokens", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("context", pa.float64())))])
 
@@ -598,7 +599,7 @@ def score(docs: DataFrame, key: str, is_training: Column, text: str = "text", or
     parts = asked.groupBy("shard").cogroup(dealt.groupBy("shard")).applyInArrow(answer, f"first bigint, numbers binary, known binary, logs binary, context binary, own array<bigint>, key array<{name}>, n_tokens array<bigint>")
     whole = parts.groupBy("first").applyInArrow(whole, f"`{key}` {name}, n_tokens bigint, n_known bigint, logs double, context double")
     base_score = F.col("logs") + F.col("n_tokens") * F.lit(math.log10(SMOOTHING) - math.log10(n + SMOOTHING * (v + 1)))
-    return whole.select(key, "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base_score.alias("base_score"), (base_score + F.col("context")).alias("score"))
+    return whole.select(F.col(key).alias(named), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base_score.alias("base_score"), (base_score + F.col("context")).alias("score"))
 
 
 def op2_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

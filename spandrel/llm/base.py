@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import inspect
 import sys
 import tempfile
 import types
@@ -149,3 +151,33 @@ def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
 def replicated(df: DataFrame, times: str) -> DataFrame:
     """Each row as often as ``times`` says; undoes a grouping of equal rows."""
     return df.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).drop("_copy", times)
+
+
+#: What a key is called inside of operators, so that it clashes with no column of theirs.
+OWN_KEY = "_key_of_row"
+
+
+def any_key(*results: str, also: tuple[str, ...] = ()):
+    """Lets the ``key`` of an operator's first table, and of those in ``also``, have any name.
+
+    A key that is named like one of the operator's ``results`` is called ``key`` in what it returns.
+    """
+
+    def wrap(operator):
+        signature = inspect.signature(operator)
+
+        @functools.wraps(operator)
+        def run(*args, **settings):
+            bound = signature.bind(*args, **settings)
+            bound.apply_defaults()
+            key = bound.arguments["key"]
+            if key == OWN_KEY:
+                return operator(*args, **settings)
+            for table in (next(iter(bound.arguments)), *also):
+                bound.arguments[table] = bound.arguments[table].withColumnRenamed(key, OWN_KEY)
+            bound.arguments["key"] = OWN_KEY
+            return operator(*bound.args, **bound.kwargs).withColumnRenamed(OWN_KEY, "key" if key in results else key)
+
+        return run
+
+    return wrap

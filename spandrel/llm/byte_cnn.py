@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import base
-from .base import read, ship, slices, text_buffer
+from .base import any_key, read, ship, slices, text_buffer
 
 MOST_EACH = 1200
 WIDTH, STRIDE, CELL, FILTERS, HIDDEN = 8, 2, 64, 24, 16
@@ -179,6 +179,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, label: str, te
     return [t.encode() for t in found.column("_text").to_pylist()], found.column("_label").to_numpy().astype(np.float32)
 
 
+@any_key("score", also=("labels",))
 def classify(docs: DataFrame, labels: DataFrame, key: str, label: str, text: str = "text", most_each: int = MOST_EACH) -> DataFrame:
     """``(key, score)``: the probability of label 1 for every row of ``docs``; fitted on ``labels``."""
     texts, target = labelled_sample(docs, labels, key, label, text, most_each)

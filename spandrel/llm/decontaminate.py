@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import cut, lower_ascii, read, replicated, without
+from .base import any_key, cut, lower_ascii, read, replicated, without
 
 WIDTH = 10
 #: Benchmark windows, and bytes of their words and item ids, that are sent to every executor at most; more are joined by a shuffle.
@@ -103,6 +103,7 @@ def _confirmed(hits: DataFrame, key: str, item_type: str) -> DataFrame:
     ).drop("_text")
 
 
+@any_key("n_words", "hits", "items")
 def document_hits(docs: DataFrame, items: DataFrame, key: str, width: int = WIDTH, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """Per row of ``docs``: ``key``, ``n_words``, ``hits`` (sorted places and sizes of confirmed windows) and ``items`` (distinct ids, sorted)."""
     table = benchmark_windows(items, width, item, item_text)
@@ -141,6 +142,7 @@ def hit_words(hits: Column) -> Column:
     )
 
 
+@any_key()
 def drop_contaminated(docs: DataFrame, items: DataFrame, key: str, width: int = WIDTH, most_share: float = 0.0, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` without those of which more than ``most_share`` of the words are hit."""
     found = document_hits(docs, items, key, width, text, item, item_text)

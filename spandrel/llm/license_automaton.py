@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import base, license_texts, textbytes
-from .base import read, ship, slices, text_buffer
+from .base import any_key, read, ship, slices, text_buffer
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Words of a match that may become part of a span, and of the gap that a chain may bridge.
@@ -172,6 +172,7 @@ def chain(matches: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int,
     return [(t, a, z, n) for t, (a, z, _, n) in done]
 
 
+@any_key("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "spans", "score")
 def scan_licenses(docs: DataFrame, key: str, text: str = "text", phrases: dict[str, str] | None = None, notices: list[tuple[str, str]] | None = None) -> DataFrame:
     """Per row of ``docs``: words, phrase hits, covered spans, labels and a score.
 

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import base, textbytes
-from .base import cut, read, ship, slices, stored, text_buffer, without
+from .base import any_key, cut, read, ship, slices, stored, text_buffer, without
 from .components import by_value, components
 
 CHUNKS, CHUNK, ERRORS = 10, 6, 1
@@ -263,6 +263,7 @@ def confirmed_links(docs: DataFrame, regions: DataFrame, key: str, text: str, k:
     return links.union(near).union(paired.groupBy("region", "p", "q").applyInArrow(link, schema))
 
 
+@any_key("n_shingles", "component_id")
 def near_duplicates(docs: DataFrame, key: str, text: str = "text", k: int = 3, share: int = 85) -> DataFrame:
     """Per row of ``docs``: ``key``, ``n_shingles`` and ``component_id``, the smallest key of its group.  ``share``: percent of similarity that links."""
     drawn = cut(sketch(docs, key, text, k))
@@ -277,6 +278,7 @@ def near_duplicates(docs: DataFrame, key: str, text: str = "text", k: int = 3, s
     return joined.select(key, "n_shingles", F.when(F.col(key).isNotNull(), F.coalesce("component_id", F.col(key))).alias("component_id"))
 
 
+@any_key()
 def drop_near_duplicates(docs: DataFrame, key: str, text: str = "text", k: int = 5, share: int = 80) -> DataFrame:
     """``docs`` with one document of each group, the one with the smallest key; of rows that share its key, one.  Rows with a null key stay."""
     found = cut(near_duplicates(docs, key, text, k, share))

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import base
-from .base import cut, lower_ascii, read, ship, slices
+from .base import any_key, cut, lower_ascii, read, ship, slices
 
 #: A node of which fewer pages are known than this is not judged by its site.
 LEAST_PAGES = 8
@@ -351,6 +351,7 @@ def turned_nodes(trees: DataFrame, least_importance: float = LEAST_IMPORTANCE) -
     return trees.groupBy("host").applyInArrow(judge, "host string, path bigint")
 
 
+@any_key("url", "text", "n_chars")
 def extract_text(pages: DataFrame, key: str, url: str = "url", html: str = "html") -> DataFrame:
     """``(key, url, text, n_chars)`` of every row of ``pages``."""
     name = lower_ascii(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), "://([^/?#]*)", 1))

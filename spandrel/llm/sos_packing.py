@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from . import base
-from .base import read, remembered, ship, slices, stored
+from .base import any_key, read, remembered, ship, slices, stored
 
 CAPACITY = 2048
 #: Pieces that do not fill a sequence in a group, about.
@@ -136,6 +136,7 @@ def word_ids(path: str) -> WordIds:
     return kept[path]
 
 
+@any_key("piece", "start", "length", "ids_crc32", "ids", "_place")
 def pieces(docs: DataFrame, key: str, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, text: str = "text", with_ids: bool = False) -> DataFrame:
     """``(key, piece, start, length, ids_crc32[, ids])``: each document's ids, the end id last, cut into pieces of ``capacity``; and ``_place``, a number of the piece by which it is dealt."""
     key_type = docs.schema[key].dataType.simpleString()
@@ -234,6 +235,7 @@ def pack(cut_pieces: DataFrame, key: str, capacity: int = CAPACITY, group_pieces
     return alone.unionByName(dealt.groupBy("_group").applyInArrow(pack_group, f"{schema}, sequence_id bigint, offset bigint"))
 
 
+@any_key("piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offset")
 def pack_documents(docs: DataFrame, key: str = "doc_id", tokenizer: str | None = None, **options) -> DataFrame:
     """Pieces of all ``docs`` packed into as few sequences as the rule finds.  Pieces are written before they are dealt, so a task that runs again finds them as they were."""
     if tokenizer is None:

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import cut, lower_ascii, read, replicated
+from .base import any_key, cut, lower_ascii, read, replicated
 
 #: Rules that are sent to every executor at most; more are joined by a shuffle.
 BROADCAST_RULES = 100_000
@@ -43,6 +43,7 @@ def compile_rules(rules: DataFrame) -> DataFrame:
     ).withColumn("prefix", F.substring("rule_digest", 1, 8)).dropDuplicates(["rule_digest", "verdict"])
 
 
+@any_key("host", "path", "rule", "verdict")
 def filter_urls(urls: DataFrame, rules: DataFrame, key: str, url: str = "url", default: str = "allow") -> DataFrame:
     """Per row of ``urls``: ``key``, host, path, the deciding rule or null, and the verdict (``default`` without a rule)."""
     compiled = cut(compile_rules(rules))

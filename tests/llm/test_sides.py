@@ -479,3 +479,35 @@ def test_a_cluster_must_name_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         base.shared_folder(Session())
+
+
+# -- keys of any name
+
+CLASHES = {
+    "extract_text": ["n_chars", "_host", "_html"], "score": ["logs", "n_tokens"], "pack_documents": ["piece", "offset", "_group"], "near_duplicates": ["keys", "n_shingles", "component_id"], "drop_near_duplicates": ["keys", "component_id"],
+    "document_hits": ["n", "hits", "_text"], "drop_contaminated": ["n_words", "items"], "classify": ["score"], "scan_licenses": ["labels", "prefix"], "filter_urls": ["host", "prefix", "_digest"],
+}
+
+
+@pytest.mark.parametrize(("name", "key"), [(n, k) for n, keys in CLASHES.items() for k in keys])
+def test_a_key_may_be_named_like_any_column(spark, name, key):
+    from spandrel.llm import backoff_lm, byte_cnn, decontaminate, license_automaton, minhash_join, site_tree, sos_packing, url_rules
+
+    def run(k):
+        rows = spark.createDataFrame([(i, f"http://a{i}/x", f"word{i % 4} some text here and there again " * 5) for i in range(8)], f"`{k}` int, link string, body string")
+        docs = rows.select(k, F.col("body").alias("text"), "link")
+        items = spark.createDataFrame([(1, "some text here and there again word1 some text here")], "item_id int, text string")
+        labels = spark.createDataFrame([(1, 1), (2, 0)], f"`{k}` int, quality int")
+        rules = spark.createDataFrame([("a1", "/", "block")], "host string, path string, verdict string")
+        return {
+            "extract_text": lambda: site_tree.extract_text(docs, k, "link", "text"), "score": lambda: backoff_lm.score(docs, k, F.col(k) > 2), "pack_documents": lambda: sos_packing.pack_documents(docs, k),
+            "near_duplicates": lambda: minhash_join.near_duplicates(docs, k), "drop_near_duplicates": lambda: minhash_join.drop_near_duplicates(docs, k), "document_hits": lambda: decontaminate.document_hits(docs, items, k),
+            "drop_contaminated": lambda: decontaminate.drop_contaminated(docs, items, k), "classify": lambda: byte_cnn.classify(docs, labels, k, "quality"), "scan_licenses": lambda: license_automaton.scan_licenses(docs, k),
+            "filter_urls": lambda: url_rules.filter_urls(docs, rules, k, "link"),
+        }[name]()
+
+    want, got = run("plain"), run(key)
+    assert len(set(got.columns)) == len(got.columns) and [c for c in got.columns if c not in (key, "key")] == [c for c in want.columns if c != "plain" and c != key]
+    assert "key" in got.columns or key in got.columns
+    own = "key" if "key" in got.columns else key
+    assert sorted(r[own] for r in got.collect()) == sorted(r["plain"] for r in want.collect())
