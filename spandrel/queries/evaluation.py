@@ -240,7 +240,7 @@ UNION ALL SELECT sample_id, 'hash' FROM r WHERE coalesce(NOT regexp_full_match(s
 UNION ALL SELECT sample_id, 'duplicate id' FROM r GROUP BY sample_id HAVING count(*) > 1""")
 def annotation_rules(spark, d):
     """Documents and labels as annotation rows, some of them broken, through the validation of annotations."""
-    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left").withColumn("sha256", F.sha2("text", 256))
+    docs = table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("sha256")).join(table(spark, d, "labels"), "doc_id", "left")
     return Q.validate_annotations(docs.selectExpr(*_top_level(_ANNOTATION)))
 
 
