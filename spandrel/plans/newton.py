@@ -6,8 +6,8 @@ small system by a Cholesky decomposition in columns.  Rows are neither collected
 brought together by group: a group may hold any share of them.
 
 Weights are balanced if asked for: every class of a group weighs half of its rows.  The penalty
-is ``ridge / 2`` times the squared coefficients but the first, over the sum of losses, so a group
-of one class has finite coefficients.
+is ``ridge / 2`` times the squared coefficients, the intercept's with them, over the sum of losses, so a
+group of one class has finite ones.
 
 Edge cases: rows with a null group, label or feature, or one that is not finite, are left out;
 labels are 0 or 1; repeated rows count each; a group whose system cannot be solved keeps
@@ -60,7 +60,7 @@ def fit(rows: DataFrame, group: str, label: str, features: list[str], ridge: flo
         weight = half if balanced else F.lit(1.0)
         each = both.select("*", (weight * (F.col("_y") - p)).alias("_r"), (weight * p * (1 - p)).alias("_w"))
         sums = each.groupBy("_group").agg(*(F.sum(F.col("_r") * x[i]).alias(f"_g{i}") for i in range(m)), *(F.sum(F.col("_w") * x[i] * x[j]).alias(f"_h{i}_{j}") for i, j in pairs))
-        ready = now.join(sums, "_group").withColumns({f"_g{i}": F.col(f"_g{i}") - ridge * F.col(f"_b{i}") for i in range(1, m)} | {f"_h{i}_{i}": F.col(f"_h{i}_{i}") + ridge for i in range(1, m)})
+        ready = now.join(sums, "_group").withColumns({f"_g{i}": F.col(f"_g{i}") - ridge * F.col(f"_b{i}") for i in range(m)} | {f"_h{i}_{i}": F.col(f"_h{i}_{i}") + ridge for i in range(m)})
         moved = _solved({(i, j): f"_h{i}_{j}" for i, j in pairs}, [f"_g{i}" for i in range(m)], m, ready)
         step: list[Column] = [F.col(f"_d{i}") for i in range(m)]
         change = F.greatest(*(F.abs(d) for d in step)) if m > 1 else F.abs(step[0])

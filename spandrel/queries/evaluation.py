@@ -149,7 +149,7 @@ def family_leakage(spark, d):
 @query("""WITH RECURSIVE x AS (SELECT lang, quality::DOUBLE AS y, ln(1 + n_chars)::DOUBLE AS v FROM labels JOIN documents USING (doc_id) WHERE lang IS NOT NULL AND quality IN (0, 1) AND n_chars IS NOT NULL),
 r(lang, step, b0, b1) AS (SELECT DISTINCT lang, 0, 0::DOUBLE, 0::DOUBLE FROM x UNION ALL
   SELECT lang, step + 1, b0 + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b1 + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) FROM (
-    SELECT lang, step, b0, b1, sum(y - p) AS g0, sum((y - p) * v) - b1 AS g1, sum(p * (1 - p)) AS h00, sum(p * (1 - p) * v) AS h01, sum(p * (1 - p) * v * v) + 1 AS h11
+    SELECT lang, step, b0, b1, sum(y - p) - b0 AS g0, sum((y - p) * v) - b1 AS g1, sum(p * (1 - p)) + 1 AS h00, sum(p * (1 - p) * v) AS h01, sum(p * (1 - p) * v * v) + 1 AS h11
     FROM (SELECT r.*, y, v, 1 / (1 + exp(-(b0 + b1 * v))) AS p FROM r JOIN x USING (lang) WHERE step < 25) GROUP BY lang, step, b0, b1))
 SELECT r.lang, count(*) AS n, round(b0, 4) AS intercept, round(b1, 4) AS slope, true AS converged FROM r JOIN x USING (lang) WHERE step = 25 GROUP BY r.lang, b0, b1""")
 def grouped_logistic(spark, d):
