@@ -224,7 +224,7 @@ g AS (SELECT bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT c
   FROM s FULL JOIN t USING (bucket)),
 m AS (SELECT rid, count(*) AS n, sum(gain)::BIGINT AS total FROM dw JOIN k USING (w) JOIN g USING (bucket) GROUP BY rid),
 x AS (SELECT rid, doc_id, len(w) AS n_features, coalesce((total - ((total % n) + n) % n) // n, 0) AS weight,
-  floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id::VARCHAR), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS noise FROM d LEFT JOIN m USING (rid)),
+  floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS noise FROM d LEFT JOIN m USING (rid)),
 r AS (SELECT rid, row_number() OVER (ORDER BY weight + noise DESC, doc_id) AS rank, count(*) OVER () AS n FROM x WHERE n_features >= 20)
 SELECT doc_id, n_features::BIGINT AS n_features, weight::BIGINT AS weight, (weight + noise)::BIGINT AS score, CASE WHEN rank <= 10 * n // 100 THEN rank END::BIGINT AS rank FROM x LEFT JOIN r USING (rid)
 """
