@@ -56,6 +56,7 @@ SCHEMAS = {
     "pages": pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("html", pa.string()), ("text", pa.int64()), ("host", pa.string()), ("verdict", pa.int64())]),
     "benchmark": pa.schema([("item_id", pa.int64()), ("text", pa.string()), ("hash", pa.int64())]),
     "labels": pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("toxic", pa.int32())]),
+    "embeddings": pa.schema([("vec_id", pa.int64()), ("embedding", pa.list_(pa.float32())), ("label", pa.int32()), ("id", pa.int64()), ("n_links", pa.string())]),
 }
 
 
@@ -66,6 +67,7 @@ def data(tmp_path_factory):
         "documents": documents(), "pages": pages(),
         "benchmark": [{"item_id": 1, "text": "ALPHA beta, gamma delta epsilon zeta eta theta iota kappa lambda"}, {"item_id": 10, "text": "short item here"}, {"item_id": 2, "text": None}, {"item_id": None, "text": "epsilon zeta eta theta iota kappa lambda mu nu"}, {"item_id": 3, "text": ""}],
         "labels": [{"doc_id": i, "quality": int(i not in (13, 14, 15)), "toxic": 0} for i in range(0, 58)] + [{"doc_id": None, "quality": 1, "toxic": None}, {"doc_id": 900, "quality": None, "toxic": None}],
+        "embeddings": [{"vec_id": i, "embedding": v} for i, v in ((3, [1.0, 0.0]), (1, [2.0, 0.1]), (2, [0.0, 1.0]), (4, None), (5, [0.0, 0.0]), (6, [1.0, None]), (None, [1.0, 0.0]), (7, [0.0, -1.0]), (7, [0.0, -1.0]))],
     }
     for name, schema in SCHEMAS.items():
         pq.write_table(pa.Table.from_pylist(rows[name], schema=schema), folder / f"{name}.parquet")
@@ -421,6 +423,11 @@ def test_outlier_is_rejected(spark):
     assert got.columns == docs.columns and sorted(r["doc_id"] for r in got.collect()) == list(range(300))
 
 
+def test_near_duplicate_vectors(results):
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in results(12)), key=repr)
+    assert got == sorted([(3, 1, 1, False), (1, 1, 1, True), (2, 0, 2, True), (4, 0, 4, True), (5, 0, 5, True), (6, 0, 6, True), (None, 0, None, False), (7, 1, 7, True), (7, 1, 7, True)], key=repr)
+
+
 def test_empty_tables(spark, tmp_path):
     for name, schema in SCHEMAS.items():
         pq.write_table(schema.empty_table(), tmp_path / f"{name}.parquet")
