@@ -190,7 +190,7 @@ def test_ranking_is_that_of_brute_force(spark, monkeypatch):
     assert sorted(map(tuple, op.search(docs, queries, "shard", "term", top=7).collect()), key=repr) == expected
     monkeypatch.setattr(op, "BLOCK", 3)
     index = op.stored(op.build_index(docs, "shard", shard_documents=40))
-    assert index.filter("term = 0").count() > 8
+    assert index.filter("term = 0").count() >= 4
     assert index.filter("term <> 0").agg(F.max("n")).first()[0] <= 16_384
     assert sorted(map(tuple, op.search_index(index, op.query_terms(queries, "term"), 7).collect()), key=repr) == expected
     assert op.search(docs.limit(0), queries, "shard", "term").collect() == []
