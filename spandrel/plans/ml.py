@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
@@ -13,11 +15,14 @@ from pyspark.sql import functions as F
 
 from ..functions.text import active, confidence_bucket
 from ..operators.metrics import argmax_first, brier, confusion, rates
+from ..operators.rounds import written
 from .features import FEATURES
 
 SEED = 42
 THRESHOLD = 0.5
 TREES = 50
+#: Rows that a task of a fit goes through; a fit is hundreds of rounds, each over all partitions.
+FIT_ROWS = 20_000
 
 
 def vector_columns(features: DataFrame, rule: str) -> DataFrame:
@@ -80,21 +85,29 @@ def fit(train: DataFrame, valid: DataFrame, trees: int = TREES) -> tuple[str, ob
     return name, models[name], metrics.drop("all")
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` in as many partitions as their number asks for, whatever shuffle made them."""
+    return rows.coalesce(max(1, -(-rows.count() // FIT_ROWS)))
+
+
 def train(features: DataFrame, labels: DataFrame, splits: DataFrame, trees: int = TREES) -> dict[str, tuple]:
     """Per rule ``(name, model, scale, metrics)``; ``labels(file, rule_id, label)``, a missing one is 0; ``splits(file, part)``."""
     missing = splits.select("file").distinct().join(features.select("file").distinct(), "file", "left_anti").limit(5).collect()
     if missing:
         raise ValueError(f"files of the splits without features: {[r['file'] for r in missing]}")
-    out = {}
-    for rule in FEATURES:
+    def one(rule: str) -> tuple:
         own = labels.filter(F.col("rule_id") == rule).select("file", "label")
-        rows = vector_columns(features, rule).join(own, "file", "left").fillna(0, ["label"]).join(splits, "file").persist()
-        known = rows.filter("part = 'train'")
+        rows = written(vector_columns(features, rule).join(own, "file", "left").fillna(0, ["label"]).join(splits, "file"))
+        known, held = (_dealt(rows.filter(F.col("part") == part)).persist() for part in ("train", "validation"))
         scale = scaling(known)
-        name, model, metrics = fit(assembled(known, scale), assembled(rows.filter("part = 'validation'"), scale), trees)
-        rows.unpersist()
-        out[rule] = (name, model, scale, metrics)
-    return out
+        name, model, metrics = fit(assembled(known, scale), assembled(held, scale), trees)
+        known.unpersist()
+        held.unpersist()
+        return name, model, scale, metrics
+
+    # A round of a small fit waits for the driver more than it computes, so the rules are fitted side by side.
+    with ThreadPoolExecutor(len(FEATURES)) as pool:
+        return dict(zip(FEATURES, pool.map(inheritable_thread_target(features.sparkSession)(one), FEATURES), strict=True))
 
 
 def save(models: dict[str, tuple], folder: str) -> None:

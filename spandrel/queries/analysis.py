@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as G
 from ..operators.report import RULES
+from ..operators.rounds import written
 from ..plans import ast, features, ml, patch, programs, rules
 from ..sources.inputs import compile_sources
 from ..sources.minisol import compile_source
@@ -195,10 +196,10 @@ def patch_verification(spark, d):
 
 @query()
 def ml_scores(spark, d):
-    files = sample_files(spark)
+    files = written(sample_files(spark))
     labels = spark.createDataFrame([(f"{name}_0.sol", rule, int(rule[:3] in found)) for name, (_, found, _) in SAMPLES.items() for rule in RULES], "file string, rule_id string, label int")
     parts = labels.select("file").distinct().withColumn("part", F.when(F.pmod(F.xxhash64("file"), F.lit(3)) == 0, "validation").otherwise("train"))
-    rows = features.long(ast.flatten(files)).persist()
+    rows = written(features.long(written(ast.flatten(files))))
     models = ml.train(rows, labels, parts)
     return ml.score(rows, models, rules.findings(rules.analyze(files))).select("file", "rule_id", "probability", "prediction", "confidence", "deterministic", "concordant", "advisory", "hybrid")
 

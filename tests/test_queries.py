@@ -195,6 +195,21 @@ def test_models_are_stored_and_scores_say_what_is_missing(spark, tmp_path):
         ml.train(rows.filter("file <> 'f3'"), labels, splits, trees=0)
 
 
+def test_a_fit_has_as_many_partitions_as_its_rows_ask_for(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    from spandrel.plans import ml
+    from spandrel.plans.features import FEATURES
+
+    r = [(f"f{i}", rule, {n: float((i + k) % 3) for k, n in enumerate(names)}) for i in range(12) for rule, names in FEATURES.items()]
+    rows = spark.createDataFrame(r, "file string, rule_id string, features map<string,double>").repartition(40)
+    labels = spark.createDataFrame([(f"f{i}", "TXO-001", i % 2) for i in range(12)], "file string, rule_id string, label int")
+    splits = spark.createDataFrame([(f"f{i}", "train" if i < 8 else "validation") for i in range(12)], "file string, part string")
+    seen, fit = [], ml.fit
+    monkeypatch.setattr(ml, "fit", lambda train, valid, trees: seen.append((train.rdd.getNumPartitions(), train.count(), valid.count())) or fit(train, valid, trees))
+    ml.train(rows, F.broadcast(labels), F.broadcast(splits), trees=0)
+    assert seen == [(1, 8, 4)] * 5
+
+
 def test_unknown_where_a_graph_is_uncertain(spark):
     from spandrel.operators import graph as G
 
