@@ -68,6 +68,18 @@ def held_out(key: Column, folds: int = 10) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
+def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that sorts the keys, and where in it each distinct one starts; which of several equal keys comes first is left open."""
+    by = np.argsort(keys)
+    ascending = keys[by]
+    return by, np.flatnonzero(np.concatenate((np.ones(min(len(keys), 1), bool), ascending[1:] != ascending[:-1])))
+
+
+def _totals(counts: np.ndarray, by: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The sum of each distinct key's counts."""
+    return np.add.reduceat(counts[by], starts) if len(starts) else np.zeros(0, np.int64)
+
+
 class Tally:
     """Counts of 64-bit keys with memory for a bounded number; hands out what it has when full."""
 
@@ -80,8 +92,9 @@ class Tally:
         self.size += len(self.parts[-1][0])
 
     def merged(self) -> tuple[np.ndarray, np.ndarray]:
-        keys, at = np.unique(np.concatenate([k for k, _ in self.parts]), return_inverse=True)
-        counts = np.bincount(at, np.concatenate([c for _, c in self.parts]).astype(np.float64), len(keys)).astype(np.int64)
+        keys, counts = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        by, starts = _grouped(keys)
+        keys, counts = keys[by[starts]], _totals(counts, by, starts)
         self.parts, self.size = [(keys, counts)], len(keys)
         return keys, counts
 
@@ -185,11 +198,12 @@ def count_pairs(training: DataFrame, maps, shards: int = 1) -> DataFrame:
     def total(table: pa.Table) -> pa.Table:
         a = np.concatenate([np.cumsum(unpacked(x)) for x in table.column("a").to_pylist()])
         b, c = (np.concatenate([unpacked(x) for x in table.column(name).to_pylist()]) for name in "bc")
-        h, first, at = np.unique(combine(a, b), return_index=True, return_inverse=True)
-        c = np.bincount(at, c, len(h)).astype(np.int64)
+        h = combine(a, b)
+        by, starts = _grouped(h)
+        c = _totals(c, by, starts)
         kept = c >= LEAST_COUNT
-        first = first[kept]
-        return pa.table([pa.array(x) for x in (h[kept], a[first], b[first], c[kept])], names=["h", "a", "b", "c"])
+        first = by[starts[kept]]
+        return pa.table([pa.array(x) for x in (h[first], a[first], b[first], c[kept])], names=["h", "a", "b", "c"])
 
     ship(__name__, base.__name__, textbytes.__name__)
     counted = training.select("text").mapInArrow(count, "shard int, a binary, b binary, c binary")
@@ -204,22 +218,25 @@ class PairTally:
         self.size = 0
 
     def add(self, keys: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-        keys, first, counts = np.unique(keys, return_index=True, return_counts=True)
-        self.parts.append([keys, a[first], b[first], counts])
-        self.size += len(keys)
+        by, starts = _grouped(keys)
+        first = by[starts]
+        self.parts.append([keys[first], a[first], b[first], np.diff(starts, append=len(keys))])
+        self.size += len(first)
 
     def merged(self) -> list[np.ndarray]:
         keys, a, b, c = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        keys, first, at = np.unique(keys, return_index=True, return_inverse=True)
-        self.parts = [[keys, a[first], b[first], np.bincount(at, c, len(keys)).astype(np.int64)]]
-        self.size = len(keys)
+        by, starts = _grouped(keys)
+        first = by[starts]
+        self.parts = [[keys[first], a[first], b[first], _totals(c, by, starts)]]
+        self.size = len(first)
         return self.parts[0]
 
     def packed(self, shards: int) -> pa.RecordBatch:
         """All counts, by shard and ascending prefix; the tally is empty then."""
         keys, a, b, c = self.merged()
         at = _shard(keys, shards)
-        order = np.lexsort((a, at))
+        order = np.argsort(a)
+        order = order[np.argsort(at[order].astype(np.min_scalar_type(shards)), kind="stable")]
         edges = np.searchsorted(at[order], np.arange(shards + 1)).tolist()
         rows = []
         for i in range(shards):
@@ -262,9 +279,9 @@ def weights(training: DataFrame, word_counts: DataFrame, order: int = ORDER) ->
         discard(*filter(None, (followed, before)))
         before, arcs = arcs, arcs.withColumn("p", p)
         left, other = (F.greatest(1 - F.sum(x), F.lit(1e-12)) for x in ("p", "low"))
-        fail = arcs.groupBy("a").agg(F.first("of").alias("of"), F.log10(left / other).alias("back"))
+        fail = stored(arcs.groupBy("a").agg(F.first("of").alias("of"), F.log10(left / other).alias("back")))
         own = stored(arcs.join(fail.select("a", "back"), "a").select("h", "c", F.lit(False).alias("word"), units(F.log10(F.col("p") / F.col("low")) - F.col("back"))))
-        tables += [stored(fail.select(F.col("a").alias("h"), F.col("of").alias("c"), F.lit(False).alias("word"), units(F.col("back")))), own]
+        tables += [fail.select(F.col("a").alias("h"), F.col("of").alias("c"), F.lit(False).alias("word"), units(F.col("back"))), own]
         nodes = arcs.select("h", "c", "p")
         maps = [*maps, bit_map(nodes)]
     if before is not None:
@@ -544,6 +561,9 @@ def score(docs: DataFrame, key: str, is_training: Column, text: str = "text", or
                 if k:
                     held = in_map(maps[k], keys)
                     keys, rows = keys[held], rows[held]
+                # Neighbouring keys are near in the table, too.
+                by = np.argsort(keys)
+                keys, rows = keys[by], rows[by]
                 more, missing = sums(hot, keys, rows, size)
                 own += more
                 rest.append((keys[missing], rows[missing]))

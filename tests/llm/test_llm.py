@@ -173,6 +173,24 @@ def test_states_sum_to_one(spark):
         assert abs(sum(automaton.probability(state, w, chance, root) for w in range(1, size + 1)) + left - 1) < 1e-6
 
 
+def test_tallies_add_whole_numbers():
+    import numpy as np
+    from spandrel.llm import backoff_lm as lm
+
+    keys, big = np.array([5, -3, 5, 9]), np.array([1, 7, 2**53, 1])
+    one, pairs = lm.Tally(), lm.PairTally()
+    one.parts = [(keys[:2], big[:2]), (keys[2:], big[2:])]
+    pairs.parts = [[k, k + 1, k + 2, c] for k, c in one.parts]
+    assert [x.tolist() for x in one.merged()] == [[-3, 5, 9], [7, 2**53 + 1, 1]]
+    assert [x.tolist() for x in pairs.merged()] == [[-3, 5, 9], [-2, 6, 10], [-1, 7, 11], [7, 2**53 + 1, 1]]
+    pairs = lm.PairTally()
+    pairs.add(keys, keys + 1, keys + 2)
+    pairs.add(keys[:0], keys[:0], keys[:0])
+    found = pairs.packed(2).to_pylist()
+    read = [(r["shard"], np.cumsum(lm.unpacked(r["a"])).tolist(), lm.unpacked(r["b"]).tolist(), lm.unpacked(r["c"]).tolist()) for r in found]
+    assert read == [(0, [6, 10], [7, 11], [2, 1]), (1, [-2], [-1], [1])]
+
+
 def test_model_is_whole_at_every_share(spark, monkeypatch):
     """However few n-grams are frequent enough to be sent to all workers, scores are those of the automaton of all that occur twice."""
     import numpy as np
