@@ -26,6 +26,8 @@ from .rounds import written
 
 #: Places of a document that are swept together.
 STRETCH = 65_536
+#: Marks that a task sorts, about; there are as many tasks as marks ask for.
+TASK_MARKS = 1_000_000
 
 
 #: Stretches with something before them that are sent to every executor at most; more are joined by a shuffle.
@@ -54,14 +56,17 @@ def nested(spans: DataFrame, stretch: int = STRETCH) -> DataFrame:
     """
     rows = spans.filter("id IS NOT NULL AND start <= end").select("doc", "id", "start", "end")
     marks = rows.select("*", F.explode(F.array(F.lit(1), F.lit(-1))).alias("step")).withColumn("_stretch", F.floor(F.when(F.col("step") == 1, F.col("start")).otherwise(F.col("end")) / stretch))
-    base = _earlier(marks.groupBy("doc", "_stretch").agg(F.sum("step").alias("_net")), ["doc"], F.sum("_net"), "_base")
+    stretches = written(marks.groupBy("doc", "_stretch").agg(F.sum("step").alias("_net"), F.count("*").alias("_marks")))
+    tasks = max(1, -(-(stretches.agg(F.sum("_marks")).first()[0] or 0) // TASK_MARKS))
+    few = spans.sparkSession.sparkContext.defaultParallelism
+    base = _earlier(stretches, ["doc"], F.sum("_net"), "_base")
     long = not base.isEmpty()
     empty = F.col("start") == F.col("end")
     # At one place ends come first, then empty spans one by one, then starts, outer ones before inner ones.
     kind = F.when(empty, 1).when(F.col("step") == 1, 2).otherwise(0)
     at = F.when(F.col("step") == 1, F.col("start")).otherwise(F.col("end"))
     inside = Window.partitionBy("doc", "_stretch").orderBy("_at", "_kind", F.col("start") - F.col("end"), "id", F.desc("step")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    dealt = marks.repartition("doc", "_stretch").withColumns({"_at": at, "_kind": kind})
+    dealt = marks.repartition(max(tasks, few), "doc", "_stretch").withColumns({"_at": at, "_kind": kind})
     counted = dealt.withColumn("_open", F.sum("step").over(inside)).filter("step = 1")
     started = _with(counted, base, ["doc"]) if long else counted.withColumn("_base", F.lit(0))
     starts = started.select("doc", "id", "start", "end", "_stretch", (F.coalesce("_base", F.lit(0)) + F.col("_open") - 1).cast("long").alias("depth"))

@@ -284,3 +284,12 @@ def test_logistic_regressions_of_groups(spark):
     scored = newton.probability(df.filter("g = 'a' AND y IN (0, 1) AND NOT isnan(p)"), "g", ["p", "q", "r"], fitted)
     hit = scored.agg(F.avg(((F.col("probability") > 0.5).cast("int") == F.col("y")).cast("int"))).first()[0]
     assert hit > 0.75 and newton.fit(df.limit(0), "g", "y", ["p"]).collect() == []
+
+
+def test_spans_are_swept_in_as_many_tasks_as_their_marks_ask_for(spark, monkeypatch):
+    seen, written = [], spans.written
+    monkeypatch.setattr(spans, "TASK_MARKS", 10, raising=False)
+    monkeypatch.setattr(spans, "written", lambda df: seen.append(df.rdd.getNumPartitions()) or written(df))
+    rows = spark.createDataFrame([(d, i, i, 20 - i) for d in range(20) for i in range(5)], "doc int, id int, start int, end int")
+    assert {(r["id"], r["depth"], r["parent"], r["tangled"]) for r in spans.nested(rows).collect()} == {(i, i, i - 1 if i else None, False) for i in range(5)}
+    assert max(seen) == 20
