@@ -83,12 +83,14 @@ bad AS (SELECT n.scope, a.m AS root, count(*) AS k FROM ne n JOIN r a ON a.scope
 SELECT c.scope, c.m AS root, c.n AS n_symbols, coalesce(k, 0) AS n_contradictions FROM (SELECT scope, m, count(*) AS n FROM r GROUP BY ALL) c LEFT JOIN bad ON bad.scope = c.scope AND bad.root = c.m WHERE n > 1 OR k > 0""")
 def equality_classes(spark, d):
     """Parts as symbols, years as scopes: what one supplier ships on one day is equal, neighbours in an order with different return flags differ."""
-    lines = table(spark, d, "lineitem").select(F.year("l_shipdate").alias("scope"), F.concat(F.lit("p"), "l_partkey").alias("left"), "l_returnflag", "l_orderkey", *_LINE)
-    day = Window.partitionBy("l_suppkey", "l_shipdate").orderBy(*_LINE, "l_returnflag", "l_orderkey")
+    lines = table(spark, d, "lineitem").withColumn("scope", F.year("l_shipdate"))
+    # Lines of one number and part are alike here, so what else orders a supplier's day changes no fact; each window shuffles its own columns alone.
+    day = Window.partitionBy("l_suppkey", "l_shipdate").orderBy("l_linenumber", "l_partkey")
+    mates = lines.select("scope", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate").withColumn("mate", F.lead("l_partkey").over(day)).filter("mate IS NOT NULL")
     order = Window.partitionBy("l_orderkey", "scope").orderBy(*_LINE, "l_returnflag")
-    rows = lines.select("scope", "left", "l_returnflag", F.lead("left").over(day).alias("mate"), F.lead("left").over(order).alias("nxt"), F.lead("l_returnflag").over(order).alias("flag"))
-    other = F.when(F.col("flag") != F.col("l_returnflag"), F.col("nxt"))
-    facts = rows.select("scope", "left", F.explode(F.array(F.struct(F.lit("==").alias("op"), F.col("mate").alias("right")), F.struct(F.lit("!=").alias("op"), other.alias("right")))).alias("f")).select("scope", "left", "f.op", "f.right").filter("right IS NOT NULL")
+    ahead = lines.select("scope", "l_orderkey", "l_returnflag", *_LINE).withColumns({"nxt": F.lead("l_partkey").over(order), "flag": F.lead("l_returnflag").over(order)}).filter("nxt IS NOT NULL AND flag <> l_returnflag")
+    part = lambda key, name: F.concat(F.lit("p"), key).alias(name)
+    facts = mates.select("scope", part("l_partkey", "left"), F.lit("==").alias("op"), part("mate", "right")).unionByName(ahead.select("scope", part("l_partkey", "left"), F.lit("!=").alias("op"), part("nxt", "right")))
     return equalities.judged(facts)
 
 

@@ -293,3 +293,14 @@ def test_spans_are_swept_in_as_many_tasks_as_their_marks_ask_for(spark, monkeypa
     rows = spark.createDataFrame([(d, i, i, 20 - i) for d in range(20) for i in range(5)], "doc int, id int, start int, end int")
     assert {(r["id"], r["depth"], r["parent"], r["tangled"]) for r in spans.nested(rows).collect()} == {(i, i, i - 1 if i else None, False) for i in range(5)}
     assert max(seen) == 20
+
+
+def test_equal_symbols_are_found_from_the_columns_they_need(spark, monkeypatch):
+    from spandrel.queries import structure
+
+    taken = []
+    monkeypatch.setattr(structure.equalities, "judged", lambda facts: taken.append(facts) or facts)
+    structure.equality_classes(spark, "/root/testdata/sf0.001")
+    plan = taken[0]._jdf.queryExecution().optimizedPlan().toString()
+    days = [line for line in plan.splitlines() if "windowspecdefinition(l_suppkey" in line]
+    assert days and not any("l_extendedprice" in line for line in days)
